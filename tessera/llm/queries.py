@@ -1,11 +1,77 @@
-"""The registered queries of this subpackage: each applies one operator to its whole table."""
+"""The registered queries of this subpackage: each applies one operator to its whole table and derives the digests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from . import language, toxicity
+from .chat import format_chats, read_loss_text, read_turns
+from .common import held_out, table
+from .decontamination import contamination
 from .near_dedup import near_duplicates
+from .packing import pack_documents
+from .quality import quality
+from .substring_dedup import remove_repeats
+from .token_shards import materialised
+from .warc import PREFIX, archived
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    says = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    made = format_chats(rows.select("conv_id", "turn", "role", "text").unionByName(extra))
+    read = made.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(told, 256).alias("turns_sha256"),
+        F.length("loss").cast("bigint").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return x.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fit(docs), with_spans=False)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = remove_repeats(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialised(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = archived(table(spark, sf_dir, "pages")).where("problem is null")
+    number = lambda c: F.expr(f"try_cast(substring({c}, {len(PREFIX) + 2}, length({c}) - {len(PREFIX) + 2}) as bigint)")
+    return x.select(number("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = quality(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 9).alias("quality"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +79,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
+    "op3_chat": op3_chat,
+    "op4_decontamination": op4_decontamination,
+    "op5_language": op5_language,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_token_shards": op7_token_shards,
+    "op8_warc": op8_warc,
+    "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
 }
 
