@@ -22,29 +22,35 @@ SYMBOLS = "#*$%&|<>"
 PLACE_BITS = 20
 
 
-def _repeat_words(w: Column, n: Column) -> Column:
-    """Words that are in 3-word windows found twice or more in the text.
+def _with_repeats(x: DataFrame) -> DataFrame:
+    """Adds n_repeat_words to rows with words w and their number n: words in 3-word windows found twice or more in w.
 
-    Window hashes are sorted beside their places; neighbours with equal hashes whose words are equal too are repeats.
+    Window hashes are sorted beside their places; neighbours with equal hashes whose words are equal too are repeats. Each
+    array is a column of its own, so that it is made once and not for each element. In texts of up to 2**20 words hash and
+    place share one number (44 bits of hash), in longer ones they are a pair.
     """
     mask = (1 << PLACE_BITS) - 1
-    places = F.sequence(F.lit(0), n - 3)
+    w, n = F.col("w"), F.col("n")
     key = lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])
-    short = F.sort_array(F.transform(places, lambda i: key(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint"))))
     same = lambda a, b: (w[a] == w[b]) & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2])
+    place = lambda z: z.bitwiseAND(F.lit(mask)).cast("int")
+    few = (n >= 3) & (n <= mask)
+    x = x.withColumn("keys", F.when(few, F.transform(F.sequence(F.lit(0), n - 3), lambda i: key(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))))
+    x = x.withColumn("keys", F.sort_array("keys"))
+    x = x.withColumn("pairs", F.when(n > mask, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(key(i).alias("h"), i.alias("i"))))))
 
-    def repeated(sorted_: Column) -> Column:
-        place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-        beside = lambda x, y: F.coalesce((F.shiftright(x.bitwiseXOR(y), PLACE_BITS) == 0) & same(place(x), place(y)), F.lit(False))
-        hits = F.filter(sorted_, lambda x, j: beside(x, F.get(sorted_, j - 1)) | beside(x, F.get(sorted_, j + 1)))
-        return F.sort_array(F.transform(hits, place))
+    def beside(a: Column, b: Column) -> Column:
+        return F.coalesce((F.shiftright(a.bitwiseXOR(b), PLACE_BITS) == 0) & same(place(a), place(b)), F.lit(False))
 
-    long_ = F.sort_array(F.transform(places, lambda i: F.struct(key(i).alias("h"), i.alias("i"))))
-    beside = lambda x, y: F.coalesce((x["h"] == y["h"]) & same(x["i"], y["i"]), F.lit(False))
-    slow = F.sort_array(F.transform(F.filter(long_, lambda x, j: beside(x, F.get(long_, j - 1)) | beside(x, F.get(long_, j + 1))), lambda x: x["i"]))
-    starts = F.when(n <= mask, repeated(short)).otherwise(slow)
-    covered = F.aggregate(starts, F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n")), lambda a, s: F.struct(s.alias("at"), (a["n"] + F.least(F.lit(3), s - a["at"])).alias("n")))["n"]
-    return F.when(n >= 3, covered).otherwise(0)
+    def beside_pair(a: Column, b: Column) -> Column:
+        return F.coalesce((a["h"] == b["h"]) & same(a["i"], b["i"]), F.lit(False))
+
+    short = F.filter("keys", lambda z, j: beside(z, F.get("keys", j - 1)) | beside(z, F.get("keys", j + 1)))
+    long_ = F.filter("pairs", lambda z, j: beside_pair(z, F.get("pairs", j - 1)) | beside_pair(z, F.get("pairs", j + 1)))
+    x = x.withColumn("starts", F.sort_array(F.coalesce(F.transform(short, place), F.transform(long_, lambda z: z["i"]), F.array().cast("array<int>"))))
+    begin = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
+    covered = F.aggregate("starts", begin, lambda a, s: F.struct(s.alias("at"), (a["n"] + F.least(F.lit(3), s - a["at"])).alias("n")))["n"]
+    return x.withColumn("n_repeat_words", covered.cast("bigint")).drop("keys", "pairs", "starts")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -55,13 +61,13 @@ def measures(docs: DataFrame) -> DataFrame:
     lines = F.filter("all_lines", lambda s: F.length(F.translate(s, BLANKS, "")) > 0)
     x = x.select("doc_id", "text", "w", lines.alias("lines"), F.size("w").alias("n"))
     distinct = F.size(F.array_distinct("w"))
-    return x.select(
+    return _with_repeats(x).select(
         "doc_id",
         F.col("n").cast("bigint").alias("n_words"),
         F.length(F.translate("text", BLANKS, "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        _repeat_words(F.col("w"), F.col("n")).cast("bigint").alias("n_repeat_words"),
+        "n_repeat_words",
         F.size("lines").cast("bigint").alias("n_lines"),
         distinct.cast("bigint").alias("n_distinct"),
     )
