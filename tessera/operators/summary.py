@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -20,12 +20,13 @@ def rollup(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def manifest(df: DataFrame, columns: list[str], seed: str = "seed_id") -> DataFrame:
     """One row: rows, seeds, and a map of counts for each column."""
-    long = rollup(df, columns)
+    seeds = df.agg(F.lit("").alias("what"), F.lit(None).cast("string").alias("value"), F.count_distinct(seed).alias("n"))
     maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("what") == c) & F.col("value").isNotNull(), F.struct("value", "n"))))).alias(f"{c}_counts") for c in columns]
-    return long.agg(*maps).crossJoin(df.agg(F.count("*").alias("n_rows"), F.count_distinct(seed).alias("n_seeds")))
+    rows = F.sum(F.when(F.col("what") == columns[0], F.col("n"))).alias("n_rows")
+    return rollup(df, columns).unionByName(seeds).agg(rows, F.max(F.when(F.col("what") == "", F.col("n"))).alias("n_seeds"), *maps)
 
 
 def class_share(df: DataFrame, column: str) -> DataFrame:
-    """Count and share of each class."""
-    total = df.agg(F.count("*").alias("total"))
-    return distribution(df, column).crossJoin(F.broadcast(total)).select(column, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
+    """Count and share of each class; the window is over the few rows of the counts."""
+    counts = distribution(df, column)
+    return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
