@@ -35,6 +35,11 @@ def match_case(original: Column, new: Column) -> Column:
     )
 
 
+def let(x: Column, body) -> Column:
+    """body of x with x computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
 def _draw(seed: Column, rule: Column, place: Column, what: str) -> Column:
     """A number from 0 to 1 for a rule at a word's place."""
     h = F.sha2(F.concat_ws(":", seed.cast("string"), rule.cast("string"), F.lit(what), place.cast("string")), 256)
@@ -51,22 +56,25 @@ def perturb_text(text: Column, seed: Column, rate: float = R.RATE) -> Column:
     rules = F.create_map(*(x for k, (w, to, why) in enumerate(ALL_RULES) for x in (F.lit(w), F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, to)).alias("to"), F.lit(why).alias("why")))))
     no_subs = F.array().cast("array<struct<original:string,replacement:string,reason:string>>")
 
-    def apply(word: Column, place: Column) -> Column:
+    plain = lambda w: F.struct(w.alias("word"), no_subs.alias("subs"))
+
+    def once(state: Column, rule: Column, place: Column) -> Column:
+        """A word with its replacements so far, after one rule."""
+        w, subs = state["word"], state["subs"]
+        pick = F.element_at(rule["to"], F.floor(_draw(seed, rule["k"], place, "choice") * F.size(rule["to"])).cast("int") + 1)
+        new = let(match_case(w, pick), lambda to: F.struct(to.alias("word"), F.concat(subs, F.array(F.struct(w.alias("original"), to.alias("replacement"), rule["why"].alias("reason")))).alias("subs")))
+        return F.when(_draw(seed, rule["k"], place, "apply") < rate, new).otherwise(state)
+
+    def apply(word: Column, place: Column, rule: Column) -> Column:
         """The word after its rule and, if that made the word of a later rule, after that rule too."""
-        first = F.try_element_at(rules, F.lower(word))
 
-        def once(w: Column, rule: Column, subs: Column) -> Column:
-            to = match_case(w, F.element_at(rule["to"], F.floor(_draw(seed, rule["k"], place, "choice") * F.size(rule["to"])).cast("int") + 1))
-            sub = F.struct(w.alias("original"), to.alias("replacement"), rule["why"].alias("reason"))
-            return F.when(_draw(seed, rule["k"], place, "apply") < rate, F.struct(to.alias("word"), F.concat(subs, F.array(sub)).alias("subs"))).otherwise(F.struct(w.alias("word"), subs.alias("subs")))
+        def chain(one: Column) -> Column:
+            later = F.try_element_at(rules, F.lower(one["word"]))
+            return let(later, lambda r: F.when((F.size(one["subs"]) > 0) & (r["k"] > rule["k"]), once(one, r, place)).otherwise(one))
 
-        one = once(word, first, no_subs)
-        later = F.try_element_at(rules, F.lower(one["word"]))
-        chained = (F.size(one["subs"]) > 0) & (later["k"] > first["k"])
-        two = F.when(chained, once(one["word"], later, one["subs"])).otherwise(one)
-        return F.when(first.isNull(), F.struct(word.alias("word"), no_subs.alias("subs"))).otherwise(two)
+        return let(once(plain(word), rule, place), chain)
 
-    words = F.transform(F.split(text, edge), lambda w, i: apply(w, i))
+    words = F.transform(F.split(text, edge), lambda w, i: let(F.try_element_at(rules, F.lower(w)), lambda rule: F.when(rule.isNull(), plain(w)).otherwise(apply(w, i, rule))))
     return F.struct(F.array_join(F.transform(words, lambda x: x["word"]), "").alias("text"), F.flatten(F.transform(words, lambda x: x["subs"])).alias("subs"))
 
 

@@ -1 +1 @@
-
+"""Whole dataset builds, composed from the operators."""
