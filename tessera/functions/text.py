@@ -5,13 +5,13 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from . import rules as R
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def san_nfc(text: pd.Series) -> pd.Series:
     """Unicode NFC; the one step that Spark has no function for. ASCII texts are passed through."""
     return text.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
