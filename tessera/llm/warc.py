@@ -23,6 +23,8 @@ from .files import read_file, write_file
 from .textbytes import slices
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+#: A version line with a header line after it, wherever it stands: damage may have taken the line end before it.
+HEAD = re.compile(VERSION.pattern + rb"(?=[A-Za-z-]+:)")
 MAGIC = b"\x1f\x8b\x08"
 #: Uncompressed bytes after which a task begins another archive file.
 ARCHIVE_BYTES = 32 << 20
@@ -144,7 +146,7 @@ def read_archive(data: bytes) -> Iterator[Found]:
             if packed:
                 end = _next_member(data, at + 1)
             else:
-                m = re.compile(rb"(?<=\n)" + VERSION.pattern).search(data, at + 1)
+                m = HEAD.search(data, at + 1)
                 end = m.start() if m else len(data)
             yield Found(at, end, str(e), {})
         at = end
