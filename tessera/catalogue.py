@@ -433,7 +433,7 @@ def _heads(s: SparkSession, d: str) -> DataFrame:
     return x
 
 
-register("linear_head_scores", f"WITH {SCORES} SELECT vec_id, c, round(s, 4) AS s FROM s13")(lambda s, d: _heads(s, d).select("vec_id", F.posexplode("s13").alias("c", "s")).select("vec_id", "c", F.round("s", 4).alias("s")))
+register("linear_head_scores", f"WITH {SCORES} SELECT vec_id, c, round(s, 4) + 0.0::DOUBLE AS s FROM s13")(lambda s, d: _heads(s, d).select("vec_id", F.posexplode("s13").alias("c", "s")).select("vec_id", "c", (F.round("s", 4) + 0.0).alias("s")))
 register("cross_entropy", f"WITH {HEADS} SELECT round(avg(h13.loss), 4) AS first, round(avg(h5.loss), 4) AS second FROM h13 JOIN h5 USING (vec_id)")(lambda s, d: _heads(s, d).agg(F.round(F.avg("l13"), 4).alias("first"), F.round(F.avg("l5"), 4).alias("second")))
 register("joint_loss", f"WITH {HEADS} SELECT round(avg(h13.loss) + 1.2::DOUBLE * avg(h5.loss), 4) AS loss FROM h13 JOIN h5 USING (vec_id)")(lambda s, d: _heads(s, d).agg(F.round(V.joint_loss(F.avg("l13"), F.avg("l5")), 4).alias("loss")))
 register("argmax_accuracy", f"WITH {HEADS} SELECT round(avg((h13.pred = h13.y)::INT), 6)::DOUBLE AS first, round(avg((h5.pred = h5.y)::INT), 6)::DOUBLE AS second FROM h13 JOIN h5 USING (vec_id)")(lambda s, d: _heads(s, d).agg(*(F.round(F.avg((F.col(f"p{n}") == F.col(f"y{n}")).cast("int")), 6).alias(a) for n, a in ((13, "first"), (5, "second")))))
