@@ -26,7 +26,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 class WordTokens:
     """Ids of texts as little-endian unsigned 32-bit bytes; each text ends with `end`."""
 
-    def __init__(self, path: str, end: int = 1, most: int = 400_000):
+    def __init__(self, path: str, end: int = 1, most: int = 800_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.between = self.tokenizer.token_to_id(BETWEEN)
