@@ -68,7 +68,8 @@ class Index:
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> Index:
     """Index doc_id, text for the words in vocabulary (term). Each row also gets an end mark, so none is lost."""
     terms = vocabulary.select("term").distinct().select("term", F.xxhash64("term").alias("t"))
-    terms = staged(terms.unionAll(docs.sparkSession.createDataFrame([("\0", END)], "term string, t bigint")), "terms")
+    mark = docs.sparkSession.range(1).select(F.lit("\0").alias("term"), F.lit(END).cast("bigint").alias("t"))
+    terms = staged(terms.unionAll(mark), "terms")
     n = terms.count()
     marked = keyed(docs).select("k1", "k2", F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit("\0")))).alias("pos", "word"))
     postings = marked.select("k1", "k2", "pos", lower_ascii(F.col("word")).alias("term")).join(small(terms, n), "term").select("t", "k1", "k2", "pos")
