@@ -6,8 +6,6 @@ because the given prose matches none of the rule words. Both engines make it fro
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -18,6 +16,7 @@ from .functions.perturb import perturb_text, perturb_text_exact
 from .operators import expand, quality as Q, split as S, summary, vectors as V
 from .plans import builds
 from .sources import notes
+from .sources.shared import folder
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,15 +153,6 @@ def on_clinical(name: str, sql: str | None, make: Callable[[DataFrame], DataFram
         ORACLE_SQL[name] = sql
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the session's shared folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # text
 
 for _name, _sql in STEPS_SQL.items():

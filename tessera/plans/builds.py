@@ -10,13 +10,16 @@ from ..functions.text import norm_category, sanitize_text
 from ..operators.expand import expand_variants
 from ..operators.quality import audit_filter
 from ..operators.split import leaks, numbered, row_surrogate_id, split_grouped_seeds, split_rank_rows
+from ..sources.shared import written
 
 
 def clean_build(df: DataFrame, key: str, text: str = "text", category: str = "raw_category") -> DataFrame:
     """Null text goes; text is cleaned, rows are audited, labelled by three tiers, numbered by key and split by row."""
     x = df.where(F.col(text).isNotNull()).withColumn("specialty_label", norm_category(F.col(category))).withColumn("cleaned_text", sanitize_text(F.col(text)))
     x = audit_filter(x, "cleaned_text", "specialty_label")
-    x = numbered(x.withColumn("scan", severity_scan3(F.col("cleaned_text"))), key)
+    # numbering and the split read the rows several times: they are cleaned once
+    x = written(x.select(key, "specialty_label", "cleaned_text", severity_scan3(F.col("cleaned_text")).alias("scan")), "cleaned")
+    x = numbered(x, key)
     x = x.withColumn("tracking_id", row_surrogate_id(F.col("number") + 1, "MTA"))
     x = split_rank_rows(x, "tracking_id")
     return x.select("tracking_id", "specialty_label", "cleaned_text", F.col("scan.severity").alias("severity_label_heuristic"), F.col("scan.keywords").alias("matched_keywords"), F.col("scan.confidence").alias("heuristic_confidence"), F.col("split").alias("target_split"))
