@@ -2,6 +2,7 @@
 
 A word's score in a language is the sum of log probabilities of its letter trigrams, learned from labelled texts. Viterbi
 over a text's words, with a penalty for each switch, labels spans; a text's language is that of most of its letters.
+A run of over PIECE letters (scripts without spaces, glued text) is labelled in pieces; all of its trigrams count, once each.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,10 @@ from .textbytes import slices
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+#: Letters up to which a run is one word of the Viterbi pass.
+PIECE = 40
+#: Begins the key of a piece, which is lower-cased and has the letter, or space, before and after it.
+PART = "\0"
 #: First code points of script ranges and their scripts; fixed values from the Unicode block table.
 SCRIPTS = (
     (0x0041, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -69,6 +75,24 @@ def _table(total: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"lang": pa.array([k[0] for k in total], pa.string()), "gram": pa.array([k[1] for k in total], pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
 
+def pieces(word: str) -> list[str]:
+    """Keys of a long run's pieces of PIECE letters. Each trigram of the run stands in one key."""
+    low = word.lower()
+    at = range(len(word) + 1) if len(low) == len(word) else list(accumulate((len(c.lower()) for c in word), initial=0))
+    w = f" {low} "
+    return [PART + w[at[a] : at[min(a + PIECE, len(word))] + 2] for a in range(0, len(word), PIECE)]
+
+
+def units(text: str) -> tuple[list[str], list[int]]:
+    """A text's words, long runs as their pieces, and the letters of each."""
+    words = WORD.findall(text)
+    letters = list(map(len, words))
+    if max(letters, default=0) <= PIECE:
+        return words, letters
+    parts = [pieces(w) if n > PIECE else [w] for w, n in zip(words, letters, strict=True)]
+    return [x for p in parts for x in p], [min(PIECE, n - a) for n in letters for a in range(0, n, PIECE)]
+
+
 class LanguageModel:
     """Trigram log probabilities of each learned language and the scripts it is written in. Small: see fit()."""
 
@@ -91,15 +115,16 @@ class LanguageModel:
         self.name = uuid.uuid4().hex
 
     def scores(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language; the same for all if no candidate has its script."""
+        """Log probability of each word, or piece, in each language; the same for all if no candidate has its script."""
         get, last = self.grams.get, len(self.grams)
         flat, first = [], np.zeros(len(words), np.int64)
         for j, w in enumerate(words):
             first[j] = len(flat)
-            w = f" {w.lower()[:40]} "
+            w = w[1:] if w[0] == PART else f" {w.lower()} "
             flat += [get(w[i : i + 3], last) for i in range(len(w) - 2)]
         s = np.add.reduceat(self.rows[np.array(flat, np.int64)], first) if words else np.zeros((0, len(self.languages)), np.float32)
         for j, w in enumerate(words):
+            w = w[2:] if w[0] == PART else w
             if (name := "latin" if w[0] < "\u0250" else script(w)) != self.plain:
                 own = self.scripts.get(name)
                 s[j] = 0 if own is None or not own.any() else np.where(own, s[j], s[j].max() - 60)
@@ -168,7 +193,8 @@ def _label(model: LanguageModel, penalty: float, with_spans: bool):
         known, table = _known.get(model.name, ({}, np.zeros((1024, k), np.float32)))
         for b in slices(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
-            found = [WORD.findall(x) for x in texts]
+            cut = [units(x) for x in texts]
+            found = [x for x, _ in cut]
             new = {w for x in found for w in x} - known.keys()
             if len(known) + len(new) > most:
                 known, table, new = {}, np.zeros((1024, k), np.float32), {w for x in found for w in x}
@@ -182,7 +208,7 @@ def _label(model: LanguageModel, penalty: float, with_spans: bool):
             first = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
             flat = [w for x in found for w in x]
             at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat)) if k else np.zeros(len(flat), np.int64)
-            letters = np.fromiter(map(len, flat), np.int64, len(flat))
+            letters = np.fromiter((n for _, x in cut for n in x), np.int64, len(flat))
             best = viterbi(table[at], first, penalty) if k else np.zeros(len(flat), np.int8)
             text = np.repeat(np.arange(len(found)), np.diff(first))
             share = np.zeros((len(found), max(k, 1)))
@@ -194,7 +220,7 @@ def _label(model: LanguageModel, penalty: float, with_spans: bool):
             score = np.where(none, 0.0, share.max(axis=1) / np.maximum(total, 1))
             cols = {"doc_id": b.column(0), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score)}
             if with_spans:
-                cols["spans"] = pa.array([_spans(x, best[first[j] : first[j + 1]], model.languages) for j, x in enumerate(texts)], _SPANS)
+                cols["spans"] = pa.array([_spans(x, cut[j][1], best[first[j] : first[j + 1]], model.languages) for j, x in enumerate(texts)], _SPANS)
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
@@ -203,14 +229,15 @@ def _label(model: LanguageModel, penalty: float, with_spans: bool):
 _SPANS = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
 
-def _spans(text: str, best: np.ndarray, languages: list[str]) -> list[dict]:
-    """Ranges of code points from the first to the last word of each run of one language."""
+def _spans(text: str, letters: list[int], best: np.ndarray, languages: list[str]) -> list[dict]:
+    """Ranges of code points from the first to the last word, or piece, of each run of one language."""
     out: list[dict] = []
-    for m, k in zip(WORD.finditer(text), best, strict=True):
+    begin = (a for m in WORD.finditer(text) for a in range(m.start(), m.end(), PIECE))
+    for a, n, k in zip(begin, letters, best, strict=True):
         if out and out[-1]["lang"] == languages[k]:
-            out[-1]["end"] = m.end()
+            out[-1]["end"] = a + n
         elif languages:
-            out.append({"begin": m.start(), "end": m.end(), "lang": languages[k]})
+            out.append({"begin": a, "end": a + n, "lang": languages[k]})
     return out
 
 
@@ -218,7 +245,8 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, with_s
     """doc_id, text -> doc_id, lang_pred, score (share of the letters), spans: one row for each row.
 
     Only texts are read. A null text, and one without a letter, is `und` with score 0, and so is any if the model knows
-    no language; words in a script of no learned language follow their neighbours. Texts are whole, of any length.
+    no language; words in a script of no learned language follow their neighbours. Texts are whole, of any length,
+    and so are words: a run of over PIECE letters may hold spans of several languages.
     """
     schema = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * with_spans
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

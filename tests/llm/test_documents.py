@@ -178,6 +178,20 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(docs.limit(3), none).collect()} == {"und"}
 
 
+def test_language_scores_all_of_a_long_run(spark):
+    de, en = "unddernichteinekeitungschlechtwirdauch", "theandofthatwithwhichthroughshouldhave"
+    rows = [(k, " ".join(RNG.choice([x[j : j + 9] for j in range(20)]) for _ in range(60)), lang) for k in range(60) for x, lang in [((de, "de"), (en, "en"))[k % 2]]]
+    model = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    run = de[:38] + de[:2] + en * 60
+    assert len(language.pieces(run)) > 50
+    assert abs(model.scores(language.pieces(run)).sum(axis=0) - model.scores([run])[0]).max() < 0.1
+    assert model.scores([run])[0].argmax() == model.languages.index("en")
+    got = language.identify(spark.createDataFrame([(1, f"7 {run}. the"), (2, "\u0130" * 90)], "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    assert got[0]["lang_pred"] == "en" and 0.9 < got[0]["score"] < 1
+    assert [tuple(x) for x in got[0]["spans"]] == [(2, 42, "de"), (42, 2 + len(run) + 5, "en")]
+    assert [(x["begin"], x["end"]) for x in got[1]["spans"]] == [(0, 90)]
+
+
 def test_toxicity_grammar():
     m = toxicity.ToxicityModel({"=fool": 6.0, "^stup": 5.0})
     g = toxicity.grammar()
