@@ -7,23 +7,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tessera.llm import language
 from tessera.llm.common import staged, table
 from tessera.llm.decontamination import decontaminate
-from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.near_dedup import drop_near_copies
 from tessera.llm.packing import pack_documents
 from tessera.llm.substring_dedup import remove_repeats
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: texts without a letter, and those in which no language has half of the letters."""
-    found = language.identify(docs, language.fit(docs), with_spans=False)
-    bad = found.where((F.col("lang_pred") == language.UNKNOWN) | (F.col("score") < 0.5)).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad.hint("merge"), docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """Rejects what has no language: texts without a letter, and those in which no language has half of the letters. Rows are judged one by one."""
+    found = language.identify(docs, language.fit(docs), with_spans=False, carry=tuple(docs.columns))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).select("carried.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest id, once. Rows of a null id stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionAll(docs.where("doc_id is null"))
+    """Keeps of each group of near-duplicate texts the row with the smallest id, once. Rows of a null id stay."""
+    return drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

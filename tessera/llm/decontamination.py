@@ -40,8 +40,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """k1, k2, text: rows that share an id and a text are alike in every result, others are told apart."""
-    text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
+    k1, k2 = key_of(docs)
+    return docs.select(k1.alias("k1"), k2.alias("k2"), docs["text"].cast("string").alias("text"))
+
+
+def key_of(docs: DataFrame) -> tuple[Column, Column]:
+    return F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(1 << 63))), F.xxhash64(docs["text"].cast("string"))
 
 
 def id_of(k1: Column) -> Column:
@@ -136,6 +140,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     nothing; null and repeated ids are rows like others; an item with a null id counts as one with the id ''. An empty
     documents table gives an empty table, an empty items table no hit. Other columns are ignored.
     """
+    return _contamination(docs, items, size).select(id_of(F.col("k1")).alias("doc_id"), "n_words", "n_hit", "n_items", "items", "hits", "contaminated")
+
+
+def _contamination(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """contamination() by the keys of keyed()."""
     windows = windows_of(items, size).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "words")
     windows = staged(windows.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("phrase"), "words", "items"), "windows")
     index = build_index(docs, windows.select(F.explode("words").alias("term")))
@@ -148,10 +157,11 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     out = rows.join(each.hint("merge"), ["k1", "k2"], "left")
     n_hit = F.coalesce(F.col("n_hit").cast("bigint"), F.lit(0))
     none = F.array().cast("array<string>")
-    return out.select(id_of(F.col("k1")).alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "hits", (n_hit > 0).alias("contaminated"))
+    return out.select("k1", "k2", "n_words", n_hit.alias("n_hit"), F.size(F.coalesce("items", none)).cast("bigint").alias("n_items"), F.coalesce("items", none).alias("items"), "hits", (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of docs, all columns, in which no window of a test item stands. Rows of a null id that are hit go together."""
-    hit = staged(contamination(docs, items, size).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct(), "contaminated")
-    return docs.join(small(hit, hit.count()), docs["doc_id"].cast("bigint").eqNullSafe(hit["hit_id"]), "left_anti")
+    """The rows of docs, all columns, in which no window of a test item stands. Each row is judged by its own text."""
+    hit = staged(_contamination(docs, items, size).where("contaminated").select(F.col("k1").alias("hit1"), F.col("k2").alias("hit2")).distinct(), "contaminated")
+    k1, k2 = key_of(docs)
+    return docs.join(small(hit, hit.count()), (k1 == hit["hit1"]) & (k2 == hit["hit2"]), "left_anti")

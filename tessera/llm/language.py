@@ -218,7 +218,8 @@ def _label(model: LanguageModel, penalty: float, with_spans: bool):
             none = (total == 0) | (k == 0)
             langs = [UNKNOWN if none[j] else model.languages[top[j]] for j in range(len(found))]
             score = np.where(none, 0.0, share.max(axis=1) / np.maximum(total, 1))
-            cols = {"doc_id": b.column(0), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score)}
+            cols = {"carried": b.column(2)} if b.num_columns > 2 else {}
+            cols |= {"doc_id": b.column(0), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score)}
             if with_spans:
                 cols["spans"] = pa.array([_spans(x, cut[j][1], best[first[j] : first[j + 1]], model.languages) for j, x in enumerate(texts)], _SPANS)
             yield pa.RecordBatch.from_pydict(cols)
@@ -241,13 +242,15 @@ def _spans(text: str, letters: list[int], best: np.ndarray, languages: list[str]
     return out
 
 
-def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, with_spans: bool = True) -> DataFrame:
-    """doc_id, text -> doc_id, lang_pred, score (share of the letters), spans: one row for each row.
+def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, with_spans: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text -> doc_id, lang_pred, score (share of the letters), spans, and a struct of the columns in carry: one row for each row.
 
     Only texts are read. A null text, and one without a letter, is `und` with score 0, and so is any if the model knows
     no language; words in a script of no learned language follow their neighbours. Texts are whole, of any length,
     and so are words: a run of over PIECE letters may hold spans of several languages.
     """
     schema = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * with_spans
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    if carry:
+        schema = f"carried {rows.schema['carried'].dataType.simpleString()}, {schema}"
     return rows.mapInArrow(_label(model, penalty, with_spans), schema)

@@ -9,6 +9,8 @@ Work stays bounded for large groups: equal sets are one node; a bucket first tie
 member; only members that are then still in other components are compared with each other, and only those whose
 estimates are high leave that join. No pair is cut by a cap.
 
+A node's name is a 64-bit hash of its set.
+
 Chance of losing a link at similarity 0.75: all 40 bands differ (0.684**40, about 3e-7), or a sketch estimate is more
 than four standard deviations low.
 """
@@ -86,7 +88,7 @@ def least_agreement(similarity: float, samples: int, bits: int, deviations: floa
 
 
 def _signatures(k: int, kind: str):
-    """mapInArrow function: doc_id and either its signature, its fine sketch or its shingle set."""
+    """mapInArrow function: the other columns and either its signature, its fine sketch or its shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -94,8 +96,7 @@ def _signatures(k: int, kind: str):
             g, first = shingles(Words(texts, lower=True), k)
             n = np.diff(first)
             some = n > 0
-            ids = b.column(b.schema.get_field_index("doc_id"))
-            cols = {"doc_id": ids}
+            cols = {x: b.column(j) for j, x in enumerate(b.schema.names) if x != "text"}
             if kind == "set":
                 cols["set"] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(g.view(np.int64)))
             elif kind == "fine":
@@ -112,11 +113,11 @@ def _signatures(k: int, kind: str):
                     for r in range(ROWS):
                         key = mix(key * np.uint64(31) + m[:, j * ROWS + r])
                     keys[some, j] = key.view(np.int64)
-                whole = [np.zeros(len(n), np.uint64) for _ in range(2)]
+                whole = np.zeros(len(n), np.uint64)
                 if len(g):
                     at = first[:-1][some]
-                    whole[0][some], whole[1][some] = np.add.reduceat(mix(g), at), np.bitwise_xor.reduceat(mix(g + np.uint64(0x51)), at)
-                cols |= {"n": pa.array(n), "s1": pa.array(whole[0].view(np.int64)), "s2": pa.array(whole[1].view(np.int64))}
+                    whole[some] = mix(np.add.reduceat(mix(g), at) ^ mix(np.bitwise_xor.reduceat(mix(g + np.uint64(0x51)), at) + n[some].astype(np.uint64)))
+                cols |= {"n": pa.array(n), "node": pa.array(whole.view(np.int64))}
                 cols |= {f"b{j}": pa.array(keys[:, j]) for j in range(BANDS)} | {f"o{j}": pa.array(z[:, j]) for j in range(z.shape[1])}
             yield pa.RecordBatch.from_pydict(cols)
 
@@ -133,68 +134,100 @@ def _xor_count(letter: str, n: int, x: str, y: str) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
-    x = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("sv")).hint("merge"), "v")
-    y = x.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("su")).hint("merge"), "u")
+    x = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")).hint("merge"), "v")
+    y = x.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")).hint("merge"), "u")
     both = y.select("u", "v", F.size("su").alias("a"), F.size("sv").alias("b"), F.size(F.array_intersect("su", "sv")).alias("c"))
     return both.where(F.col("c") * 100 >= percent * (F.col("a") + F.col("b") - F.col("c"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, text -> doc_id, n_shingles, component_id, kept: one row for each row with an id.
+def near_texts(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, text -> doc_id, k2 (hash of the text), n, component: one row for each row with an id, judged by its own text.
 
-    Two texts are linked if their sets of distinct k-word shingles (A-Z lower-cased, words between white space) have
-    Jaccard similarity of percent / 100 or more; a text of fewer words is one shingle. Null and empty texts have no
-    shingle, are linked with nothing and kept. Rows of a null doc_id are left out; rows that share an id share its
-    component. Other columns are ignored. Texts are whole and of any length; an empty table gives an empty table.
+    Links as in near_duplicates(), but rows that share an id are not tied. A component is named by a node of it, and is
+    null if n, the number of shingles, is 0. The table is written to the shared folder.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    schema = f"doc_id bigint, n bigint, s1 bigint, s2 bigint, {_longs('b', BANDS)}, {_longs('o', COARSE_BITS // 64)}"
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k2"), text.alias("text")).where("doc_id is not null")
+    schema = f"doc_id bigint, k2 bigint, n bigint, node bigint, {_longs('b', BANDS)}, {_longs('o', COARSE_BITS // 64)}"
     sigs = staged(texts.mapInArrow(_signatures(k, "sig"), schema), "signatures")
 
-    # equal sets are one node, named by its smallest id; a row under one id with several texts joins them
-    classes = sigs.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    member = staged(sigs.where("n > 0").select("doc_id", "s1", "s2", "n").join(classes.hint("merge"), ["s1", "s2", "n"]).select("doc_id", "n", "rep"), "members")
-    reps = staged(sigs.where("n > 0").join(member.select("doc_id", "n", "rep").where("doc_id = rep").distinct().hint("merge"), ["doc_id", "n"]).drop("s1", "s2", "rep").dropDuplicates(["doc_id", "n"]), "nodes")
+    # equal sets are one node, named by the set's hash; a row of the smallest id stands for it
+    classes = sigs.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = staged(sigs.where("n > 0").join(classes.hint("merge"), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]), "nodes")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        own = reps.select("node", "doc_id", "k2").join(nodes.hint("merge"), "node", "left_semi")
+        return texts.join(own.hint("merge"), ["doc_id", "k2"]).select("node", "text")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+        return staged(texts_of(ends).mapInArrow(_signatures(k, "set"), "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
 
-    bands = reps.select("doc_id", F.explode(F.array(*(F.col(f"b{j}") for j in range(BANDS)))).alias("key"))
-    heads = bands.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
-    inside = staged(bands.join(heads.hint("merge"), "key"), "buckets")
+    bands = reps.select("node", "doc_id", F.explode(F.array(*(F.col(f"b{j}") for j in range(BANDS)))).alias("key"))
+    heads = bands.groupBy("key").agg(F.min_by("node", "doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
+    inside = staged(bands.drop("doc_id").join(heads.hint("merge"), "key"), "buckets")
 
-    # first each bucket's smallest member with the others
+    # first each bucket's member of the smallest id with the others
     sizes = (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
     coarse = _xor_count("o", COARSE_BITS // 64, "x", "y") <= least_agreement(percent / 100, BANDS * ROWS, COARSE_BITS, 4.5)
-    sketch = reps.select("doc_id", "n", *(f"o{j}" for j in range(COARSE_BITS // 64)))
-    star = inside.where("doc_id <> head").select(F.col("head").alias("u"), F.col("doc_id").alias("v")).distinct()
-    star = star.join(sketch.alias("x").hint("merge"), F.col("x.doc_id") == F.col("u")).join(sketch.alias("y").hint("merge"), F.col("y.doc_id") == F.col("v"))
+    sketch = reps.select("node", "n", *(f"o{j}" for j in range(COARSE_BITS // 64)))
+    star = inside.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
+    star = star.join(sketch.alias("x").hint("merge"), F.col("x.node") == F.col("u")).join(sketch.alias("y").hint("merge"), F.col("y.node") == F.col("v"))
     star = staged(star.where(sizes & coarse).select("u", "v"), "star")
-    links = staged(confirmed(star, _sets(texts, star, k), percent), "links")
+    links = staged(confirmed(star, sets_of(star), percent), "links")
     comps = staged(connected_components(links), "components")
 
     # then, in buckets that still hold several components, members of different components
-    placed = staged(inside.join(comps.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    placed = staged(inside.join(comps.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = staged(placed.join(mixed.hint("merge"), "key", "left_semi"), "open")
-    ids = open_.select("doc_id").distinct()
-    fine = texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_signatures(k, "fine"), f"doc_id bigint, {_longs('f', FINE_BITS // 64)}").dropDuplicates(["doc_id"])
-    full = staged(reps.drop(*(f"o{j}" for j in range(COARSE_BITS // 64))).join(fine.hint("merge"), "doc_id"), "fine")
-    rows = open_.join(full.hint("merge"), "doc_id")
+    fine = texts_of(open_.select("node").distinct()).mapInArrow(_signatures(k, "fine"), f"node bigint, {_longs('f', FINE_BITS // 64)}").dropDuplicates(["node"])
+    full = staged(reps.drop("doc_id", "k2", *(f"o{j}" for j in range(COARSE_BITS // 64))).join(fine.hint("merge"), "node"), "fine")
+    rows = open_.join(full.hint("merge"), "node")
     first_shared = ~reduce(lambda a, b: a | b, ((F.col(f"x.b{j}") == F.col(f"y.b{j}")) & F.col("x.later").getItem(j) for j in range(BANDS)))
     band = F.array_position(F.array(*(F.col(f"b{j}") for j in range(BANDS))), F.col("key"))
     rows = rows.withColumn("later", F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda j: j < band))
     close = _xor_count("f", FINE_BITS // 64, "x", "y") <= least_agreement(percent / 100, FINE_SAMPLES, FINE_BITS, 3.5)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & sizes & close & first_shared
-    rest = staged(rows.alias("x").join(rows.alias("y").hint("merge"), on).select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v")), "rest")
-    more = staged(confirmed(rest, _sets(texts, rest, k), percent), "links")
-
-    # members are tied to their node, nodes to each other; ids of several texts tie their nodes
-    tied = links.unionAll(more).unionAll(member.where("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
-    ends = connected_components(tied)
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(ends.select(F.col("id").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & sizes & close & first_shared
+    rest = staged(rows.alias("x").join(rows.alias("y").hint("merge"), on).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), "rest")
+    more = confirmed(rest, sets_of(rest), percent)
+
+    ends = staged(connected_components(links.unionAll(more)), "components")
+    out = sigs.select("doc_id", "k2", "n", "node").join(ends.withColumnRenamed("id", "node").hint("merge"), "node", "left")
+    return staged(out.select("doc_id", "k2", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("component")), "texts")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """doc_id, text -> doc_id, n_shingles, component_id, kept: one row for each row with an id.
+
+    Two texts are linked if their sets of distinct k-word shingles (A-Z lower-cased, words between white space) have
+    Jaccard similarity of percent / 100 or more; a text of fewer words is one shingle. Null and empty texts have no
+    shingle, are linked with nothing and kept. Rows of a null doc_id are left out; rows that share an id share its
+    component, with the links of all their texts. Other columns are ignored. Texts are whole and of any length; an empty
+    table gives an empty table.
+    """
+    rows = near_texts(docs, k, percent)
+    own = rows.where("component is not null").groupBy("doc_id").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    own = staged(own, "ids")
+    # ids of several texts tie their components
+    several = own.where("lo <> hi").select("doc_id", "lo")
+    tied = connected_components(rows.join(several.hint("merge"), "doc_id").select(F.col("lo").alias("u"), F.col("component").alias("v")).where("v is not null"))
+    own = own.select("doc_id", "lo").join(tied.select(F.col("id").alias("lo"), "component").hint("merge"), "lo", "left").select("doc_id", F.coalesce("component", "lo").alias("component"))
+    own = staged(own, "ids")
+    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    own = own.join(least.hint("merge"), "component").select("doc_id", "component_id")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(own.hint("merge"), "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _sets(texts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """Full shingle sets of the ids in pairs."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    return staged(texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_signatures(k, "set"), "doc_id bigint, set array<bigint>").dropDuplicates(["doc_id"]), "sets")
+def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns, less near-duplicates: of each component of near_texts() the row of the smallest id,
+    and of the smallest text hash under it, stays. Of rows alike in id and text any one stays; rows of a null id all do.
+    """
+    rows = near_texts(docs, k, percent)
+    kept = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "k2")).alias("r")).select("r.doc_id", "r.k2")
+    kept = kept.unionAll(rows.where("component is null").select("doc_id", "k2").distinct()).select(F.col("doc_id").alias("kept_id"), F.col("k2").alias("kept_k2"))
+    named = docs.where("doc_id is not null").withColumn("_k2", F.xxhash64(F.col("text").cast("string")))
+    named = named.join(kept.hint("merge"), (F.col("doc_id").cast("bigint") == F.col("kept_id")) & (F.col("_k2") == F.col("kept_k2")), "left_semi")
+    return named.dropDuplicates(["doc_id", "_k2"]).select(docs.columns).unionAll(docs.where("doc_id is null"))

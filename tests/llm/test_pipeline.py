@@ -1,7 +1,11 @@
 """The pipeline's stages one by one against plain versions of what each decides."""
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm.common import staged
+from tessera.llm.near_dedup import near_duplicates
 
 from . import brute
 
@@ -25,3 +29,26 @@ def test_pipeline(spark):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert sorted(i for i, _ in rows[4]) == sorted(x[0] for x in brute.contamination(rows[3], items) if not x[5])
     assert {r["doc_id"] for r in seen[-1].collect()} == {i for i, _ in rows[4]}
+
+
+@pytest.mark.parametrize("stage", ["language", "near_dedup", "decontamination"])
+def test_stages_judge_rows_of_null_and_repeated_ids_by_their_own_text(spark, stage):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy(F.desc(F.length("text"))).first()["text"]
+    lost = {"language": "12 34", "decontamination": item}.get(stage)
+    texts = [" ".join(f"{'abcdefgh'[j % 8]}word{'xyz'[k]}{'pqrstu'[j * j % 6]}{'klmno'[j % 5]}" for j in range(90)) for k in range(3)]
+    rows = [(i, t) for i in (None, -7) for t in (texts[0], texts[1], lost) if t is not None] + [(-6, texts[1] + " more"), (-5, texts[2])]
+    extra = spark.createDataFrame(rows, "doc_id bigint, text string")
+    more = docs.limit(1).drop("doc_id", "text").crossJoin(extra).select(docs.columns)
+    x = dict(corpus_pipeline.STAGES)[stage](spark, staged(docs.unionAll(more), "in"), SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in x.where("doc_id is null or doc_id < 0").collect()), key=repr)
+    want = [r for r in rows if r[1] != lost and not (stage == "near_dedup" and r[0] == -6)]
+    assert got == sorted(want, key=repr)
+    assert x.schema == docs.schema
+
+
+def test_near_duplicates_keep_the_links_of_all_texts_of_an_id(spark):
+    text = [" ".join(f"t{k}w{j}" for j in range(60)) for k in range(3)]
+    rows = [(1, text[0]), (5, text[0] + " x"), (5, text[1]), (6, text[1] + " y"), (5, text[2]), (4, text[2]), (9, None), (9, text[2] + " z"), (10, "")]
+    x = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in x) == sorted((i, 10 if i == 10 else 1, i in (1, 10)) for i, _ in rows)
