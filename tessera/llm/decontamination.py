@@ -123,11 +123,12 @@ def proximity_matches(index: Index, phrases: DataFrame, slack: int = 5) -> DataF
     of = plan.select("phrase", F.explode(F.array_distinct("words")).alias("term")).join(small(index.terms, index.n_terms), "term").select("phrase", "t")
     need = of.groupBy("phrase").agg(F.count("*").alias("need"))
     wide = rare.join(small(of, n), "phrase")
-    # terms meet their postings only in the same stretch of a text or the next
-    step = F.lit(64) + slack
-    a = wide.withColumn("stretch", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("place") / step) + d)))
+    # terms meet their postings only in the stretches of a text that are in reach
+    step, reach = F.lit(64) + slack, F.col("len") + slack
+    near = F.sequence(F.floor(F.greatest(F.col("place") - reach, F.lit(0)) / step), F.floor((F.col("place") + reach) / step))
+    a = wide.withColumn("stretch", F.explode(near))
     b = index.postings.withColumn("stretch", F.floor(F.col("pos") / step))
-    met = a.join(b.hint("merge"), ["k1", "k2", "t", "stretch"]).where(F.abs(F.col("pos") - F.col("place")) <= F.col("len") + slack)
+    met = a.join(b.hint("merge"), ["k1", "k2", "t", "stretch"]).where(F.abs(F.col("pos") - F.col("place")) <= reach)
     return met.groupBy("k1", "k2", "phrase", "place").agg(F.count_distinct("t").alias("have")).join(small(need, n), "phrase").where("have = need").select("k1", "k2", "phrase", "place")
 
 

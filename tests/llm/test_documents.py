@@ -93,6 +93,16 @@ def test_proximity(spark):
     assert {r["k1"] for r in proximity_matches(index, phrases, 5).collect()} == {1, 2}
 
 
+def test_proximity_of_a_phrase_of_over_64_words(spark):
+    words = [f"p{j}" for j in range(150)]
+    back = words[::-1]
+    docs = frame(spark, [(n, " ".join(["q"] * 61 * n + back[:70] + ["z"] * n + back[70:])) for n in (0, 5, 6, 7)])
+    phrases = spark.createDataFrame([(9, words)], "phrase bigint, words array<string>")
+    index = build_index(docs, phrases.select(F.explode("words").alias("term")))
+    got = {(r["k1"], r["place"]) for r in proximity_matches(index, phrases, 5).collect()}
+    assert got == {(n, 62 * n + 149) for n in (0, 5, 6)}
+
+
 def test_quality(spark, hard):
     rows = [*hard, hard[7], (None, None)]
     x = quality(frame(spark, rows))
