@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,14 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share: spark.checkpoint.dir of the session.
+    """The folder that all executors and the driver share: spark.checkpoint.dir of the session, with its scheme.
 
-    Only where the setting is missing (tests on one machine) a temporary folder is made and set.
+    Only where the setting is missing and the master is local (tests on one machine) a temporary folder is made and set;
+    on a cluster that is an error. A path without a scheme is one of the session's default store, as for Spark itself.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
+    if "://" not in found:
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return found.rstrip("/")
 
 
@@ -37,5 +44,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
+def sampled(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """About `most` rows, those of the smallest hashes of `by`: a bound for what a model is fitted on."""
+    share = min(1.0, most / max(1, rows.count()))
+    return rows if share == 1 else rows.where(F.shiftrightunsigned(F.xxhash64(*by), 1) < int(share * (1 << 63)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

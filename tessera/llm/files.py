@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 
 from pyarrow import fs
 
 
 def open_store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), os.path.abspath(uri))
+    """A file's store and its path there. The scheme says which; a bare path would be another place on each executor."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", uri):
+        raise ValueError(f"a path without a scheme: {uri}")
+    return fs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
 def write_file(uri: str, data: bytes) -> None:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import held_out
+from .common import held_out, sampled
 from .textbytes import slices
 
 UNKNOWN = "und"
@@ -176,8 +176,7 @@ def fit(docs: DataFrame, max_fit_docs: int = 20_000, max_grams: int = 50_000) ->
     The model keeps the max_grams most frequent trigrams of each language, so its size has a bound.
     """
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    share = min(1.0, max_fit_docs / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    rows = sampled(rows, max_fit_docs, "doc_id")
     counts = rows.select("text", "lang").mapInArrow(_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= max_grams)
     return LanguageModel([tuple(x) for x in ranked.select("lang", "gram", "n").collect()])

@@ -100,16 +100,16 @@ def _pieces(path: str, size: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = word_tokens(path, end)
         for b in slices(batches):
-            ids, piece, start, length, crc = [], [], [], [], []
-            for doc, raw in zip(b.column(0).to_pylist(), tokens.encode(b.column(1).to_pylist()), strict=True):
-                for k, at in enumerate(range(0, len(raw), 4 * size)):
-                    own = raw[at : at + 4 * size]
-                    ids.append(doc)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(own) // 4)
-                    crc.append(zlib.crc32(own))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            ids, first = tokens.encode(b.column(1))
+            n = np.diff(first)
+            each = -(-n // size)
+            doc = np.repeat(np.arange(b.num_rows), each)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+            begin = first[doc] + piece * size
+            stop = np.minimum(begin + size, first[doc + 1])
+            data = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).take(pa.array(doc)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(piece * size), "length": pa.array(stop - begin), "ids_crc32": pa.array(crc, pa.int64())})
 
     return run
 

@@ -1,8 +1,13 @@
 """Token sequences in training order, in shards of fixed stride.
 
-Documents are cut into sequences of one length; a keyed Feistel permutation with cycle-walking gives each sequence its
-slot in the order of training, without a sort or a table of the whole order. Shards are ranges of slots: a sequence's
-file and place follow from its slot alone, so a reader goes on anywhere without an index.
+Documents are dealt to blocks by a hash of their id and text; a block's documents, in the order of id and text, are joined end
+to end and cut into sequences of one length. A keyed Feistel permutation with cycle-walking gives each sequence its slot in
+the order of training, without a sort or a table of the whole order. So slots follow from the corpus and the key alone,
+however the input is split. Each partition is a range of slots and writes one shard: a sequence's file and place follow from
+its slot, so a reader goes on anywhere without an index.
+
+The permutation needs the number of sequences, so texts are tokenized twice: once for each block's number of ids, once for
+the ids. That takes less disk than keeping all ids between the two.
 """
 
 from __future__ import annotations
@@ -12,8 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import scratch, staged
 from .files import read_file, write_file
@@ -21,6 +25,8 @@ from .textbytes import mix, slices
 from .tokens import vocabulary, word_tokens
 
 ROUNDS = 4
+#: Bytes of text in a block, if that makes no more than MAX_BLOCKS of them; so the table of blocks has a bound whatever the input.
+BLOCK_BYTES, MAX_BLOCKS = 32 << 20, 1 << 16
 
 
 def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -39,39 +45,65 @@ def feistel(x: np.ndarray, n: int, key: int) -> np.ndarray:
     return y.astype(np.int64)
 
 
-def _sequences(path: str, length: int, end: int):
-    """The texts of a task (a block) -> their ids joined and cut; the last sequence of a block may be shorter."""
+def _counts(path: str, end: int):
+    """(block, text) -> partial numbers of ids of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(path, end)
-        block, held, number, size = TaskContext.get().partitionId(), b"", 0, 4 * length
+        tokens, total = word_tokens(path, end), {}
         for b in slices(batches):
-            held += b"".join(tokens.encode(b.column(0).to_pylist()))
-            whole = len(held) // size
-            if whole:
-                yield _packed([(block, number + k, held[k * size : (k + 1) * size]) for k in range(whole)])
-            held, number = held[whole * size :], number + whole
-        if held:
-            yield _packed([(block, number, held)])
+            n = np.diff(tokens.encode(b.column(1))[1])
+            for block, size in zip(b.column(0).to_pylist(), n.tolist(), strict=True):
+                total[block] = total.get(block, 0) + size
+        yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
     return run
 
 
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    """Ids are kept as 16-bit numbers where they fit, deflated on their way to the shards."""
-    return pa.RecordBatch.from_pydict({"block": pa.array([x[0] for x in rows], pa.int64()), "number": pa.array([x[1] for x in rows], pa.int64()), "n_tokens": pa.array([len(x[2]) // 4 for x in rows], pa.int32()), "ids": pa.array([zlib.compress(np.frombuffer(x[2], "<u4").astype("<u2").tobytes(), 1) for x in rows], pa.binary())})
+def _encoded(path: str, end: int):
+    """Rows with a text -> the others and the text's ids as deflated 16-bit numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = word_tokens(path, end)
+        for b in slices(batches):
+            ids, first = tokens.encode(b.column(b.schema.get_field_index("text")))
+            data = memoryview(ids.astype("<u2").tobytes())
+            packed = [zlib.compress(data[2 * x : 2 * y], 1) for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            cols = {n: b.column(j) for j, n in enumerate(b.schema.names) if n != "text"}
+            yield pa.RecordBatch.from_pydict(cols | {"ids": pa.array(packed, pa.binary())})
+
+    return run
+
 
+def _sequences(length: int, before: dict[int, int], n: int, key: int):
+    """(block, ids) ordered by block and document -> slot, n_tokens, ids; the last sequence of a block may be shorter."""
 
-def _slots(n: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, number, size = None, b"", 0, 2 * length
+
+        def cut(last: bool) -> pa.RecordBatch:
+            nonlocal held, number
+            parts = [held[k : k + size] for k in range(0, len(held) if last else len(held) // size * size, size)]
+            slots = feistel(before[block] + number + np.arange(len(parts)), n, key)
+            held, number = held[len(parts) * size :], number + len(parts)
+            return pa.RecordBatch.from_pydict({"slot": pa.array(slots), "n_tokens": pa.array([len(x) // 2 for x in parts], pa.int32()), "ids": pa.array([zlib.compress(x, 1) for x in parts], pa.binary())})
+
         for b in batches:
-            at = b.schema.get_field_index("sequence_id")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(feistel(b.column(at).to_numpy(), n, key))], names=[*b.schema.names, "slot"])
+            blocks, ids = b.column(0).to_numpy(), b.column(b.num_columns - 1)
+            edge = np.flatnonzero(np.diff(blocks, prepend=blocks[0] - 1)) if len(blocks) else []
+            for x, y in zip(edge, [*edge[1:], len(blocks)], strict=True):
+                if block is not None and blocks[x] != block:
+                    yield cut(last=True)
+                    number = 0
+                block = int(blocks[x])
+                held += b"".join(zlib.decompress(v) for v in ids.slice(x, y - x).to_pylist())
+                yield cut(last=False)
+        if block is not None:
+            yield cut(last=True)
 
     return run
 
 
-def _shards(uri: str, n: int, per_shard: int, length: int):
+def _shards(uri: str, per_shard: int, length: int):
     """Rows ordered by slot -> files; each shard is written whole when its last row has come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +115,11 @@ def _shards(uri: str, n: int, per_shard: int, length: int):
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "file": [name], "first_slot": pa.array([shard * per_shard], pa.int64()), "rows": pa.array([len(data) // (2 * length + 4)], pa.int64())})
 
         for b in batches:
-            for own, n_tokens, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if own != shard:
+            for slot, n_tokens, ids in zip(*(b.column(j).to_pylist() for j in range(3)), strict=True):
+                if slot // per_shard != shard:
                     if shard is not None:
                         yield done()
-                    shard, data = own, bytearray()
+                    shard, data = slot // per_shard, bytearray()
                 raw = zlib.decompress(ids)
                 data += np.array([n_tokens], "<u4").tobytes() + raw + bytes(2 * length - len(raw))
         if shard is not None:
@@ -96,27 +128,33 @@ def _shards(uri: str, n: int, per_shard: int, length: int):
     return run
 
 
-def write_shards(docs: DataFrame, uri: str, length: int = 2048, per_shard: int = 512, key: int = 1337, end: int = 1, path: str | None = None) -> tuple[DataFrame, int]:
+def write_shards(docs: DataFrame, uri: str, length: int = 2048, per_shard: int = 8192, key: int = 1337, end: int = 1, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """doc_id, text -> shard files under a folder. Returns their manifest (shard, file, first_slot, rows) and the number of slots.
 
     A file is rows of one stride: the number of ids as an unsigned 32-bit number, then `length` unsigned 16-bit ids, padded
-    with zeros. A task's texts are joined end to end before they are cut, so slots follow from the texts, how the input is
-    split, and the key. Vocabularies of more than 65,536 ids are refused.
+    with zeros. Null and empty texts are their end id; null ids are ids like others; repeated rows all stay, and those
+    alike in id and text share a block; other columns are ignored; an empty table gives an empty manifest. Vocabularies of
+    more than 65,536 ids are refused.
     """
     path = path or vocabulary()
     if word_tokens(path, end).tokenizer.get_vocab_size() > 1 << 16:
         raise ValueError("ids don't fit 16 bits")
-    rows = docs.select(F.col("text").cast("string").alias("text"))
-    seqs = staged(rows.mapInArrow(_sequences(path, length, end), "block bigint, number bigint, n_tokens int, ids binary"), "sequences")
-    counts = seqs.groupBy("block").agg(F.count("*").alias("n"))
-    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row a block
-    before = staged(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "blocks")
-    n = before.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = seqs.join(F.broadcast(before.drop("n")), "block").withColumn("sequence_id", F.col("before") + F.col("number")).select("sequence_id", "n_tokens", "ids")
-    placed = placed.mapInArrow(_slots(n, key), "sequence_id bigint, n_tokens int, ids binary, slot bigint").withColumn("shard", F.floor(F.col("slot") / per_shard))
-    placed = placed.repartition("shard").sortWithinPartitions("slot").select("shard", "n_tokens", "ids")
-    return staged(placed.mapInArrow(_shards(uri, n, per_shard, length), "shard bigint, file string, first_slot bigint, rows bigint"), "shards"), n
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("k2", F.xxhash64("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = min(MAX_BLOCKS, max(1, -(-size // block_bytes)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "k2"), F.lit(blocks)))
+    counts = rows.select("block", "text").mapInArrow(_counts(path, end), "block bigint, n bigint").groupBy("block").agg(F.sum("n").alias("n"))
+    # at most MAX_BLOCKS rows
+    before, n = {}, 0
+    for x in sorted(counts.collect()):
+        before[x["block"]] = n
+        n += -(-x["n"] // length)
+    ids = rows.select("block", "doc_id", "k2", "text").mapInArrow(_encoded(path, end), "block bigint, doc_id bigint, k2 bigint, ids binary")
+    ids = ids.repartition(blocks, "block").sortWithinPartitions("block", "doc_id", "k2")
+    placed = ids.mapInArrow(_sequences(length, before, n, key), "slot bigint, n_tokens int, ids binary")
+    # a partition is the range of slots of one shard
+    placed = placed.repartitionById(max(1, -(-n // per_shard)), F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("slot")
+    return staged(placed.mapInArrow(_shards(uri, per_shard, length), "shard bigint, file string, first_slot bigint, rows bigint"), "shards"), n
 
 
 def read_slots(spark: SparkSession, manifest: DataFrame, length: int = 2048, start: int = 0) -> DataFrame:
@@ -141,8 +179,7 @@ def read_slots(spark: SparkSession, manifest: DataFrame, length: int = 2048, sta
 def materialised(docs: DataFrame, uri: str | None = None, length: int = 2048) -> DataFrame:
     """doc_id, text -> shards on the shared folder, and what read_slots() reads from them: one row for each slot.
 
-    Null and empty texts are their end id; null ids and repeated rows are written like others; texts are whole and of
-    any length; other columns are ignored; an empty table gives an empty table.
+    Nulls, empty and long texts, repeated rows, other columns and empty tables: as in write_shards().
     """
     spark = docs.sparkSession
     manifest, _ = write_shards(docs, uri or scratch(spark, "shards"), length)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held_out, staged
+from .common import held_out, sampled, staged
 from .near_dedup import minhashes, shingles
 from .textbytes import Words, slices
 
@@ -203,8 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 20_000, max_patt
     more); beginnings that say as much replace the words they cover. At most max_patterns candidates are looked at.
     """
     rows = labels.where("toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = min(1.0, max_fit_docs / max(1, rows.count()))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
+    rows = sampled(rows, max_fit_docs, "doc_id")
     # about max_fit_docs rows, whatever the input
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(rows), "doc_id")
     # copies of one text would count as many witnesses: one of them stays

@@ -3,6 +3,8 @@
 import collections
 import hashlib
 import re
+import struct
+import zlib
 
 SPACE_WORD = re.compile("[^\x20\x09-\x0d]+")
 ITEM_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -85,3 +87,27 @@ def base_counts(text):
         if count[tuple(w[j : j + 3])] > 1:
             rep[j : j + 3] = [1] * 3
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, sum(rep)
+
+
+def token_bytes(texts, end=1):
+    """Each whole text's ids by the tokenizer, and the end id, as bytes."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm.tokens import vocabulary
+
+    t = Tokenizer.from_file(vocabulary())
+    return [struct.pack(f"<{len(x) + 1}I", *x, end) for x in (t.encode(s or "", add_special_tokens=False).ids for s in texts)]
+
+
+def shard_slots(rows, n_bytes, block_bytes, length, slot_of):
+    """Rows of doc_id, text, k2, h (hash of both) -> slot: number of ids, crc32 of them as 32-bit numbers."""
+    blocks = max(1, -(-n_bytes // block_bytes))
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r["h"] % blocks].append(r)
+    parts = []
+    for b in sorted(by):
+        own = sorted(by[b], key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["k2"]))
+        data = b"".join(token_bytes([r["text"] for r in own]))
+        parts += [data[k : k + 4 * length] for k in range(0, len(data), 4 * length)]
+    return {slot_of(k, len(parts)): (len(x) // 4, zlib.crc32(x)) for k, x in enumerate(parts)}

@@ -3,6 +3,8 @@
 import random
 import zlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,9 +120,8 @@ def test_packing(spark, hard):
     rows = [*hard, hard[7], (None, prose(90))]
     size = 64
     x = pack_documents(frame(spark, rows), size=size).collect()
-    tokens = WordTokens(vocabulary())
     want = []
-    for (i, _), raw in zip(rows, tokens.encode([t for _, t in rows]), strict=True):
+    for (i, _), raw in zip(rows, brute.token_bytes([t for _, t in rows]), strict=True):
         want += [(i, k, at // 4, len(raw[at : at + 4 * size]) // 4, zlib.crc32(raw[at : at + 4 * size])) for k, at in enumerate(range(0, len(raw), 4 * size))]
     assert sorted(map(repr, (tuple(r)[:5] for r in x))) == sorted(map(repr, want))
     at = {}
@@ -150,27 +151,44 @@ def test_plan_is_best_fit_decreasing():
 
 
 def test_tokens_are_the_tokenizers():
-    from tokenizers import Tokenizer
-    import numpy as np
+    texts = ["The cat's 123 é ΣΑΣ Σ", "", "a<|startoftext|>b <|endoftext|>c", "<|STARTOFTEXT|>", " x\x1cy z ", "é é", None, "İ x9y ½²Ⅷ", "“'S”.'ll .\u0301x \u0958 <\u0338"]
+    texts += [f"a{chr(c)}b'S{chr(c)} .{chr(c)}-Z1" for c in range(0x400)]
+    texts += [r[0] for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).to_pandas().itertuples(index=False)]
+    for most in (2_000_000, 50):
+        tokens = WordTokens(vocabulary(), most=most)
+        for at in range(0, len(texts), 97):
+            part = texts[at : at + 97]
+            ids, first = tokens.encode(pa.array(part, pa.string()))
+            assert [ids[a:b].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)] == brute.token_bytes(part)
 
-    t = Tokenizer.from_file(vocabulary())
-    texts = ["The cat's 123 é ΣΑΣ Σ", "", "a<|startoftext|>b <|endoftext|>c", " x\x1cy z ", "é é", None]
-    want = [np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for x in texts]
-    assert WordTokens(vocabulary()).encode(texts) == want
+
+def test_whole_texts_of_other_vocabularies():
+    tokens = WordTokens(vocabulary("byte_bpe_50k.json"), end=7)
+    ids, first = tokens.encode(pa.array(["a b", None, "é  x"]))
+    assert tokens.pieces is None and [int(ids[x - 1]) for x in first[1:]] == [7, 7, 7] and first[2] - first[1] == 1
+    assert tokens.tokenizer.decode(ids[first[2] : first[3] - 1].tolist()) == "é  x"
 
 
 def test_shards(spark, hard, tmp_path):
     assert sorted(feistel(range(1000), 1000, 9)) == list(range(1000)) and list(feistel([0], 1, 3)) == [0]
-    df = frame(spark, [*hard, hard[7], (None, "x")], 2)
-    manifest, n = write_shards(df, f"file://{tmp_path}/a", length=32, per_shard=10)
-    x = read_slots(spark, manifest, 32).collect()
-    assert sorted(r["slot"] for r in x) == list(range(n)) and all(r["shard"] == r["slot"] // 10 for r in x)
-    total = sum(len(b) // 4 for b in WordTokens(vocabulary()).encode([t for _, t in [*hard, hard[7], (None, "x")]]))
-    assert sum(r["n_tokens"] for r in x) == total
-    late = {r["slot"]: r["ids_crc32"] for r in read_slots(spark, manifest, 32, start=25).collect()}
-    assert late == {r["slot"]: r["ids_crc32"] for r in x if r["slot"] >= 25}
-    empty, none = write_shards(frame(spark, []), f"file://{tmp_path}/b", length=32)
+    rows = [*hard, hard[7], (None, "x"), (None, None)]
+    want = None
+    for parts, folder in ((2, "a"), (5, "b")):
+        df = frame(spark, rows, parts)
+        manifest, n = write_shards(df, f"file://{tmp_path}/{folder}", length=32, per_shard=10, block_bytes=4000)
+        x = read_slots(spark, manifest, 32).collect()
+        assert sorted(r["slot"] for r in x) == list(range(n)) and all(r["shard"] == r["slot"] // 10 and r["offset"] == r["slot"] % 10 * 68 for r in x)
+        # the ids of each slot, from a plain version of blocks, sequences and slots
+        if want is None:
+            keyed = df.select("doc_id", "text", F.xxhash64("text").alias("k2")).withColumn("h", F.xxhash64("doc_id", "k2")).collect()
+            want = brute.shard_slots(keyed, sum(len((t or "").encode()) for _, t in rows), 4000, 32, lambda k, n: int(feistel([k], n, 1337)[0]))
+        assert {r["slot"]: (r["n_tokens"], r["ids_crc32"]) for r in x} == want
+        late = {r["slot"]: r["ids_crc32"] for r in read_slots(spark, manifest, 32, start=25).collect()}
+        assert late == {k: c for k, (_, c) in want.items() if k >= 25}
+    empty, none = write_shards(frame(spark, []), f"file://{tmp_path}/c", length=32)
     assert none == 0 and read_slots(spark, empty, 32).count() == 0
+    with pytest.raises(Exception, match="without a scheme"):
+        write_shards(frame(spark, hard[:3]), f"{tmp_path}/d", length=32)
 
 
 def test_language(spark):
