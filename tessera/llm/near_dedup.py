@@ -5,14 +5,16 @@ folded into a parity bitmap (an odd sketch), give the size of the symmetric diff
 population count of the XOR of their bitmaps, and so an estimate of high similarities. Candidates whose estimate is
 far under the threshold go; the others are confirmed on their full shingle sets.
 
-Work stays bounded for large groups: equal sets are one node; a bucket first ties its members to its smallest
-member; only members that are then still in other components are compared with each other, and only those whose
-estimates are high leave that join. No pair is cut by a cap.
+Work stays bounded for large groups. Equal sets are one node. A bucket first ties its members to its smallest member. Of
+members that are then still in several components, those stay that have one of their rarest shingles in common with
+another component (an exact filter: texts that only share boilerplate go); and a bucket's largest component is met by the
+bucket's others, not compared with itself. What can still grow with the square of a bucket is texts that share
+rare shingles and aren't linked. No pair is cut by a cap.
 
 A node's name is a 64-bit hash of its set.
 
-Chance of losing a link at similarity 0.75: all 40 bands differ (0.684**40, about 3e-7), or a sketch estimate is more
-than four standard deviations low.
+Chance of losing a link at similarity 0.75: all 40 bands differ (0.684**40, about 3e-7), or one of two sketch estimates is
+more than 4.5 standard deviations low (about 3e-6 each); links of higher similarity are lost far more seldom.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from .textbytes import Words, grams, mix, owners, slices
 BANDS, ROWS = 40, 4
 #: Bits of the sketch of the band samples, and samples and bits of the finer sketch.
 COARSE_BITS, FINE_SAMPLES, FINE_BITS = 512, 1024, 4096
+DEVIATIONS = 4.5
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,6 +143,43 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("c") * 100 >= percent * (F.col("a") + F.col("b") - F.col("c"))).select("u", "v")
 
 
+def several(placed: DataFrame, key: str) -> DataFrame:
+    """The rows of (key, component, ...) whose key has several components."""
+    mixed = placed.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(key)
+    return placed.join(staged(mixed, "mixed").hint("merge"), key, "left_semi")
+
+
+def comparable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (node, component): the nodes that may be linked with one of another component. None that is gets lost.
+
+    If each of two linked sets is listed from its rarest shingle on, some shingle is among the first (100 - percent) in a
+    hundred, and one more, of both. A shingle of one set alone is met by nothing, so only shared ones are listed and the
+    others come off that number.
+    """
+    x = sets.join(members.hint("merge"), "node").select("node", "component", F.size("set").alias("n"), F.explode("set").alias("t"))
+    shared = x.groupBy("t").agg(F.count("*").alias("c"), (F.min("component") != F.max("component")).alias("mixed")).where("c > 1")
+    own = x.join(staged(shared, "shared").hint("merge"), "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t", "mixed"))).alias("own"))
+    room = F.expr(f"cast(n * {100 - percent} div 100 + 1 - n + size(own) as int)")
+    return own.where((room > 0) & F.exists(F.slice("own", F.lit(1), F.greatest(room, F.lit(1))), lambda s: s["mixed"])).select("node")
+
+
+def across(open_: DataFrame, reps: DataFrame, near: Column) -> DataFrame:
+    """(key, node, component) -> pairs (u, v) of nodes of different components that share a bucket and are near by their sketches.
+
+    Members of a bucket's largest component aren't compared with each other, but only met by the bucket's others. A pair
+    is made in the first bucket that it shares.
+    """
+    homes = open_.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("home"))
+    rows = open_.join(staged(homes, "homes").hint("merge"), "key").join(reps.hint("merge"), "node")
+    band = F.array_position(F.array(*(F.col(f"b{j}") for j in range(BANDS))), F.col("key")).cast("int")
+    rows = staged(rows.withColumn("band", band), "rows")
+    earlier = reduce(lambda a, b: a | b, ((F.col(f"x.b{j}") == F.col(f"y.b{j}")) & (F.col("x.band") > j + 1) for j in range(BANDS)))
+    once = (F.col("y.component") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
+    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & near & ~earlier
+    pairs = rows.where("component <> home").alias("x").join(rows.alias("y").hint("merge"), on)
+    return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+
+
 def near_texts(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, text -> doc_id, k2 (hash of the text), n, component: one row for each row with an id, judged by its own text.
 
@@ -164,12 +204,12 @@ def near_texts(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
         return staged(texts_of(ends).mapInArrow(_signatures(k, "set"), "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
 
     bands = reps.select("node", "doc_id", F.explode(F.array(*(F.col(f"b{j}") for j in range(BANDS)))).alias("key"))
-    heads = bands.groupBy("key").agg(F.min_by("node", "doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
+    heads = staged(bands.groupBy("key").agg(F.min_by("node", "doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"), "heads")
     inside = staged(bands.drop("doc_id").join(heads.hint("merge"), "key"), "buckets")
 
     # first each bucket's member of the smallest id with the others
-    sizes = (F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n"))
-    coarse = _xor_count("o", COARSE_BITS // 64, "x", "y") <= least_agreement(percent / 100, BANDS * ROWS, COARSE_BITS, 4.5)
+    sizes = F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")
+    coarse = _xor_count("o", COARSE_BITS // 64, "x", "y") <= least_agreement(percent / 100, BANDS * ROWS, COARSE_BITS, DEVIATIONS)
     sketch = reps.select("node", "n", *(f"o{j}" for j in range(COARSE_BITS // 64)))
     star = inside.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
     star = star.join(sketch.alias("x").hint("merge"), F.col("x.node") == F.col("u")).join(sketch.alias("y").hint("merge"), F.col("y.node") == F.col("v"))
@@ -177,20 +217,21 @@ def near_texts(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     links = staged(confirmed(star, sets_of(star), percent), "links")
     comps = staged(connected_components(links), "components")
 
-    # then, in buckets that still hold several components, members of different components
-    placed = staged(inside.join(comps.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = staged(placed.join(mixed.hint("merge"), "key", "left_semi"), "open")
-    fine = texts_of(open_.select("node").distinct()).mapInArrow(_signatures(k, "fine"), f"node bigint, {_longs('f', FINE_BITS // 64)}").dropDuplicates(["node"])
-    full = staged(reps.drop("doc_id", "k2", *(f"o{j}" for j in range(COARSE_BITS // 64))).join(fine.hint("merge"), "node"), "fine")
-    rows = open_.join(full.hint("merge"), "node")
-    first_shared = ~reduce(lambda a, b: a | b, ((F.col(f"x.b{j}") == F.col(f"y.b{j}")) & F.col("x.later").getItem(j) for j in range(BANDS)))
-    band = F.array_position(F.array(*(F.col(f"b{j}") for j in range(BANDS))), F.col("key"))
-    rows = rows.withColumn("later", F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda j: j < band))
-    close = _xor_count("f", FINE_BITS // 64, "x", "y") <= least_agreement(percent / 100, FINE_SAMPLES, FINE_BITS, 3.5)
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & sizes & close & first_shared
-    rest = staged(rows.alias("x").join(rows.alias("y").hint("merge"), on).select(F.col("x.node").alias("u"), F.col("y.node").alias("v")), "rest")
-    more = confirmed(rest, sets_of(rest), percent)
+    # then members of different components, in buckets that hold several
+    placed = inside.join(comps.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left")
+    placed = staged(placed.select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    open_ = staged(several(placed, "key"), "open")
+    members = staged(open_.select("node", "component").distinct(), "members")
+    sets = staged(texts_of(members.select("node")).mapInArrow(_signatures(k, "set"), "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
+    able = comparable(members, sets, percent)
+    open_ = staged(several(open_.join(able.hint("merge"), "node", "left_semi"), "key"), "open")
+    rest = staged(across(open_, reps.drop("doc_id", "k2"), sizes & coarse), "across")
+    ends = rest.select(F.col("u").alias("node")).unionAll(rest.select(F.col("v").alias("node"))).distinct()
+    fine = staged(texts_of(ends).mapInArrow(_signatures(k, "fine"), f"node bigint, {_longs('f', FINE_BITS // 64)}").dropDuplicates(["node"]), "fine")
+    close = _xor_count("f", FINE_BITS // 64, "x", "y") <= least_agreement(percent / 100, FINE_SAMPLES, FINE_BITS, DEVIATIONS)
+    rest = rest.join(fine.alias("x").hint("merge"), F.col("x.node") == F.col("u")).join(fine.alias("y").hint("merge"), F.col("y.node") == F.col("v"))
+    rest = staged(rest.where(close).select("u", "v"), "rest")
+    more = confirmed(rest, sets, percent)
 
     ends = staged(connected_components(links.unionAll(more)), "components")
     out = sigs.select("doc_id", "k2", "n", "node").join(ends.withColumnRenamed("id", "node").hint("merge"), "node", "left")
