@@ -52,3 +52,11 @@ def sampled(rows: DataFrame, most: int, *by: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spare(taken: tuple[str, ...] | list[str]) -> str:
+    """A column name that isn't taken, whatever the letters' case."""
+    name = "_"
+    while name in {x.lower() for x in taken}:
+        name += "_"
+    return name

@@ -1,4 +1,4 @@
-"""A compressed FM-index over sequences of word numbers, searched for many patterns at once."""
+"""A succinct FM-index over sequences of word numbers, searched for many patterns at once."""
 
 from __future__ import annotations
 
@@ -8,21 +8,23 @@ import numpy as np
 class WaveletTree:
     """Rank over a sequence of small numbers: one bit vector for each binary digit, levels laid out end to end.
 
-    Each vector is packed 64 bits a word with a running count a word, so that a rank is one lookup and one popcount.
+    Each vector is packed 64 bits a word. Counts are kept for blocks of eight words, and within a block in 16 bits a word:
+    about a third of a bit beside each bit. A rank is two lookups and one popcount.
     """
 
     def __init__(self, a: np.ndarray, symbols: int):
         self.depth = max(1, int(symbols - 1).bit_length())
-        self.words, self.counts, self.zeros = [], [], []
+        self.words, self.blocks, self.inside, self.zeros = [], [], [], []
         order = np.arange(symbols, dtype=np.int64)
         seen = np.bincount(a, minlength=symbols)
         for d in range(self.depth - 1, -1, -1):
             bit = (a >> d) & 1
-            packed = np.packbits(np.concatenate([bit.astype(np.uint8), np.zeros(-len(bit) % 64 + 64, np.uint8)]), bitorder="little").view(np.uint64)
-            count = np.zeros(len(packed), np.int64)
-            np.cumsum(np.bitwise_count(packed[:-1]), out=count[1:])
+            packed = np.packbits(np.concatenate([bit.astype(np.uint8), np.zeros(-len(bit) % 512 + 512, np.uint8)]), bitorder="little").view(np.uint64)
+            ones = np.bitwise_count(packed).reshape(-1, 8).astype(np.uint16)
+            upto = np.cumsum(ones, axis=1, dtype=np.uint16)
             self.words.append(packed)
-            self.counts.append(count)
+            self.inside.append((upto - ones).ravel())
+            self.blocks.append(np.concatenate([[0], np.cumsum(upto[:-1, -1], dtype=np.int64)]).astype(np.uint32))
             self.zeros.append(int(len(a) - bit.sum()))
             a = np.concatenate([a[bit == 0], a[bit == 1]])
             up = (order >> d) & 1
@@ -34,7 +36,8 @@ class WaveletTree:
         """How often each c stands before place i."""
         for level in range(self.depth):
             w = i >> 6
-            ones = self.counts[level][w] + np.bitwise_count(self.words[level][w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            part = np.bitwise_count(self.words[level][w] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = self.blocks[level][w >> 3].astype(np.int64) + self.inside[level][w] + part
             i = np.where((c >> (self.depth - 1 - level)) & 1, self.zeros[level] + ones, i - ones)
         return i - self.start[c]
 

@@ -2,11 +2,13 @@
 
 Every window of `window` words holds runs of `seed` words; the one with the least hash is its anchor, so equal windows
 have equal anchors. Consecutive windows with one anchor place make a segment. Only segments whose anchor stands
-elsewhere too can hold a repeated window: they alone are cut out of the texts, equal ones once, and dealt by anchor to
-shards. A task streams its shard in pieces of bounded size, cut between anchors, builds a compressed FM-index over each
-and gets matching statistics of the segments by backward search; windows whose match reaches `window` words are
-repeated. An anchor with very many different segments (a common line) is split by whole window instead, after a
-pre-aggregation, so that no group grows without bound.
+elsewhere too can hold a repeated window: they alone are cut out of the texts and dealt by anchor to shards. Of segments
+with one hash two occurrences are cut out, each from its own place, however many there are: two are enough to show that
+the words stand twice, and any further ones are taken for them by their 64-bit hash. A task streams its shard in pieces
+of bounded size, cut between anchors, builds a compressed FM-index over each and gets matching statistics of the
+segments by backward search; windows whose match reaches `window` words are repeated. An anchor with very many
+different segments (a common line) is split by whole window instead, of which again two occurrences at most are indexed,
+so that no group grows without bound.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import spare, staged
 from .fm_index import FMIndex
 from .textbytes import Words, grams, owners, powers, mix, slices
 
@@ -80,7 +82,7 @@ def _cut(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = {"v": [], "sh": [], "unit": [], "shift": [], "c": [], "n": [], "hot": [], "words": []}
+            out = {"v": [], "sh": [], "unit": [], "shift": [], "copy": [], "hot": [], "words": []}
             for text, wanted in zip(b.column(0), b.column(1), strict=True):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                 for x in wanted.as_py():
@@ -88,16 +90,16 @@ def _cut(window: int):
                     for j in range(x["n"]) if x["hot"] else (0,):
                         s = b" ".join(own[j : j + window] if x["hot"] else own)
                         unit = int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) if x["hot"] else x["sh"]
-                        for k, y in zip(out, (x["v"], x["sh"], unit, j, x["c"], 1 if x["hot"] else x["n"], x["hot"], s), strict=True):
+                        for k, y in zip(out, (x["v"], x["sh"], unit, j, x["copy"], x["hot"], s), strict=True):
                             out[k].append(y)
-            kinds = {"v": pa.int64(), "sh": pa.int64(), "unit": pa.int64(), "shift": pa.int32(), "c": pa.int64(), "n": pa.int32(), "hot": pa.bool_(), "words": pa.binary()}
+            kinds = {"v": pa.int64(), "sh": pa.int64(), "unit": pa.int64(), "shift": pa.int32(), "copy": pa.int32(), "hot": pa.bool_(), "words": pa.binary()}
             yield pa.RecordBatch.from_pydict({k: pa.array(y, kinds[k]) for k, y in out.items()})
 
     return run
 
 
-def repeated_windows(units: list[bytes], counts: np.ndarray, window: int) -> list[int]:
-    """For each unit (words joined by a space, standing counts times): bits of the windows that are repeated."""
+def repeated_windows(units: list[bytes], window: int) -> np.ndarray:
+    """For each unit (words joined by a space): bits of the windows that stand in the units twice or more."""
     number: dict[bytes, int] = {}
     texts, lengths = [], []
     for u in units:
@@ -107,16 +109,13 @@ def repeated_windows(units: list[bytes], counts: np.ndarray, window: int) -> lis
         texts.append(0)
     t, lengths = np.array(texts, np.int64), np.array(lengths, np.int64)
     n = lengths - window + 1
-    masks = (1 << n) - 1
-    once = np.flatnonzero(counts < 2)
-    if len(once):
-        index = FMIndex(t, window)
-        begin = np.cumsum(lengths + 1) - lengths - 1
-        which = np.repeat(once, n[once])
-        shift = np.arange(len(which)) - np.repeat(np.cumsum(n[once]) - n[once], n[once])
-        hit = index.matching_ends(t, begin[which] + shift + window - 1, window) >= window
-        masks[once] = 0
-        np.bitwise_or.at(masks, which[hit], 1 << shift[hit])
+    index = FMIndex(t, window)
+    begin = np.cumsum(lengths + 1) - lengths - 1
+    which = np.repeat(np.arange(len(units)), n)
+    shift = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    hit = index.matching_ends(t, begin[which] + shift + window - 1, window) >= window
+    masks = np.zeros(len(units), np.int64)
+    np.bitwise_or.at(masks, which[hit], 1 << shift[hit])
     return masks
 
 
@@ -128,14 +127,15 @@ def _search(window: int):
         size, last, unit = 0, None, None
 
         def done() -> pa.RecordBatch:
-            masks = repeated_windows([x[4] for x in held], np.array([x[2] for x in held], np.int64), window)
-            return pa.RecordBatch.from_pydict({"v": pa.array([x[0] for x in held], pa.int64()), "unit": pa.array([x[1] for x in held], pa.int64()), "mask": pa.array(masks, pa.int64())})
+            masks = repeated_windows([x[4] for x in held], window)
+            first = [j for j, x in enumerate(held) if x[2] == 0 and masks[j]]
+            return pa.RecordBatch.from_pydict({"v": pa.array([held[j][0] for j in first], pa.int64()), "unit": pa.array([held[j][1] for j in first], pa.int64()), "mask": pa.array(masks[first], pa.int64())})
 
         for b in batches:
             for x in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
-                if unit == x[:2]:  # of rows that repeat an id and a text
+                if unit == x[:3]:  # of rows that repeat an id and a text
                     continue
-                unit, group = x[:2], (x[0], x[1] if x[3] else None)
+                unit, group = x[:3], (x[0], x[1] if x[3] else None)
                 if size >= INDEX_WORDS and group != last:
                     yield done()
                     held, size = [], 0
@@ -187,29 +187,40 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8, carry: tupl
     """
     if window - seed + 1 > 62:
         raise ValueError("window - seed + 1 must be at most 62")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carried"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.lit(0).alias(spare(carry)), *(F.col(f"`{c}`") for c in carry)).alias("carried"))
     occ = rows.select("k1", "k2", "text").mapInArrow(_occurrences(window, seed), "v bigint, sh bigint, k1 bigint, k2 bigint, at int, n int")
     occ = staged(occ, "segments")
-    again = occ.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v")
+    # written out, so that a very common anchor's side of the joins can be split
+    again = staged(occ.groupBy("v").agg(F.count("*").alias("m")).where("m > 1").select("v"), "anchors")
     dup = staged(occ.join(again.hint("merge"), "v", "left_semi"), "candidates")
 
-    classes = dup.groupBy("v", "sh").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "n")).alias("rep"))
-    classes = staged(classes.select("v", "sh", "c", "rep.*"), "classes")
-    hot = classes.groupBy("v").agg(F.count("*").alias("m")).where(F.col("m") > HOT_SEGMENTS).select("v", F.lit(True).alias("hot"))
+    place = F.struct("k1", "k2", "at", "n")
+    classes = staged(dup.groupBy("v", "sh").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.count("*").alias("c")), "classes")
+    hot = staged(classes.groupBy("v").agg(F.count("*").alias("m")).where(F.col("m") > HOT_SEGMENTS).select("v", F.lit(True).alias("hot")), "hot")
     wanted = classes.join(hot.hint("merge"), "v", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "sh", "c", "at", "n", "hot")).alias("wanted"))
-    texts = rows.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).select("text", "wanted", "k1", "k2")
-    cut = texts.select("text", "wanted").mapInArrow(_cut(window), "v bigint, sh bigint, unit bigint, shift int, c bigint, n int, hot boolean, words binary")
+    # of rows alike in id and text both occurrences may have one place; they are two all the same
+    at = lambda copy, c: F.struct(F.lit(copy).alias("copy"), *(F.col(f"{c}.{x}").alias(x) for x in ("k1", "k2", "at", "n")))
+    both = F.when(F.col("c") > 1, F.array(at(0, "one"), at(1, "other"))).otherwise(F.array(at(0, "one")))
+    wanted = wanted.select("v", "sh", "hot", F.inline(both))
+    wanted = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("v", "sh", "copy", "at", "n", "hot")).alias("wanted"))
+    texts = rows.select("k1", "k2", "text").join(wanted.hint("merge"), ["k1", "k2"]).select("text", "wanted")
+    cut = texts.mapInArrow(_cut(window), "v bigint, sh bigint, unit bigint, shift int, copy int, hot boolean, words binary")
     cut = staged(cut, "units")
 
-    calm = cut.where("not hot").select("v", "unit", "c", "hot", "words")
-    split = cut.where("hot").dropDuplicates(["v", "sh", "shift"]).groupBy("v", "unit").agg(F.sum("c").alias("c"), F.first("hot").alias("hot"), F.first("words").alias("words"))
+    kinds = ["v", "unit", "copy", "hot", "words"]
+    calm = cut.where("not hot").select(kinds)
+    # two occurrences of each window at most: the first and the last of (segment, place in it, copy)
+    order = F.struct("sh", "shift", "copy")
+    split = cut.where("hot").groupBy("v", "unit").agg(F.min(order).alias("one"), F.max(order).alias("other"), F.min_by("words", order).alias("w0"), F.max_by("words", order).alias("w1"))
+    again = F.when(F.col("one") == F.col("other"), F.array("w0")).otherwise(F.array("w0", "w1"))
+    split = split.select("v", "unit", F.lit(True).alias("hot"), F.posexplode(again).alias("copy", "words")).select(kinds)
     units = calm.unionByName(split)
-    units = units.repartition(F.col("v"), F.when(F.col("hot"), F.col("unit"))).sortWithinPartitions("v", "unit")
-    masks = staged(units.mapInArrow(_search(window), "v bigint, unit bigint, mask bigint").where("mask <> 0"), "masks")
+    units = units.repartition(F.col("v"), F.when(F.col("hot"), F.col("unit"))).sortWithinPartitions("v", "unit", "copy")
+    masks = staged(units.mapInArrow(_search(window), "v bigint, unit bigint, mask bigint"), "masks")
     by_class = masks.join(cut.where("not hot").select("v", "unit", "sh").distinct().hint("merge"), ["v", "unit"]).select("v", "sh", "mask")
     by_window = masks.join(cut.where("hot").select("v", "unit", "sh", "shift").distinct().hint("merge"), ["v", "unit"]).groupBy("v", "sh").agg(F.bit_or(F.expr("shiftleft(mask, shift)")).alias("mask"))
-    hits = dup.select("v", "sh", "k1", "k2", "at").join(by_class.unionByName(by_window).hint("merge"), ["v", "sh"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
+    found = staged(by_class.unionByName(by_window), "found")
+    hits = dup.select("v", "sh", "k1", "k2", "at").join(found.hint("merge"), ["v", "sh"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
     last = rows.join(hits.hint("merge"), ["k1", "k2"], "left").select("carried", "doc_id", "text", "hits")
     kind = last.schema["carried"].dataType.simpleString()
     out = last.mapInArrow(_removed(window), f"carried {kind}, doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<begin:int,end:int>>")
