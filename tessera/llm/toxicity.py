@@ -1,12 +1,14 @@
 """Toxicity by a weighted grammar of finite-state transducers over clauses.
 
-Words become symbols: insult, threat, target, negation, reporting, other. Four transducers read a clause in turn: negation
-and reporting weaken the insults and threats in their scope, a target near by strengthens them, and the last gives
-weights. They are composed into one machine, whose states are made as they are met. Only clauses in which a pattern
-matches are read; a text's score joins those of its clauses.
-
-The insult patterns, whole words and word beginnings, and their weights are learned from labelled texts; the closed
-classes of the grammar (targets, negations, reporting verbs, threats) are fixed.
+Words become symbols: insult, violence, intent, target, negation, reporting, other. Five transducers, whose arcs carry
+factors, read a clause in turn. The insult transducer joins insults that follow each other closely; the threat transducer
+makes a threat of intent and violence that follows it, in a few words, and lets violence alone count little; a target near
+by strengthens what attacks; negation and reporting weaken what is in their scope. They are composed into one machine,
+whose states are made as they are met. Only clauses in which a pattern matches are read; a text's score joins those of its
+clauses.
+
+The insult patterns, whole words and word beginnings, and their weights are learned from labelled texts, and so is what
+threats add to the score; the closed classes of the grammar (targets, negations, reporting, violence, intent) are fixed.
 """
 
 from __future__ import annotations
@@ -28,78 +30,99 @@ from .textbytes import Words, slices
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
-TARGETS = frozenset("you your yours yourself he him his she her they them their these those people vous tu toi tes ihr du dich dein usted tú ti vosotros ellos".split())
-NEGATIONS = frozenset("not no never neither nor without isn aren wasn weren don doesn didn cannot nicht kein keine nie pas jamais sin nunca".split())
-REPORTS = frozenset("said says say told wrote writes quoted quote quoting called reported claims claimed alleged according sagte dit dijo".split())
-THREATS = frozenset("kill hurt destroy murder stab strangle".split())
-#: Symbols: other, insult, threat, target, negation, reporting; after the grammar also weakened (w) and aimed (I, T).
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = ".itynr"
-
-CLOSED = {w: x for x, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in words}
+#: Closed classes in the four languages of the labelled texts.
+TARGETS = frozenset("you your yours yourself he him his she her they them their these those people vous tu toi te tes ihr du dich dein euch usted tú ti te vosotros ellos".split())
+NEGATIONS = frozenset("not no never neither nor without isn aren wasn weren don doesn didn cannot won nicht kein keine nie pas jamais sin nunca".split())
+REPORTS = frozenset("said says say told wrote writes quoted quote quoting called reported claims claimed alleged according sagte schrieb dit écrit dijo escribió".split())
+VIOLENCE = frozenset(
+    "kill kills killing hurt hurts hurting destroy destroys destroying murder murders murdering stab stabs stabbing strangle strangles strangling shoot shooting burn burning "
+    "töte töten umbringen schlagen vernichten erwürgen erschießen tuer tuerai frapper détruire étrangler brûler matar mataré golpear destruir estrangular quemar".split()
+)
+INTENTS = frozenset("will shall going gonna ll want wants must should werde werden will muss sollte vais va veux dois voy vas quiero debo".split())
+OTHER, INSULT, VIOLENT, INTENT, TARGET, NEGATION, REPORT, THREAT = ".ivmynrt"
+#: What can attack after the grammar.
+ATTACKS = (INSULT, THREAT, VIOLENT)
+
+CLOSED = {w: x for x, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (INTENT, INTENTS), (VIOLENT, VIOLENCE)) for w in words}
 
 PREFIXES = (3, 4, 5, 6)
 
 
 @dataclass
 class Transducer:
-    """Reads a symbol in a state, gives the next state and a symbol."""
+    """Reads a symbol in a state, gives the next state, a symbol and the factor of the arc."""
 
     start: int
-    step: Callable[[int, str], tuple[int, str]]
+    step: Callable[[int, str], tuple[int, str, float]]
 
     def then(self, other: Transducer) -> Transducer:
-        """Their composition: what this one writes, the other reads. States are numbered as they are met."""
+        """Their composition: what this one writes, the other reads; factors multiply. States are numbered as they are met."""
         numbers: dict[tuple[int, int], int] = {(self.start, other.start): 0}
         pairs = [(self.start, other.start)]
-        seen: dict[tuple[int, str], tuple[int, str]] = {}
+        seen: dict[tuple[int, str], tuple[int, str, float]] = {}
 
-        def step(state: int, symbol: str) -> tuple[int, str]:
+        def step(state: int, symbol: str) -> tuple[int, str, float]:
             if (state, symbol) not in seen:
                 a, b = pairs[state]
-                a, middle = self.step(a, symbol)
-                b, out = other.step(b, middle)
+                a, middle, f = self.step(a, symbol)
+                b, out, g = other.step(b, middle)
                 if (a, b) not in numbers:
                     numbers[a, b] = len(pairs)
                     pairs.append((a, b))
-                seen[state, symbol] = numbers[a, b], out
+                seen[state, symbol] = numbers[a, b], out, f * g
             return seen[state, symbol]
 
         return Transducer(0, step)
 
 
-def _negation(scope: int = 4) -> Transducer:
-    """Weakens what is attacked within `scope` words after a negation."""
-    return Transducer(0, lambda s, x: (scope, x) if x == NEGATION else (max(0, s - 1), "w" if s and x in (INSULT, THREAT) else x))
+def _insult(scope: int = 3) -> Transducer:
+    """An insult within `scope` words after another is part of one phrase with it, and weighs more."""
+    return Transducer(0, lambda s, x: (scope, x, 1.25 if s else 1.0) if x == INSULT else (max(0, s - 1), x, 1.0))
 
 
-def _reporting() -> Transducer:
-    """Weakens what follows a reporting verb in its clause."""
-    return Transducer(0, lambda s, x: (1, x) if x == REPORT else (s, "w" if s and x in (INSULT, THREAT) else x))
+def _threat(scope: int = 5) -> Transducer:
+    """Violence within `scope` words after an intent is a threat; without one it weighs little."""
+
+    def step(s: int, x: str) -> tuple[int, str, float]:
+        if x == INTENT:
+            return scope, x, 1.0
+        if x == VIOLENT:
+            return max(0, s - 1), THREAT if s else x, 1.0 if s else 0.25
+        return max(0, s - 1), x, 1.0
+
+    return Transducer(0, step)
 
 
 def _target(scope: int = 6) -> Transducer:
-    """Aims what stands within `scope` words after somebody is named."""
-    return Transducer(0, lambda s, x: (scope, x) if x == TARGET else (max(0, s - 1), x.upper() if s and x in (INSULT, THREAT) else x))
+    """Strengthens what stands within `scope` words after somebody is named."""
+    return Transducer(0, lambda s, x: (scope, x, 1.0) if x == TARGET else (max(0, s - 1), x, 1.25 if s and x in ATTACKS else 1.0))
+
+
+def _negation(scope: int = 4) -> Transducer:
+    """Weakens what attacks within `scope` words after a negation."""
+    return Transducer(0, lambda s, x: (scope, x, 1.0) if x == NEGATION else (max(0, s - 1), x, 0.25 if s and x in ATTACKS else 1.0))
+
+
+def _reporting() -> Transducer:
+    """Weakens what follows a reporting verb in its clause."""
+    return Transducer(0, lambda s, x: (1, x, 1.0) if x == REPORT else (s, x, 0.25 if s and x in ATTACKS else 1.0))
 
 
 def grammar() -> Transducer:
-    return _negation().then(_reporting()).then(_target())
+    return _insult().then(_threat()).then(_target()).then(_negation()).then(_reporting())
 
 
-#: How far a match counts in each role.
-FACTORS = {INSULT: 1.0, "I": 1.25, "w": 0.25, THREAT: 0.6, "T": 1.25}
+#: What the evidence of a text is; the first says whether anything matches.
+EVIDENCE = ("match", "strongest clause", "log of the clauses' sum", "log of different attacking words left unweakened", "log of different words", "log of threats")
 
 
 @dataclass
 class ToxicityModel:
-    """Learned insult patterns (`=word`, `^beginning`) with weights, the weight of a threat, and how evidence gives a score.
-
-    Evidence of a text: whether a clause matches, the strongest clause, their sum, different matching words, log of words.
-    """
+    """Learned insult patterns (`=word`, `^beginning`) with weights, the weight of a threat before learning, and how EVIDENCE gives a score."""
 
     patterns: dict[str, float] = field(default_factory=dict)
     threat: float = 4.0
-    coefficients: list[float] = field(default_factory=lambda: [-2.5, 0.8, 0.2, 0.0, 0.0])
+    coefficients: list[float] = field(default_factory=lambda: [-2.5, 0.8, 0.2, 0.0, 0.0, 0.0])
     base: float = 0.03
 
     def score(self, evidence: list[float]) -> float:
@@ -121,7 +144,7 @@ class ToxicityModel:
     def symbol(self, word: str) -> tuple[str, float]:
         if (w := self.weight(word)) > 0:
             return INSULT, w
-        return (CLOSED[word], self.threat if word in THREATS else 0.0) if word in CLOSED else (OTHER, 0.0)
+        return (CLOSED[word], self.threat if word in VIOLENCE else 0.0) if word in CLOSED else (OTHER, 0.0)
 
 
 class Seen:
@@ -139,7 +162,7 @@ class Seen:
             symbol, weight = model.symbol(w)
             if symbol != OTHER:
                 self.special[w] = symbol, weight
-                if symbol in (INSULT, THREAT):
+                if symbol in (INSULT, VIOLENT):
                     self.attacks.add(w)
         self.all |= words
 
@@ -195,12 +218,15 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "k0": pa.array(keys[0].view(np.int64)), "k1": pa.array(keys[1].view(np.int64))})
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 20_000, max_patterns: int = 50_000, least: float = 30.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 20_000, least: float = 30.0) -> ToxicityModel:
     """Learn patterns from labelled rows that are not held out.
 
     The fit is on a bounded sample, whole texts: labelled rows in the order of a hash of their id, about max_fit_docs of
     them. A pattern stays if it stands in toxic texts far more often than in others (likelihood ratio of `least` or
-    more); beginnings that say as much replace the words they cover. At most max_patterns candidates are looked at.
+    more); beginnings that say as much replace the words they cover. Only patterns of so many toxic texts that they can
+    reach `least` come to the driver. Rows of null text, and of a null label or id, teach nothing; an id that is labelled
+    twice is toxic if one label says so; of texts that repeat or nearly repeat each other one counts; other columns are
+    ignored. Without a row of each label nothing is learned.
     """
     rows = labels.where("toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = sampled(rows, max_fit_docs, "doc_id")
@@ -217,8 +243,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 20_000, max_patt
     if not n1 or not n0:
         return ToxicityModel()
     schema = "pattern string, n bigint"
-    ones = texts.where("toxic = 1").select("text").mapInArrow(_count(None), schema).groupBy("pattern").agg(F.sum("n").alias("n")).where("n >= 5")
-    pos = {x["pattern"]: x["n"] for x in ones.orderBy(F.desc("n"), "pattern").limit(max_patterns).collect()}
+    # no pattern of fewer toxic texts reaches the ratio, even if it stands in no other text
+    enough = max(5, math.ceil(least / (2 * math.log((n1 + n0) / n1))))
+    ones = texts.where("toxic = 1").select("text").mapInArrow(_count(None), schema).groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
+    pos = {x["pattern"]: x["n"] for x in ones.collect()}
     zeros = texts.where("toxic = 0").select("text").mapInArrow(_count(frozenset(pos)), schema).groupBy("pattern").agg(F.sum("n").alias("n"))
     neg = {x["pattern"]: x["n"] for x in zeros.collect()}
     model = ToxicityModel(select_patterns(pos, neg, n1, n0, least))
@@ -263,7 +291,7 @@ def calibrate(model: ToxicityModel, x: np.ndarray, y: np.ndarray, steps: int = 2
     """Logistic regression of the labels on the evidence of texts with a match, by Newton steps; the others get their own rate."""
     hit = x[:, 0] > 0 if len(x) else np.zeros(0, bool)
     model.base = float((y[~hit].sum() + 0.5) / (np.count_nonzero(~hit) + 5))
-    a, t = np.column_stack([np.ones(hit.sum()), x[hit][:, 1:]]) if hit.any() else np.zeros((0, 5)), y[hit]
+    a, t = np.column_stack([np.ones(hit.sum()), x[hit][:, 1:]]) if hit.any() else np.zeros((0, len(EVIDENCE))), y[hit]
     if not 5 <= t.sum() <= len(t) - 5:
         return model
     w = np.zeros(a.shape[1])
@@ -293,7 +321,7 @@ def _score(model: ToxicityModel):
                 words = set(WORD.findall(lower))
                 seen.learn(words, model)
                 hits = words & seen.attacks
-                clauses = []
+                clauses, strong, threats = [], set(), 0
                 if hits:
                     begin = 0
                     for stop in [*CLAUSE.finditer(lower), None]:
@@ -303,12 +331,16 @@ def _score(model: ToxicityModel):
                             state, total = machine.start, 0.0
                             for w in own:
                                 symbol, weight = seen.special.get(w, plain)
-                                state, out = machine.step(state, symbol)
-                                total += weight * FACTORS.get(out, 0.0)
+                                state, out, factor = machine.step(state, symbol)
+                                if weight:
+                                    total += weight * factor
+                                    if factor >= 1:
+                                        strong.add(w)
+                                        threats += out == THREAT
                             clauses.append({"begin": begin, "end": end, "weight": total})
                         begin = stop.end() if stop else end
                 weights = [c["weight"] for c in clauses]
-                evidence.append([1.0, max(weights), math.log1p(sum(weights)), math.log(len(hits)), math.log1p(len(words))] if weights else [0.0] * 5)
+                evidence.append([1.0, max(weights), math.log1p(sum(weights)), math.log1p(len(strong)), math.log1p(len(words)), math.log1p(threats)] if weights else [0.0] * len(EVIDENCE))
                 scores.append(model.score(evidence[-1]))
                 found.append(clauses)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, pa.list_(pa.float64())), "clauses": pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())])))})
