@@ -21,9 +21,20 @@ from .common import held_out, sampled
 from .textbytes import slices
 
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(characters: str) -> str:
+    """A character class body for sorted characters."""
+    ends = [x for a, b in zip("\0" + characters, characters, strict=False) if ord(b) != ord(a) + 1 for x in (a, b)][1:] + [characters[-1]]
+    return "".join(f"{a}-{b}" for a, b in zip(ends[::2], ends[1::2], strict=True))
+
+
+#: Letters and nothing else: what a pattern takes for a part of a word less digits, other numbers (like one half) and the underscore.
+WORD = re.compile(rf"[^\W\d_{_ranges(''.join(c for c in re.findall(r'[^\W\d_]', ''.join(map(chr, range(0x80, 0x20000)))) if not c.isalpha()))}]+")
 #: Letters up to which a run is one word of the Viterbi pass.
 PIECE = 40
+#: The score of a language that isn't a candidate for a word's script.
+NEVER = -1e6
 #: Begins the key of a piece, which is lower-cased and has the letter, or space, before and after it.
 PART = "\0"
 #: First code points of script ranges and their scripts; fixed values from the Unicode block table.
@@ -112,6 +123,8 @@ class LanguageModel:
         floor = np.log(0.5 / (total + 0.5 * (len(self.grams) + 1))) if k else np.zeros(0)
         self.rows = np.stack([np.log((x + 0.5) / (total + 0.5 * (len(self.grams) + 1))) for x in self.grams.values()] + [floor]).astype(np.float32) if k else np.zeros((1, 0), np.float32)
         self.grams = {g: j for j, g in enumerate(self.grams)}
+        #: A script that every language uses, if there is one: it leaves all of them candidates.
+        self.plain = next((name for name, own in self.scripts.items() if own.all()), "")
         self.name = uuid.uuid4().hex
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -127,14 +140,9 @@ class LanguageModel:
             w = w[2:] if w[0] == PART else w
             if (name := "latin" if w[0] < "\u0250" else script(w)) != self.plain:
                 own = self.scripts.get(name)
-                s[j] = 0 if own is None or not own.any() else np.where(own, s[j], s[j].max() - 60)
+                s[j] = 0 if own is None or not own.any() else np.where(own, s[j], NEVER)
         return s
 
-    @property
-    def plain(self) -> str:
-        """A script that every language uses, if there is one: it leaves all of them candidates."""
-        return next((name for name, own in self.scripts.items() if own.all()), "")
-
 
 _known: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
@@ -147,10 +155,11 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     length = np.diff(first)
     order = np.argsort(-length, kind="stable")
     begin, length = first[:-1][order], length[order]
-    back = np.zeros(scores.shape, np.int8)
+    kind = np.min_scalar_type(-max(1, scores.shape[1]))
+    back = np.zeros(scores.shape, kind)
     state = np.zeros((len(order), scores.shape[1]), np.float32)
     active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
-    stay = np.arange(scores.shape[1], dtype=np.int8)[None, :]
+    stay = np.arange(scores.shape[1], dtype=kind)[None, :]
     for t, n in enumerate(active):
         s = state[:n]
         if t:
@@ -159,8 +168,8 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
             back[begin[:n] + t] = np.where(s >= other, stay, best[:, None])
             s = np.maximum(s, other)
         state[:n] = s + scores[begin[:n] + t]
-    out = np.zeros(len(scores), np.int8)
-    now = state.argmax(axis=1).astype(np.int8)
+    out = np.zeros(len(scores), kind)
+    now = state.argmax(axis=1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         out[begin[:n] + t] = now[:n]
@@ -173,7 +182,9 @@ def fit(docs: DataFrame, max_fit_docs: int = 20_000, max_grams: int = 50_000) ->
     """Learn from the labelled rows that are not held out.
 
     The fit is on a bounded sample: rows in the order of a hash of their id, about max_fit_docs of them, whole texts.
-    The model keeps the max_grams most frequent trigrams of each language, so its size has a bound.
+    The model keeps the max_grams most frequent trigrams of each language, so its size has a bound. Rows of null text,
+    language or id teach nothing, repeated rows count each, other columns are ignored; from an empty table a model comes
+    that knows no language.
     """
     rows = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
     rows = sampled(rows, max_fit_docs, "doc_id")
@@ -246,10 +257,11 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, with_s
 
     Only texts are read. A null text, and one without a letter, is `und` with score 0, and so is any if the model knows
     no language; words in a script of no learned language follow their neighbours. Texts are whole, of any length,
-    and so are words: a run of over PIECE letters may hold spans of several languages.
+    and so are words: a run of over PIECE letters may hold spans of several languages. Null and repeated ids are rows
+    like others; other columns are ignored unless carried; an empty table gives an empty table.
     """
     schema = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * with_spans
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
     if carry:
         schema = f"carried {rows.schema['carried'].dataType.simpleString()}, {schema}"
     return rows.mapInArrow(_label(model, penalty, with_spans), schema)
