@@ -68,14 +68,17 @@ BY_FINGERPRINT = {fingerprint(p): name for name, (p, _) in LAYOUTS.items()}
 
 
 def layout_of(df: DataFrame, key: str) -> str:
-    """The layout of a table. Extra columns are ignored if the rest is that of exactly one layout."""
+    """The layout of a table: the one of its fingerprint, or, if there are further columns, the largest that it holds.
+
+    Of layouts with as many paths the first of LAYOUTS counts.
+    """
     own = paths(T.StructType([f for f in df.schema.fields if f.name != key]))
     if (name := BY_FINGERPRINT.get(fingerprint(own))) is not None:
         return name
     inside = [name for name, (p, _) in LAYOUTS.items() if set(p) <= set(own)]
-    if len(inside) != 1:
-        raise ValueError(f"no layout, or several, for {sorted(own)}: {inside}")
-    return inside[0]
+    if not inside:
+        raise ValueError(f"no layout for {sorted(own)}")
+    return max(inside, key=lambda name: len(LAYOUTS[name][0]))
 
 
 def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:

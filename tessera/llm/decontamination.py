@@ -17,8 +17,8 @@ from .common import staged
 #: What stands between words, with A-Z kept for the later lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows up to which a table made from the test texts, or a list of candidate ids, is broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table made from the test texts, or a list of candidate ids, is broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
 #: The id of a row's end mark, whose place is its number of words.
 END = -1
 
@@ -33,9 +33,17 @@ def lower_ascii(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A join side of a known number of rows: broadcast up to the bound, sorted and merged beyond it."""
-    return df.hint("broadcast" if rows <= BROADCAST_ROWS else "merge")
+def small(df: DataFrame, size: int) -> DataFrame:
+    """A join side of a known number of bytes: broadcast up to the bound, sorted and merged beyond it."""
+    return df.hint("broadcast" if size <= BROADCAST_BYTES else "merge")
+
+
+def weigh(df: DataFrame, *lists: str) -> int:
+    """Bytes of a written table: numbers at eight each and a row's own sixteen, and the words of lists as they are."""
+    numbers = [c for c in df.columns if c not in lists]
+    words = sum((F.octet_length(F.array_join(c, "")) + 24 * F.size(c) for c in lists), F.lit(0))
+    x = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(words), F.lit(0)).alias("words")).first()
+    return x["n"] * (16 + 8 * len(numbers)) + x["words"]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -61,11 +69,11 @@ def windows_of(items: DataFrame, size: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """Postings (t, k1, k2, pos) with the term numbers (term, t), and how many postings each term has (t, n)."""
+    """Postings (t, k1, k2, pos) with the term numbers (term, t) and their bytes, and how many postings each term has (t, n)."""
 
     postings: DataFrame
     terms: DataFrame
-    n_terms: int
+    size: int
     counts: DataFrame
 
 
@@ -74,7 +82,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> Index:
     terms = vocabulary.select("term").distinct().select("term", F.xxhash64("term").alias("t"))
     mark = docs.sparkSession.range(1).select(F.lit("\0").alias("term"), F.lit(END).cast("bigint").alias("t"))
     terms = staged(terms.unionAll(mark), "terms")
-    n = terms.count()
+    n = weigh(terms.select("t", F.array("term").alias("term")), "term")
     marked = keyed(docs).select("k1", "k2", F.posexplode(F.concat(words_of(F.col("text")), F.array(F.lit("\0")))).alias("pos", "word"))
     postings = marked.select("k1", "k2", "pos", lower_ascii(F.col("word")).alias("term")).join(small(terms, n), "term").select("t", "k1", "k2", "pos")
     postings = staged(postings.sortWithinPartitions("t", "k1", "k2", "pos"), "postings")
@@ -87,16 +95,16 @@ def _rarest(index: Index, phrases: DataFrame) -> DataFrame:
     A phrase with a word that the index lacks is left out: it stands nowhere.
     """
     x = phrases.select("phrase", F.size("words").alias("len"), F.posexplode("words").alias("o", "term"))
-    x = x.join(small(index.terms, index.n_terms), "term").join(small(index.counts, index.n_terms), "t")
+    x = x.join(small(index.terms, index.size), "term").join(small(index.counts, index.size), "t")
     r = x.withColumn("r", F.row_number().over(Window.partitionBy("phrase").orderBy("n", "o")))
     r = r.groupBy("phrase", "len").agg(F.count("*").alias("have"), *(F.max(F.when(F.col("r") == j, F.col(c))).alias(f"{c}{j}") for j in (1, 2) for c in ("t", "o")))
-    return r.where("have = len").join(phrases, "phrase").drop("have")
+    return r.where("have = len").join(phrases.hint("merge"), "phrase").drop("have")
 
 
 def phrase_matches(docs: DataFrame, index: Index, phrases: DataFrame) -> DataFrame:
     """phrase, words -> k1, k2, phrase, start, len: every exact occurrence in the indexed texts, once for each key."""
     plan = staged(_rarest(index, phrases), "plan")
-    n = plan.count()
+    n = weigh(plan, "words")
     first = index.postings.join(small(plan.select(F.col("t1").alias("t"), "phrase", "o1", "o2", "t2", "len"), n), "t")
     first = first.select("k1", "k2", "phrase", "len", (F.col("pos") - F.col("o1")).alias("start"), "o2", "t2").where("start >= 0")
     second = index.postings.join(small(plan.select(F.col("t2").alias("t")).distinct(), n), "t", "left_semi").select(F.col("t").alias("t2"), "k1", "k2", F.col("pos").alias("pos2"))
@@ -104,7 +112,7 @@ def phrase_matches(docs: DataFrame, index: Index, phrases: DataFrame) -> DataFra
     near = both.select("k1", "k2", "phrase", "len", "start").unionAll(first.where("t2 is null").select("k1", "k2", "phrase", "len", "start"))
     near = near.join(small(plan.select("phrase", "words"), n), "phrase").select("k1", "k2", F.struct("start", "len", "phrase", "words").alias("hit"))
     near = staged(near.groupBy("k1", "k2").agg(F.collect_set("hit").alias("hits")), "candidates")
-    m = near.count()
+    m = weigh(near.select("k1", "k2"))
     texts = keyed(docs).join(small(near.select("k1", "k2"), m), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     seen = texts.join(near.hint("merge"), ["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("w"), "hits")
     same = lambda h: F.transform(F.slice("w", h["start"] + 1, h["len"]), lower_ascii) == h["words"]
@@ -115,12 +123,14 @@ def phrase_matches(docs: DataFrame, index: Index, phrases: DataFrame) -> DataFra
 def proximity_matches(index: Index, phrases: DataFrame, slack: int = 5) -> DataFrame:
     """phrase, words -> k1, k2, phrase, place: where all words of a phrase stand, in any order, near its rarest word.
 
-    Near: within the phrase's length and `slack` words more, on either side of the rarest word at `place`.
+    Near: within the phrase's length and `slack` words more, on either side of the rarest word at `place`. Phrases without
+    a word, null phrases, and those with a word that the index lacks, match nothing; so do null and empty texts. Repeated
+    rows of an id and a text give one match; an empty index or table of phrases gives an empty table.
     """
     plan = staged(_rarest(index, phrases), "plan")
-    n = plan.count()
+    n = weigh(plan, "words")
     rare = index.postings.join(small(plan.select(F.col("t1").alias("t"), "phrase", "len"), n), "t").select("k1", "k2", "phrase", "len", F.col("pos").alias("place"))
-    of = plan.select("phrase", F.explode(F.array_distinct("words")).alias("term")).join(small(index.terms, index.n_terms), "term").select("phrase", "t")
+    of = plan.select("phrase", F.explode(F.array_distinct("words")).alias("term")).join(small(index.terms, index.size), "term").select("phrase", "t")
     need = of.groupBy("phrase").agg(F.count("*").alias("need"))
     wide = rare.join(small(of, n), "phrase")
     # terms meet their postings only in the stretches of a text that are in reach
@@ -150,7 +160,7 @@ def _contamination(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
     windows = staged(windows.groupBy("words").agg(F.collect_set("item").alias("items")).select(F.xxhash64("words").alias("phrase"), "words", "items"), "windows")
     index = build_index(docs, windows.select(F.explode("words").alias("term")))
     found = phrase_matches(docs, index, windows.select("phrase", "words"))
-    found = found.join(small(windows.select("phrase", "items"), windows.count()), "phrase")
+    found = found.join(small(windows.select("phrase", "items"), weigh(windows.select("phrase", "items"), "items")), "phrase")
     each = found.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     step = lambda a, h: F.struct(F.greatest(a["end"], h["start"] + h["len"]).alias("end"), (a["n"] + F.greatest(h["start"] + h["len"] - F.greatest(a["end"], h["start"]), F.lit(0))).alias("n"))
     each = each.withColumn("n_hit", F.aggregate("hits", F.struct(F.lit(0).alias("end"), F.lit(0).alias("n")), step)["n"])
@@ -165,4 +175,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     """The rows of docs, all columns, in which no window of a test item stands. Each row is judged by its own text."""
     hit = staged(_contamination(docs, items, size).where("contaminated").select(F.col("k1").alias("hit1"), F.col("k2").alias("hit2")).distinct(), "contaminated")
     k1, k2 = key_of(docs)
-    return docs.join(small(hit, hit.count()), (k1 == hit["hit1"]) & (k2 == hit["hit2"]), "left_anti")
+    return docs.join(small(hit, weigh(hit)), (k1 == hit["hit1"]) & (k2 == hit["hit2"]), "left_anti")

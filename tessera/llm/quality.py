@@ -9,6 +9,7 @@ rules. Measures are DataFrame expressions; only the pattern counts come to the d
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -25,32 +26,33 @@ PLACE_BITS = 20
 def _with_repeats(x: DataFrame) -> DataFrame:
     """Adds n_repeat_words to rows with words w and their number n: words in 3-word windows found twice or more in w.
 
-    Window hashes are sorted beside their places; neighbours with equal hashes whose words are equal too are repeats. Each
-    array is a column of its own, so that it is made once and not for each element. In texts of up to 2**20 words hash and
-    place share one number (44 bits of hash), in longer ones they are a pair.
+    Window hashes are sorted beside their places; of windows with equal hashes, mostly few, the words themselves are sorted,
+    and neighbours with equal words are repeats. Each array is a column of its own, so that it is made once and not for each
+    element. In texts of up to 2**20 words hash and place share one number (44 bits of hash), in longer ones they are a pair.
     """
     mask = (1 << PLACE_BITS) - 1
     w, n = F.col("w"), F.col("n")
     key = lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])
-    same = lambda a, b: (w[a] == w[b]) & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2])
     place = lambda z: z.bitwiseAND(F.lit(mask)).cast("int")
     few = (n >= 3) & (n <= mask)
     x = x.withColumn("keys", F.when(few, F.transform(F.sequence(F.lit(0), n - 3), lambda i: key(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))))
     x = x.withColumn("keys", F.sort_array("keys"))
     x = x.withColumn("pairs", F.when(n > mask, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(key(i).alias("h"), i.alias("i"))))))
 
-    def beside(a: Column, b: Column) -> Column:
-        return F.coalesce((F.shiftright(a.bitwiseXOR(b), PLACE_BITS) == 0) & same(place(a), place(b)), F.lit(False))
-
-    def beside_pair(a: Column, b: Column) -> Column:
-        return F.coalesce((a["h"] == b["h"]) & same(a["i"], b["i"]), F.lit(False))
-
-    short = F.filter("keys", lambda z, j: beside(z, F.get("keys", j - 1)) | beside(z, F.get("keys", j + 1)))
-    long_ = F.filter("pairs", lambda z, j: beside_pair(z, F.get("pairs", j - 1)) | beside_pair(z, F.get("pairs", j + 1)))
-    x = x.withColumn("starts", F.sort_array(F.coalesce(F.transform(short, place), F.transform(long_, lambda z: z["i"]), F.array().cast("array<int>"))))
+    def beside(name: str, same: Callable[[Column, Column], Column]) -> Column:
+        """Elements of a sorted array that are the same as the one before or after."""
+        like = lambda z, j: F.coalesce(same(z, F.get(name, j)), F.lit(False))
+        return F.filter(name, lambda z, j: like(z, j - 1) | like(z, j + 1))
+
+    short = F.transform(beside("keys", lambda a, b: F.shiftright(a.bitwiseXOR(b), PLACE_BITS) == 0), place)
+    long_ = F.transform(beside("pairs", lambda a, b: a["h"] == b["h"]), lambda z: z["i"])
+    x = x.withColumn("maybe", F.coalesce(short, long_, F.array().cast("array<int>")))
+    x = x.withColumn("windows", F.sort_array(F.transform("maybe", lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("i")))))
+    equal = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
+    x = x.withColumn("starts", F.sort_array(F.transform(beside("windows", equal), lambda z: z["i"])))
     begin = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
     covered = F.aggregate("starts", begin, lambda a, s: F.struct(s.alias("at"), (a["n"] + F.least(F.lit(3), s - a["at"])).alias("n")))["n"]
-    return x.withColumn("n_repeat_words", covered.cast("bigint")).drop("keys", "pairs", "starts")
+    return x.withColumn("n_repeat_words", covered.cast("bigint")).drop("keys", "pairs", "maybe", "windows", "starts")
 
 
 def measures(docs: DataFrame) -> DataFrame:
