@@ -1,8 +1,9 @@
 """WARC archives: a writer with revisit records, and a reader that salvages what a damaged archive still holds.
 
 The reader checks each gzip member, version line, header block, length and payload digest. After a failed check it
-searches for the next gzip member that opens with a version line (or, in plain archives, the next version line), goes
-on there, and reports the bytes between as a quarantined gap.
+searches for the next version line in the plain bytes (of the archive, or of the member at hand, which may hold any number
+of records) and else for the next gzip member that opens with one, goes on there, and reports the bytes between as a
+quarantined gap. Of a member that can't be inflated whole, records in what was inflated are kept if their digest proves them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ MAGIC = b"\x1f\x8b\x08"
 #: Uncompressed bytes after which a task begins another archive file.
 ARCHIVE_BYTES = 32 << 20
 DATE = "1970-01-01T00:00:00Z"
-RECORDS = "file string, begin bigint, end bigint, problem string, warc_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint, payload binary"
+RECORDS = "file string, begin bigint, end bigint, inside_begin bigint, inside_end bigint, problem string, warc_type string, record_id string, refers_to string, target_uri string, payload_digest string, payload_bytes bigint, payload binary"
 
 
 def digest32(payload: bytes) -> str:
@@ -56,7 +57,7 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Found:
-    """A record (problem is None) or a quarantined gap of an archive's bytes."""
+    """A record (problem is None) or a quarantined gap: a range of the archive's bytes, and inside a member of several parts, of its plain bytes."""
 
     begin: int
     end: int
@@ -64,12 +65,21 @@ class Found:
     fields: dict[str, str]
     payload: bytes | None = None
     payload_bytes: int | None = None
+    inside: tuple[int, int] | None = None
+    #: A digest of the payload was given and agrees.
+    proved: bool = False
 
 
 class Damaged(Exception):
     pass
 
 
+def same_digest(payload: bytes, want: str) -> bool:
+    """A SHA-1 digest in base32 or hex, in either case."""
+    found = hashlib.sha1(payload)
+    return want.lower() == found.hexdigest() or want.upper().rstrip("=") == digest32(payload)
+
+
 def parse_record(data: bytes, at: int = 0) -> tuple[Found, int]:
     """The record that begins at a place of plain bytes, and where it ends; raises Damaged if a check fails."""
     if not (v := VERSION.match(data, at)):
@@ -88,24 +98,23 @@ def parse_record(data: bytes, at: int = 0) -> tuple[Found, int]:
     begin, end = stop + 4, stop + 4 + int(fields["content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("record doesn't end where its length says")
-    block, payload, size = data[begin:end], None, None
-    if fields.get("content-type", "").startswith("application/http"):
-        http = block.find(b"\r\n\r\n")
-        if http < 0:
+    block, payload, size, proved = data[begin:end], None, None, False
+    if fields.get("warc-type", "").lower() == "revisit":  # of any block, or none
+        m = re.search(rb"(?im)^content-length:\s*(\d+)", block.partition(b"\r\n\r\n")[0])
+        size = int(m[1]) if m else None
+    elif fields.get("content-type", "").lower().startswith("application/http"):
+        head, blank, payload = block.partition(b"\r\n\r\n")
+        if not blank:
             raise Damaged("no HTTP head")
-        if fields.get("warc-type") == "revisit":
-            m = re.search(rb"(?im)^content-length:\s*(\d+)", block[: http + 2])
-            size = int(m[1]) if m else None
-        else:
-            payload = block[http + 4 :]
-    elif fields.get("warc-type") != "revisit":
+    else:
         payload = block
     if payload is not None:
         size = len(payload)
         kind, _, want = fields.get("warc-payload-digest", "").partition(":")
-        if kind == "sha1" and want != digest32(payload):
-            raise Damaged("payload digest differs")
-    return Found(at, end + 4, None, fields, payload, size), end + 4
+        if kind.strip().lower() == "sha1":
+            if not (proved := same_digest(payload, want.strip())):
+                raise Damaged("payload digest differs")
+    return Found(at, end + 4, None, fields, payload, size, proved=proved), end + 4
 
 
 def _next_member(data: bytes, at: int) -> int:
@@ -120,46 +129,54 @@ def _next_member(data: bytes, at: int) -> int:
     return len(data)
 
 
-def read_archive(data: bytes) -> Iterator[Found]:
-    """Records and gaps of an archive, in order of their bytes; together they cover it."""
-    at, packed = 0, data[:2] == MAGIC[:2] or (VERSION.match(data) is None and _next_member(data, 0) < len(data))
+def read_plain(data: bytes, at: int = 0) -> Iterator[Found]:
+    """Records and gaps of plain bytes, in order; together they cover them."""
     while at < len(data):
         try:
-            if packed:
-                if data[at : at + 3] != MAGIC:
-                    raise Damaged("no gzip member")
-                z = zlib.decompressobj(31)
-                try:
-                    plain, end = _inflate(z, data, at)
-                except zlib.error as e:
-                    raise Damaged(f"gzip: {e}") from e
-                if not z.eof:
-                    raise Damaged("gzip member cut short")
-                found, stop = parse_record(plain)
-                if stop != len(plain):
-                    raise Damaged("more than one record in a member")
-            else:
-                found, end = parse_record(data, at)
-            found.begin, found.end = at, end
+            found, end = parse_record(data, at)
             yield found
         except Damaged as e:
-            if packed:
-                end = _next_member(data, at + 1)
-            else:
-                m = HEAD.search(data, at + 1)
-                end = m.start() if m else len(data)
+            m = HEAD.search(data, at + 1)
+            end = m.start() if m else len(data)
             yield Found(at, end, str(e), {})
         at = end
 
 
-def _inflate(z, data: bytes, at: int) -> tuple[bytes, int]:
-    """A member's plain bytes and where it ends; fed piece by piece, so that what follows isn't copied each time."""
-    out, step = [], 1 << 15
-    view = memoryview(data)
-    while at < len(data) and not z.eof:
-        out.append(z.decompress(view[at : at + step]))
-        at = min(at + step, len(data))
-    return b"".join(out), at - len(z.unused_data)
+def read_archive(data: bytes) -> Iterator[Found]:
+    """Records and gaps of an archive, in order of their bytes; together they cover it."""
+    if data[:2] != MAGIC[:2] and (VERSION.match(data) or _next_member(data, 0) == len(data)):
+        yield from read_plain(data)
+        return
+    at = 0
+    while at < len(data):
+        plain, end, problem = _inflate(data, at)
+        parts = list(read_plain(plain))
+        if problem is None:
+            whole = len(parts) == 1
+        else:
+            end = _next_member(data, at + 1)
+            parts = [x if x.problem or x.proved else Found(x.begin, x.end, problem, {}) for x in parts]
+            whole = not any(x.problem is None for x in parts)
+            parts = [Found(at, end, problem, {})] if whole else parts
+        for x in parts or [Found(at, end, "empty member", {})]:
+            x.inside = None if whole or not parts else (x.begin, x.end)
+            x.begin, x.end = at, end
+            yield x
+        at = end
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """A member's plain bytes, where it ends, and what is wrong; fed piece by piece, so that what follows isn't copied each time."""
+    if data[at : at + 3] != MAGIC:
+        return b"", at, "no gzip member"
+    z, out, step, view = zlib.decompressobj(31), [], 1 << 15, memoryview(data)
+    try:
+        while at < len(data) and not z.eof:
+            out.append(z.decompress(view[at : at + step]))
+            at = min(at + step, len(data))
+    except zlib.error as e:
+        return b"".join(out), at, f"gzip: {e}"
+    return b"".join(out), at - len(z.unused_data), None if z.eof else "gzip member cut short"
 
 
 def _write(uri: str):
@@ -197,11 +214,15 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
 
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads the one with the largest page_id is
     a response and the others revisit it; rows that share that id are all responses. A null id counts as the smallest.
+    Texts may be of any length; repeated rows are records each; other columns are ignored; an empty table gives no archive.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload")).withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    last = rows.groupBy("digest", "size").agg(F.max("page_id").alias("last"))
-    rows = rows.join(last.hint("merge"), ["digest", "size"])
+    # who is a response is told without payloads; these only move to their page's own entry, however many pages share one
+    keys = rows.select("page_id", "digest", "size").distinct()
+    last = staged(keys.groupBy("digest", "size").agg(F.max("page_id").alias("last")), "last")
+    keys = staged(keys.join(last.hint("merge"), ["digest", "size"]).select(F.col("page_id").alias("of"), F.col("digest").alias("d"), F.col("size").alias("s"), "last"), "roles")
+    rows = rows.join(keys.hint("merge"), F.col("page_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("d")) & (F.col("size") == F.col("s")))
     name = lambda c: F.concat(F.lit(PREFIX), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     first = F.col("page_id").eqNullSafe(F.col("last"))
     rows = rows.select(name("page_id").alias("name"), "url", "payload", "digest", F.when(first, "response").otherwise("revisit").alias("kind"), F.when(~first, name("last")).alias("refers_to"))
@@ -211,7 +232,7 @@ def write_archives(pages: DataFrame, uri: str) -> DataFrame:
 def _rows(file: str, data: bytes, with_payload: bool) -> Iterator[pa.RecordBatch]:
     def batch(found: list[Found]) -> pa.RecordBatch:
         names = {"warc_type": "warc-type", "record_id": "warc-record-id", "refers_to": "warc-refers-to", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest"}
-        cols = {"file": pa.array([file] * len(found), pa.string()), "begin": pa.array([x.begin for x in found], pa.int64()), "end": pa.array([x.end for x in found], pa.int64()), "problem": pa.array([x.problem for x in found], pa.string())}
+        cols = {"file": pa.array([file] * len(found), pa.string()), "begin": pa.array([x.begin for x in found], pa.int64()), "end": pa.array([x.end for x in found], pa.int64()), "inside_begin": pa.array([x.inside and x.inside[0] for x in found], pa.int64()), "inside_end": pa.array([x.inside and x.inside[1] for x in found], pa.int64()), "problem": pa.array([x.problem for x in found], pa.string())}
         cols |= {k: pa.array([x.fields.get(v) for x in found], pa.string()) for k, v in names.items()}
         return pa.RecordBatch.from_pydict(cols | {"payload_bytes": pa.array([x.payload_bytes for x in found], pa.int64()), "payload": pa.array([x.payload if with_payload else None for x in found], pa.binary())})
 
@@ -238,7 +259,10 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """All archives under a path that Spark reads (.warc, .warc.gz) -> RECORDS, as read_archives()."""
+    """All archives under a path that Spark reads (.warc, .warc.gz) -> RECORDS, as read_archives().
+
+    An archive is read as one binary value, which Spark bounds at 2 GB.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

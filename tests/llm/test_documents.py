@@ -228,13 +228,39 @@ def test_toxicity_grammar():
         state, total = g.start, 0.0
         for w in text.split():
             s, weight = m.symbol(w)
-            state, out = g.step(state, s)
-            total += weight * toxicity.FACTORS.get(out, 0.0)
+            state, _, factor = g.step(state, s)
+            total += weight * factor
         return total
 
     assert weigh("you are a fool") > weigh("what a fool") > weigh("he is not a fool") > 0
     assert weigh("she said what a stupid thing") < weigh("what a stupid thing")
-    assert weigh("a calm day") == 0
+    assert weigh("a calm day") == weigh("they will not said you") == 0
+    # insults in a row are a phrase; apart they aren't
+    assert weigh("stupid old fool") > weigh("stupid a b c d fool") == weigh("stupid") + weigh("fool")
+    # violence is a threat after an intent, in any of the languages
+    assert weigh("i will kill you") == weigh("ich werde das vernichten") == weigh("voy a matar") == 4 * weigh("to kill time")
+    assert weigh("i will not kill you") < weigh("i will kill you") < weigh("you i will kill")
+    assert weigh("he wrote i will kill you") < weigh("i will kill you")
+
+
+def test_grammar_is_a_composition_of_five():
+    names = [toxicity._insult, toxicity._threat, toxicity._target, toxicity._negation, toxicity._reporting]
+    g, rng = toxicity.grammar(), random.Random(4)
+    for _ in range(200):
+        text = [rng.choice(".ivmynr") for _ in range(12)]
+        state, got = g.start, []
+        for x in text:
+            state, out, f = g.step(state, x)
+            got.append((out, f))
+        want = [(x, 1.0) for x in text]
+        for make in names:  # one after the other over the whole clause
+            t = make()
+            s, after = t.start, []
+            for x, f in want:
+                s, out, h = t.step(s, x)
+                after.append((out, f * h))
+            want = after
+        assert got == want
 
 
 def test_toxicity_learns(spark):

@@ -41,6 +41,8 @@ def test_layouts(spark):
         df = spark.createDataFrame([(1, *row)], f"conv_id bigint, {schema}")
         assert layout_of(df, "conv_id") == name
         assert [tuple(t) for t in canonical_turns(df).first()["turns"]] == [("user", "q"), ("assistant", "a")]
+    both = spark.createDataFrame([(1, 0, "user", "x", "q", "a")], "conv_id bigint, turn int, role string, text string, prompt string, response string")
+    assert layout_of(both, "conv_id") == "turn_rows" and [tuple(t) for t in canonical_turns(both).first()["turns"]] == [("user", "x")]
     with pytest.raises(ValueError):
         layout_of(spark.range(1).withColumnRenamed("id", "conv_id"), "conv_id")
 
@@ -81,8 +83,11 @@ def test_salvage(packed):
     assert good == ["<r0>", "<r1>", "<r3>", "<r5>"]
     assert found[0].begin == 0 and found[-1].end == len(hurt) and all(a.end == b.begin for a, b in zip(found, found[1:], strict=False))
     assert [(x.begin, x.end) for x in found if x.problem] == [(at[2], at[3]), (at[4], at[4] + 15)]
-    cut = list(warc.read_archive(b"junk" + whole[: at[3] - 5]))
+    # a cut in the record loses it; one in a member's trailer only doesn't, for its digest proves it
+    cut = list(warc.read_archive(b"junk" + whole[: at[3] - 25]))
     assert [x.problem is None for x in cut] == [False, True, True, False]
+    cut = list(warc.read_archive(b"junk" + whole[: at[3] - 5]))
+    assert [x.problem is None for x in cut] == [False, True, True, packed]
     assert list(warc.read_archive(b"")) == []
 
 
@@ -92,3 +97,32 @@ def test_read_warc_from_a_path(spark, tmp_path):
     x = warc.read_warc(spark, f"file://{tmp_path}").collect()
     assert sum(r["problem"] is None for r in x) == 4 and sum(r["problem"] is not None for r in x) == 1
     assert {hashlib.sha1(r["payload"]).hexdigest() for r in x if r["payload"]}
+
+
+def test_several_records_in_a_member():
+    r = records(5)
+    whole = warc.member(b"".join(r))
+    found = list(warc.read_archive(whole))
+    assert [x.fields["warc-record-id"] for x in found] == [f"<r{k}>" for k in range(5)]
+    assert {(x.begin, x.end) for x in found} == {(0, len(whole))} and found[0].inside[0] == 0
+    assert all(a.inside[1] == b.inside[0] for a, b in zip(found, found[1:], strict=False))
+    bad = list(warc.read_archive(warc.member(r[0] + r[1].replace(b"payload 1", b"payload 9", 1) + r[2]) + warc.member(r[3])))
+    assert [x.problem for x in bad] == [None, "payload digest differs", None, None] and bad[1].inside == (len(r[0]), len(r[0]) + len(r[1]))
+    # a member cut short keeps the records that were inflated and proved
+    noise = warc.record("response", "big", None, hashlib.sha512(b"x").digest() * 9999, None or "", None)
+    cut = warc.member(r[0] + r[1] + noise)
+    found = list(warc.read_archive(cut[: len(cut) - 40] + warc.member(r[4])))
+    assert [x.fields.get("warc-record-id") for x in found if x.problem is None] == ["<r0>", "<r1>", "<r4>"]
+
+
+def test_spellings_of_digests_and_revisits():
+    body = b"some payload"
+    plain = warc.record("response", "a", None, body, warc.digest32(body), None)
+    for digest in (warc.digest32(body).lower(), hashlib.sha1(body).hexdigest(), hashlib.sha1(body).hexdigest().upper()):
+        x = warc.record("response", "a", None, body, digest, None)
+        assert [f.problem for f in warc.read_archive(x)] == [None]
+    assert [f.problem for f in warc.read_archive(plain.replace(b"sha1:", b"SHA1:"))] == [None]
+    assert [f.problem for f in warc.read_archive(plain.replace(b"sha1:", b"md5:"))] == [None]
+    empty = b"WARC/1.0\r\nWARC-Type: revisit\r\nWARC-Record-ID: <v>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    found = list(warc.read_archive(empty + plain))
+    assert [(f.problem, f.payload_bytes) for f in found] == [(None, None), (None, len(body))]
