@@ -7,33 +7,34 @@ because the given prose matches none of the rule words. Both engines make it fro
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import label, rules as R, text as X
 from .functions.ids import parse_seed_id, perturb_seed, tracking_id
-from .functions.perturb import perturb_text, perturb_text_exact
+from .functions.perturb import match_case, perturb_text, perturb_text_exact
 from .operators import expand, quality as Q, split as S, summary, vectors as V
 from .plans import builds
 from .sources import notes
-from .sources.shared import folder
+from .sources.shared import folder, written
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-# What is put in front of the texts, and raw categories beside the known ones.
+# What is put in front of the texts, and raw categories beside the known ones.
 PHRASES = [
-    "Patient found in cardiac arrest, CPR initiated.",
-    "Presents with worst headache of his life and slurred speech.",
-    "Persistent high fever for three days, mild dehydration.",
-    "Routine annual physical, no acute distress, well-appearing.",
-    "Patient here for medication management of stable hypertension.",
-    "History of cardiac arrest two years ago, now stable, here for routine follow-up.",
-    "The foot was elevated and exsanguinated with an Esmarch bandage prior to inflation of the pneumatic tourniquet.",
-    "Patient exsanguinated rapidly secondary to traumatic gunshot wound.",
-    "Severe menometrorrhagia unresponsive to medical therapy, proceeding to hysterectomy.",
-    "Patient found unresponsive at home by family, EMS called.",
+    "He went into cardiac arrest on the ward and the team began at once.",
+    "Since noon she has had the worst headache of her life.",
+    "The child keeps a persistent fever and looks dehydrated.",
+    "Seen for the annual physical, in no apparent distress.",
+    "Comes for a new prescription of the usual tablets.",
+    "Had a cardiac arrest in an earlier year, feels fine, routine follow-up.",
+    "Once the limb was exsanguinated the cuff was filled.",
+    "She exsanguinated within minutes due to hemorrhage after the fall.",
+    "A rash unresponsive to two creams, now referred.",
+    "Neighbours found him unresponsive on the stairs.",
     "ACUTE severe fracture!!! severe",
     "routine follow-up, chronic but stable",
     "life-threatening emergency???",
@@ -61,11 +62,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Dealt to all cores if the input's splits (one for each row group of a file) are fewer; large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (d % len(values) + 1).cast("int"))
     body = F.when(d % 97 == 13, None).when(d % 89 == 7, "  ").when(d % 83 == 5, "two words").otherwise(F.concat(pick(PHRASES), F.lit(" "), F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", d.cast("string").alias("seed_id"), pick(RAW).alias("raw_category"), body.alias("text"), "lang", "source")
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", d.cast("string").alias("seed_id"), pick(RAW).alias("raw_category"), body.alias("text"), "lang", "source")
 
 
 def _pick(values: list[str | None]) -> str:
@@ -128,12 +135,12 @@ def match_sql(c: str, pattern: str) -> str:
 
 def cascade_sql(c: str, what: str) -> str:
     """The tier (what = 'tier') or the matched pattern (what = 'pattern') of the five-tier cascade."""
-    cases = " ".join(f"WHEN {match_sql(c, p)} THEN {q(t if what == 'tier' else p)}" for t, ps in R.TIERS5.items() for p in ps)
+    cases = " ".join(f"WHEN {match_sql(c, p)} THEN {q(t if what == 'tier' else label.edged(p))}" for t, ps in R.TIERS5.items() for p in ps)
     return f"CASE WHEN {blank_sql(c)} THEN {q('S4' if what == 'tier' else None)} {cases} ELSE {q('S4' if what == 'tier' else None)} END"
 
 
 def keywords_sql(c: str, tier: str) -> str:
-    found = [f"list_transform(regexp_extract_all({c}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({k.replace('?', '.?')})(?:$|[^\\p{{L}}\\p{{N}}_])', 1), lambda x: lower(x))" for k in R.KEYWORDS3[tier]]
+    found = [f"list_transform(regexp_extract_all({c}, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])({k})(?:$|[^\\p{{L}}\\p{{N}}_])', 1), lambda x: lower(x))" for k in R.KEYWORDS3[tier]]
     return f"list_sort(list_distinct(flatten([{', '.join(found)}])))"
 
 
@@ -205,8 +212,9 @@ on_clinical(
 )
 on_clinical(
     "phrase_context_share",
-    f"WITH {CLINICAL} SELECT sum({match_sql('text', 'unresponsive[ ]+to')}::INT)::BIGINT AS benign, sum(regexp_matches(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])unresponsive(?:$|[^\\p{{L}}\\p{{N}}_])')::INT)::BIGINT AS n FROM clinical".replace("regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}_])unresponsive[" + WS + "]+to($|[^\\p{L}\\p{N}_])', '\\1\\2', 'g')", "text"),
-    lambda df: df.agg(F.sum(F.col("text").rlike(X.word_rule("unresponsive[ ]+to")).cast("int")).alias("benign"), F.sum(F.col("text").rlike(X.word_rule("unresponsive")).cast("int")).alias("n")),
+    f"WITH {CLINICAL}, o AS (SELECT unnest(regexp_extract_all(text, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])unresponsive(?:$|[^\\p{{L}}\\p{{N}}_])(?:to(?:$|[^\\p{{L}}\\p{{N}}_]))?')) AS found FROM clinical) "
+    "SELECT count(*) FILTER (regexp_matches(found, '(?i) to[^a-z]*$')) AS benign, count(*) AS n FROM o",
+    lambda df: df.agg(*(F.coalesce(F.sum(F.regexp_count("text", F.lit(X.word_rule(p)))), F.lit(0)).alias(a) for p, a in (("unresponsive[ ]to", "benign"), ("unresponsive", "n")))),
 )
 OLD_RULE = "unresponsive"
 on_clinical(
@@ -236,7 +244,7 @@ def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("tracking_id", f"{IDS} SELECT tracking_id FROM ids")(lambda s, d: _ids(s, d).select("tracking_id"))
 register("parse_seed_id", f"{IDS} SELECT tracking_id, split_part(tracking_id, '::', 1) AS seed_id FROM ids")(lambda s, d: _ids(s, d).select("tracking_id", parse_seed_id(F.col("tracking_id")).alias("seed_id")))
 register("perturb_seed", f"{IDS} SELECT tracking_id, CAST('0x' || split_part(tracking_id, '::', 3) AS BIGINT) AS seed FROM ids")(lambda s, d: _ids(s, d).select("tracking_id", perturb_seed(F.col("tracking_id")).alias("seed")))
-register("row_surrogate_id", "SELECT doc_id, printf('MTA-%06d', row_number() OVER (ORDER BY doc_id)) AS id FROM documents")(lambda s, d: S.numbered(table(s, d, "documents").select("doc_id"), "doc_id").select("doc_id", S.row_surrogate_id(F.col("number") + 1, "MTA").alias("id")))
+register("row_surrogate_id", "SELECT doc_id, printf('MTA-%06d', row_number() OVER (ORDER BY doc_id) - 1) AS id FROM documents")(lambda s, d: S.numbered(table(s, d, "documents").select("doc_id"), "doc_id").select("doc_id", S.row_surrogate_id(F.col("number"), "MTA").alias("id")))
 RANKED = "r AS (SELECT *, row_number() OVER (ORDER BY sha256('1337:' || CAST(key AS VARCHAR))) - 1 AS k, count(*) OVER () AS n FROM keys)"
 CUT = {False: ("floor(n * 0.8::DOUBLE)", "floor(n * 0.1::DOUBLE)"), True: ("round_even(n * 0.8::DOUBLE, 0)", "round_even(n * 0.1::DOUBLE, 0)")}
 
@@ -256,9 +264,11 @@ def _turns(s: SparkSession, d: str) -> DataFrame:
 
 
 register("split_grouped_seeds", f"WITH {GROUPED} SELECT CAST(conv_id AS VARCHAR) AS seed_id, turn, split FROM conversations JOIN cut ON key = conv_id")(lambda s, d: _turns(s, d).select("seed_id", "turn", "split"))
+register("join_split_ids", "WITH keys AS (SELECT doc_id AS key FROM documents), " + RANKED + f" SELECT doc_id, source, {cut_sql(False)} AS split FROM r JOIN documents ON key = doc_id")(lambda s, d: (lambda docs: S.join_split_ids(docs, S.split_rank_rows(docs, "doc_id").select("doc_id", "split"), "doc_id"))(table(s, d, "documents").select("doc_id", "source")))
 register("join_split_rows", ORACLE_SQL["split_grouped_seeds"])(lambda s, d: S.join_split_rows(_turns(s, d).drop("split", "seed_id"), _turns(s, d).select("seed_id", "split").distinct()).select("seed_id", "turn", "split"))
 register("verify_no_leakage", f"WITH {GROUPED}, x AS (SELECT conv_id, split FROM conversations JOIN cut ON key = conv_id) SELECT count(*) AS n_leaks FROM (SELECT conv_id FROM x GROUP BY 1 HAVING count(DISTINCT split) > 1)")(lambda s, d: S.leaks(_turns(s, d)).agg(F.count("*").alias("n_leaks")))
-register("set_disjoint_splits", f"WITH {GROUPED} SELECT key::VARCHAR AS seed_id FROM cut WHERE split = 'train' INTERSECT SELECT key::VARCHAR FROM cut WHERE split = 'test'")(lambda s, d: _turns(s, d).where("split = 'train'").select("seed_id").intersect(_turns(s, d).where("split = 'test'").select("seed_id")))
+PAIRS = [(a, b) for k, a in enumerate(S.NAMES) for b in S.NAMES[k + 1 :]]
+register("set_disjoint_splits", f"WITH {GROUPED}, x AS (SELECT CAST(conv_id AS VARCHAR) AS seed_id, split FROM conversations JOIN cut ON key = conv_id) SELECT * FROM (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in PAIRS)}) t(one, other) JOIN (SELECT a.seed_id, a.split AS one, b.split AS other FROM x a JOIN x b USING (seed_id)) USING (one, other)")(lambda s, d: S.shared_seeds(_turns(s, d)).select("one", "other", "seed_id"))
 register("first_per_seed", f"WITH {GROUPED} SELECT CAST(conv_id AS VARCHAR) AS seed_id, min(turn) AS turn FROM conversations GROUP BY 1")(lambda s, d: _turns(s, d).groupBy("seed_id").agg(F.min("turn").alias("turn")))
 register("dist_split_seeds", f"WITH {GROUPED} SELECT split, count(*) AS n FROM cut GROUP BY 1")(lambda s, d: _turns(s, d).groupBy("split").agg(F.count_distinct("seed_id").alias("n")))
 register("expect_nonempty_split", "SELECT source, count(*) AS n, round_even(count(*) * 0.8::DOUBLE, 0) > 0 AND round_even(count(*) * 0.1::DOUBLE, 0) > 0 AND count(*) - round_even(count(*) * 0.8::DOUBLE, 0) - round_even(count(*) * 0.1::DOUBLE, 0) > 0 AS passed FROM documents GROUP BY 1")(lambda s, d: table(s, d, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("passed", S.expect_nonempty_split(F.col("n"))))
@@ -289,8 +299,8 @@ on_clinical("expect_deterministic", "SELECT TRUE AS same", lambda df: df.sparkSe
 
 
 def _known(df: DataFrame) -> DataFrame:
-    x = expand.expand_variants(label.map_category(df).where("department_code is not null"), None)
-    return x.withColumn("severity", label.severity_cascade5(F.col("text"))["severity"])
+    x = expand.expand_variants(label.map_category(df).where("department_code is not null"), None, with_severity=True)
+    return x.withColumn("severity", F.col("severity.severity"))
 
 
 DISTS = {"dist_severity": "severity", "dist_department": "department_code", "dist_confidence": "routing_confidence"}
@@ -303,20 +313,37 @@ on_clinical(
     f"{ALL} SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(department_code) = 0 THEN 'department_code' ELSE 'routing_confidence' END AS what, coalesce(severity, department_code, routing_confidence) AS value, count(*) AS n FROM known GROUP BY GROUPING SETS ((severity), (department_code), (routing_confidence))",
     lambda df: summary.rollup(_known(df), [*DISTS.values()]),
 )
-on_clinical(
-    "snk_manifest",
-    f"{ALL} SELECT count(*)::BIGINT AS n_rows, count(DISTINCT seed_id) AS n_seeds, (SELECT string_agg(severity || '=' || n, ',' ORDER BY severity) FROM (SELECT severity, count(*) AS n FROM known GROUP BY 1)) AS severities FROM known",
-    lambda df: summary.manifest(_known(df), [*DISTS.values()]).select("n_rows", "n_seeds", F.array_join(F.transform(F.map_entries("severity_counts"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("severities")),
-)
-on_clinical("label_index", f"{ALL}, c AS (SELECT department_code, row_number() OVER (ORDER BY department_code) - 1 AS i FROM (SELECT DISTINCT department_code FROM known)) SELECT tracking_id, CAST(i AS INT) AS class_index FROM known JOIN c USING (department_code)", lambda df: (lambda k: k.join(F.broadcast(V.label_dimension(label.category_map(df), "department_code")), "department_code").select("tracking_id", F.col("class_index").cast("int")))(_known(df)))
+CLASSES = ", ".join(f"{c[0]}_class AS (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS i FROM (SELECT DISTINCT {c} FROM known))" for c in ("department_code", "severity"))
+
+
+def _indexed(df: DataFrame) -> DataFrame:
+    known = written(_known(df).select("tracking_id", "department_code", "severity"), "known")
+    for c, name in (("department_code", "department_index"), ("severity", "severity_index")):
+        # 13 and 5 classes
+        known = known.join(F.broadcast(V.label_dimension(known, c).withColumnRenamed("class_index", name)), c)
+    return known.select("tracking_id", *(F.col(c).cast("int").alias(c) for c in ("department_index", "severity_index")))
+
+
+on_clinical("label_index", f"{ALL}, {CLASSES} SELECT tracking_id, CAST(d.i AS INT) AS department_index, CAST(s.i AS INT) AS severity_index FROM known JOIN d_class d USING (department_code) JOIN s_class s USING (severity)", _indexed)
 ORACLE_SQL["join_label_dim"], QUERIES["join_label_dim"] = ORACLE_SQL["label_index"], QUERIES["label_index"]
 on_clinical("sorted_label_codes", f"WITH {MAP} SELECT department_code, CAST(row_number() OVER (ORDER BY department_code) - 1 AS INT) AS class_index FROM (SELECT DISTINCT department_code FROM category)", lambda df: V.label_dimension(label.map_category(df).where("department_code is not null"), "department_code").select("department_code", F.col("class_index").cast("int")))
-on_clinical("set_equal_labels", f"WITH {CLINICAL}, {MAP}, {MAPPED} SELECT DISTINCT department_code FROM category EXCEPT SELECT department_code FROM mapped", lambda df: label.category_map(df).select("department_code").distinct().exceptAll(label.map_category(df).select("department_code").where("department_code is not null").distinct()))
+on_clinical(
+    "set_equal_labels",
+    f"WITH {CLINICAL}, {MAP}, {MAPPED}, a AS (SELECT DISTINCT department_code FROM category), b AS (SELECT DISTINCT department_code FROM mapped WHERE department_code IS NOT NULL) SELECT 'rules' AS only_in, department_code FROM a ANTI JOIN b USING (department_code) UNION ALL SELECT 'data', department_code FROM b ANTI JOIN a USING (department_code)",
+    lambda df: Q.set_difference(label.category_map(df).select("department_code").distinct(), label.map_category(df).select("department_code").where("department_code is not null").distinct(), "rules", "data"),
+)
+on_clinical("provenance_cols", f"{ALL} SELECT tracking_id, severity, {q(R.LABEL_SOURCE)} AS label_source, 'low' AS label_confidence FROM known", lambda df: label.provenance_cols(_known(df)).select("tracking_id", "severity", "label_source", "label_confidence"))
+_N = "daktar"
+on_clinical(
+    "perturb_match_case",
+    f"WITH {CLINICAL}, w AS (SELECT seed_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM clinical) SELECT seed_id, word, CASE WHEN word = upper(word) AND length(word) > 1 THEN upper('{_N}') WHEN word[1] = upper(word[1]) THEN upper('{_N[0]}') || '{_N[1:]}' ELSE '{_N}' END AS made FROM w",
+    lambda df: df.select("seed_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).withColumn("made", match_case(F.col("word"), F.lit(_N))),
+)
 
 
 # whole builds, sinks and sources
 
-BUILD_A = f"WITH {CLINICAL}, {CLEAN}, kept AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS number FROM clean WHERE text IS NOT NULL AND NOT {NO_CAT} AND len(regexp_extract_all(cleaned, '[^{WS}]+')) >= 3), keys AS (SELECT printf('MTA-%06d', number) AS key, kept.* FROM kept), {RANKED}, built AS (SELECT key AS tracking_id, {trim_sql('raw_category')} AS specialty_label, cleaned AS cleaned_text, CASE {' '.join(f'WHEN {ONE[t]} THEN {q(t)}' for t in R.KEYWORDS3)} ELSE 'unknown' END AS severity_label_heuristic, {cut_sql(False)} AS target_split FROM r)"
+BUILD_A = f"WITH {CLINICAL}, {CLEAN}, kept AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM clean WHERE text IS NOT NULL AND NOT {NO_CAT} AND len(regexp_extract_all(cleaned, '[^{WS}]+')) >= 3), keys AS (SELECT printf('MTA-%06d', number) AS key, kept.* FROM kept), {RANKED}, built AS (SELECT key AS tracking_id, {trim_sql('raw_category')} AS specialty_label, cleaned AS cleaned_text, CASE {' '.join(f'WHEN {ONE[t]} THEN {q(t)}' for t in R.KEYWORDS3)} ELSE 'unknown' END AS severity_label_heuristic, {cut_sql(False)} AS target_split FROM r)"
 _A = ["tracking_id", "specialty_label", "cleaned_text", "severity_label_heuristic", "target_split"]
 on_clinical("clean_build", f"{BUILD_A} SELECT {', '.join(_A)} FROM built", lambda df: builds.clean_build(df, "doc_id").select(*_A))
 on_clinical("dist_severity_by_split", f"{BUILD_A} SELECT target_split, severity_label_heuristic, count(*) AS n FROM built GROUP BY 1, 2", lambda df: builds.clean_build(df, "doc_id").groupBy("target_split", "severity_label_heuristic").agg(F.count("*").alias("n")))
@@ -345,14 +372,27 @@ def _src_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 on_clinical("peek_perturbed", f"{BUILD_B} SELECT tracking_id, upper(split) AS split, CASE WHEN length(body) > 120 THEN substr(body, 1, 120) || '...' ELSE body END AS text FROM built WHERE variant_index > 0 ORDER BY tracking_id LIMIT 2", lambda df: notes.peek(builds.variant_build(df, None)))
 
 
-@register("snk_raw_snapshot", f"WITH {CLINICAL} SELECT printf('MTA-RAW-%06d', row_number() OVER (ORDER BY doc_id)) AS raw_row_id, text AS transcription, coalesce({trim_sql('raw_category')}, '') AS specialty_label FROM clinical WHERE NOT {blank_sql('text')} AND NOT {NO_CAT}")
+@register("snk_raw_snapshot", f"WITH {CLINICAL} SELECT printf('MTA-RAW-%06d', row_number() OVER (ORDER BY doc_id) - 1) AS raw_row_id, text AS transcription, coalesce({trim_sql('raw_category')}, '') AS specialty_label FROM clinical WHERE text IS NOT NULL")
 def _snk_raw_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = S.numbered(Q.drop_blank_text(clinical(spark, sf_dir)).where(~X.is_blank(F.col("raw_category"))), "doc_id")
-    x = x.select(S.row_surrogate_id(F.col("number") + 1, "MTA-RAW").alias("raw_row_id"), F.col("text").alias("transcription"), X.norm_category(F.col("raw_category")).alias("specialty_label"))
+    x = S.numbered(notes.notes_validated(clinical(spark, sf_dir), "text", "raw_category"), "doc_id")
+    x = x.select(S.row_surrogate_id(F.col("number"), "MTA-RAW").alias("raw_row_id"), F.col("text").alias("transcription"), X.norm_category(F.col("raw_category")).alias("specialty_label"))
     notes.write_csv(x, path := folder(spark, "snapshot"))
     return spark.read.options(**notes.CSV).schema(x.schema).csv(path)
 
 
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts as a file of raw notes, and that file read."""
+    blank = F.lit(None).cast("string")
+    x = clinical(spark, sf_dir).select(F.col("seed_id").alias("row"), blank.alias("description"), F.col("raw_category").alias("medical_specialty"), blank.alias("sample_name"), F.col("text").alias("transcription"), blank.alias("keywords"))
+    notes.write_csv(x, path := folder(spark, "notes"))
+    return notes.read_notes(spark, path)
+
+
+register("src_notes_csv", f"WITH {CLINICAL} SELECT seed_id, raw_category AS medical_specialty, text AS transcription FROM clinical WHERE text IS NOT NULL")(lambda s, d: notes.notes_validated(_notes(s, d)).select("seed_id", "medical_specialty", "transcription"))
+register("src_notes_counts", f"WITH {CLINICAL} SELECT count(*) AS n_before, count(text) AS n_after, count(*) - count(text) AS n_null_text FROM clinical")(lambda s, d: notes.notes_counts(_notes(s, d)))
+register("nan_to_null", "SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN value END AS value FROM events")(lambda s, d: notes.nan_to_null(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 3, float("nan")).otherwise(F.col("value")).alias("value"))))
+
+
 @register("snk_raw_archive", f"WITH {CLINICAL} SELECT seed_id, text FROM clinical WHERE text IS NOT NULL")
 def _snk_raw_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = notes.notes_validated(clinical(spark, sf_dir), "text", "raw_category").select("seed_id", "text")
@@ -360,35 +400,71 @@ def _snk_raw_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _text_counts(c: str, table: str) -> str:
+    return f"(SELECT string_agg({c} || '=' || n, ',' ORDER BY {c}) FROM (SELECT {c}, count(*) AS n FROM {table} GROUP BY 1))"
+
+
+def _told(counts: Column) -> Column:
+    """A map of counts as a line, sorted by key."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+
+
+def _clean_json(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    x = written(builds.clean_build(clinical(spark, sf_dir), "doc_id"), "clean")
+    notes.write_clean_json(x, path := folder(spark, "clean-json"), summary.export_metadata(x, {"target_split": "splits", "severity_label_heuristic": "severities"}))
+    return x, path
+
+
 @register("snk_clean_json", f"{BUILD_A} SELECT {', '.join(_A)} FROM built")
 def _snk_clean_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = builds.clean_build(clinical(spark, sf_dir), "doc_id")
-    notes.write_clean_json(x, path := folder(spark, "clean"), x.agg(F.count("*").alias("n")))
+    x, path = _clean_json(spark, sf_dir)
     return spark.read.schema(x.schema).json(f"{path}/records").select(*_A)
 
 
+@register("snk_clean_metadata", f"{BUILD_A} SELECT count(*) AS n_records, '{summary.SCHEMA_VERSION}' AS schema_version, TRUE AS stamped, {_text_counts('target_split', 'built')} AS splits, {_text_counts('severity_label_heuristic', 'built')} AS severities FROM built")
+def _snk_clean_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = spark.read.schema(summary.METADATA).json(f"{_clean_json(spark, sf_dir)[1]}/metadata")
+    stamp = F.col("export_timestamp_utc").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d.*Z$")
+    return x.select("n_records", "schema_version", stamp.alias("stamped"), _told(F.col("splits")).alias("splits"), _told(F.col("severities")).alias("severities"))
+
+
+_M = {"severity_heuristic": "severities", "department_code": "departments", "routing_confidence": "confidences", "split": "split_rows"}
+
+
+@register(
+    "snk_manifest",
+    f"{BUILD_B}, b AS (SELECT *, severity AS severity_heuristic FROM built), first AS (SELECT DISTINCT seed_id, split FROM b) "
+    f"SELECT count(*) AS n_rows, count(DISTINCT seed_id) AS n_seeds, 4 AS n_variants, {', '.join(f'{_text_counts(c, "b")} AS {a}' for c, a in _M.items())}, {_text_counts('split', 'first')} AS split_seeds, TRUE AS leakage_verified FROM b",
+)
+def _snk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = written(builds.variant_build(clinical(spark, sf_dir), None), "variants")
+    summary.manifest(x, _M).write.json(path := folder(spark, "manifest"))
+    x = spark.read.schema(summary.manifest_schema(_M)).json(path)
+    return x.select("n_rows", "n_seeds", "n_variants", *(_told(F.col(a)).alias(a) for a in (*_M.values(), "split_seeds")), "leakage_verified")
+
+
 # vocabularies and vectors
 
 _P = [(k, a, w, v) for k, (w, to) in enumerate([*((w, to) for w, to, _ in R.VARIANTS), *((w, [t]) for w, t in R.FINAL_DROPS)]) for a, v in enumerate(to)]
 PLAN = "pairs AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {a}, {q(w)}, {q(v)})" for k, a, w, v in _P) + ") t(rule_idx, alt_idx, canonical, variant) WHERE variant <> canonical), plan AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY variant ORDER BY rule_idx, alt_idx) AS r FROM pairs) WHERE r = 1)"
 #: Documents' words that some rule knows stand for the base vocabulary.
-BASE = "base AS (SELECT DISTINCT lower(w) AS token FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM clinical))"
+BASE = "base AS (SELECT DISTINCT lower(w) AS token FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM clinical))"
 
 
 def _base(s: SparkSession, d: str) -> DataFrame:
-    return clinical(s, d).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w")).select(F.lower("w").alias("token")).distinct()
+    return clinical(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).select(F.lower("w").alias("token")).distinct()
 
 
 def _new(s: SparkSession, d: str) -> DataFrame:
     return V.new_tokens(V.vocab_plan(V.rule_frame(s)), _base(s, d))
 
 
-register("vocab_plan", f"WITH {CLINICAL}, {PLAN}, {BASE} SELECT canonical, variant, rule_idx, alt_idx, token IS NOT NULL AS present FROM plan LEFT JOIN base ON token = variant")(lambda s, d: V.vocab_plan(V.rule_frame(s)).join(_base(s, d).withColumnRenamed("token", "variant").withColumn("p", F.lit(True)), "variant", "left").select("canonical", "variant", "rule_idx", "alt_idx", F.coalesce("p", F.lit(False)).alias("present")))
+register("vocab_plan", f"WITH {CLINICAL}, {PLAN}, {BASE} SELECT canonical, variant, rule_idx, alt_idx, token IS NOT NULL AS present FROM plan LEFT JOIN base ON token = variant")(lambda s, d: V.vocab_plan(V.rule_frame(s)).join(_base(s, d).withColumnRenamed("token", "variant").withColumn("p", F.lit(True)).hint("merge"), "variant", "left").select("canonical", "variant", "rule_idx", "alt_idx", F.coalesce("p", F.lit(False)).alias("present")))
 for _n in ("first_claim_wins", "vocab_dedupe"):
     QUERIES[_n], ORACLE_SQL[_n] = QUERIES["vocab_plan"], ORACLE_SQL["vocab_plan"]
 register("anti_existing_vocab", f"WITH {CLINICAL}, {PLAN}, {BASE} SELECT canonical, variant FROM plan ANTI JOIN base ON token = variant")(lambda s, d: _new(s, d).select("canonical", "variant"))
 register("vocab_growth_count", f"WITH {CLINICAL}, {PLAN}, {BASE} SELECT count(*) AS n FROM plan ANTI JOIN base ON token = variant")(lambda s, d: _new(s, d).agg(F.count("*").alias("n")))
-register("expect_disjoint_tokens", f"WITH {CLINICAL}, {PLAN}, {BASE} SELECT token FROM base SEMI JOIN plan ON token = variant")(lambda s, d: _base(s, d).join(V.vocab_plan(V.rule_frame(s)).select(F.col("variant").alias("token")), "token", "left_semi"))
+register("expect_disjoint_tokens", f"WITH {CLINICAL}, {PLAN}, {BASE} SELECT token FROM base SEMI JOIN plan ON token = variant")(lambda s, d: _base(s, d).join(F.broadcast(V.vocab_plan(V.rule_frame(s)).select(F.col("variant").alias("token"))), "token", "left_semi"))
 
 CELLS = "cells AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1, 2)"
 emb = lambda s, d: table(s, d, "embeddings")
@@ -406,10 +482,13 @@ def _warm(s: SparkSession, d: str) -> DataFrame:
 
 
 register("embedding_warm_start", WARM)(lambda s, d: cells_of(_warm(s, d), "token", "vector"))
-register("embedding_copy_audit", "SELECT vec_id, len(embedding)::INT AS dims, TRUE AS same FROM embeddings")(lambda s, d: emb(s, d).alias("a").join(_warm(s, d).alias("b"), F.col("b.token") == F.concat(F.lit("v"), F.col("a.vec_id").cast("string"))).select("a.vec_id", V.copy_audit(F.col("b.vector"), F.col("a.embedding")).alias("c")).select("vec_id", "c.dims", "c.same"))
+register(
+    "embedding_copy_audit",
+    "WITH w AS (SELECT vec_id, embedding AS v FROM embeddings) SELECT vec_id, len(v)::INT AS dims, array_to_string([printf('%.6f', x::DOUBLE) FOR x IN v[1:5]], ',') AS head, len(v) = len(embedding) AND len([1 FOR x, i IN v IF abs(x - embedding[i]) > 1e-8 + 1e-5 * abs(embedding[i])]) = 0 AS same FROM w JOIN embeddings USING (vec_id)",
+)(lambda s, d: emb(s, d).alias("a").join(_warm(s, d).alias("b").hint("merge"), F.col("b.token") == F.concat(F.lit("v"), F.col("a.vec_id").cast("string"))).select("a.vec_id", V.copy_audit(F.col("b.vector"), F.col("a.embedding")).alias("c")).select("vec_id", "c.dims", "c.head", "c.same"))
 register("anchor_single_piece_check", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1 HAVING count(*) <> 1")(lambda s, d: V.not_single_piece(emb(s, d), "label"))
 register("join_anchor_pieces", "SELECT e.label, e.vec_id, f.vec_id AS first_id FROM embeddings e JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1) f USING (label)")(lambda s, d: emb(s, d).select("label", "vec_id").join(emb(s, d).groupBy("label").agg(F.min("vec_id").alias("first_id")), "label").select("label", "vec_id", "first_id"))
-register("first_vector_pool", "SELECT label, round(embedding[1]::DOUBLE, 4) AS x FROM embeddings e JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1) USING (label, vec_id)")(lambda s, d: emb(s, d).groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).select("label", F.round(F.element_at("v", 1).cast("double"), 4).alias("x")))
+register("first_vector_pool", "SELECT label, unnest(range(len(embedding))) AS pos, round(unnest(embedding)::DOUBLE, 4) + 0.0::DOUBLE AS x FROM embeddings e JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1) USING (label, vec_id)")(lambda s, d: cells_of(emb(s, d).groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")), "label", "v"))
 
 WEIGHTS = {n: [[((c * 7 + j * 3) % 11 - 5) / 10 for j in range(64)] for c in range(n)] for n in (13, 5)}
 SCORES = ", ".join(f"s{n} AS (SELECT vec_id, label, c::INT AS c, list_sum([embedding[j + 1]::DOUBLE * (((c * 7 + j * 3) % 11 - 5) / 10.0::DOUBLE) for j in range(64)]) AS s FROM embeddings, (SELECT unnest(range({n})) AS c))" for n in (13, 5))
@@ -423,7 +502,7 @@ def _heads(s: SparkSession, d: str) -> DataFrame:
     return x
 
 
-register("linear_head_scores", f"WITH {SCORES} SELECT vec_id, c, round(s, 4) + 0.0::DOUBLE AS s FROM s13")(lambda s, d: _heads(s, d).select("vec_id", F.posexplode("s13").alias("c", "s")).select("vec_id", "c", (F.round("s", 4) + 0.0).alias("s")))
+register("linear_head_scores", f"WITH {SCORES} SELECT 13 AS head, vec_id, c, round(s, 4) + 0.0::DOUBLE AS s FROM s13 UNION ALL SELECT 5, vec_id, c, round(s, 4) + 0.0::DOUBLE FROM s5")(lambda s, d: reduce(DataFrame.unionAll, (_heads(s, d).select(F.lit(n).alias("head"), "vec_id", F.posexplode(f"s{n}").alias("c", "s")).select("head", "vec_id", "c", (F.round("s", 4) + 0.0).alias("s")) for n in WEIGHTS)))
 register("cross_entropy", f"WITH {HEADS} SELECT round(avg(h13.loss), 4) AS first, round(avg(h5.loss), 4) AS second FROM h13 JOIN h5 USING (vec_id)")(lambda s, d: _heads(s, d).agg(F.round(F.avg("l13"), 4).alias("first"), F.round(F.avg("l5"), 4).alias("second")))
 register("joint_loss", f"WITH {HEADS} SELECT round(avg(h13.loss) + 1.2::DOUBLE * avg(h5.loss), 4) AS loss FROM h13 JOIN h5 USING (vec_id)")(lambda s, d: _heads(s, d).agg(F.round(V.joint_loss(F.avg("l13"), F.avg("l5")), 4).alias("loss")))
 register("argmax_accuracy", f"WITH {HEADS} SELECT round(avg((h13.pred = h13.y)::INT), 6)::DOUBLE AS first, round(avg((h5.pred = h5.y)::INT), 6)::DOUBLE AS second FROM h13 JOIN h5 USING (vec_id)")(lambda s, d: _heads(s, d).agg(*(F.round(F.avg((F.col(f"p{n}") == F.col(f"y{n}")).cast("int")), 6).alias(a) for n, a in ((13, "first"), (5, "second")))))
@@ -431,12 +510,15 @@ register("ordinal_confusion", f"WITH {HEADS} SELECT y, pred, CASE abs(y - pred)
 register("join_pred_label", f"WITH {HEADS} SELECT h.vec_id, pred, label FROM h13 h JOIN embeddings e USING (vec_id)")(lambda s, d: _heads(s, d).select("vec_id", F.col("p13").alias("pred")).join(emb(s, d).select("vec_id", "label"), "vec_id").select("vec_id", "pred", "label"))
 register("weighted_running_metrics", f"WITH {HEADS}, b AS (SELECT vec_id % 16 AS batch, avg(loss) AS loss, count(*) AS n, sum((pred = y)::INT) AS correct FROM h13 GROUP BY 1) SELECT round(sum(loss * n) / sum(n), 4) AS loss, round(sum(correct) / sum(n), 6)::DOUBLE AS accuracy FROM b")(lambda s, d: V.running_metrics(_heads(s, d).groupBy((F.col("vec_id") % 16).alias("batch")).agg(F.avg("l13").alias("loss"), F.count("*").alias("n"), F.sum((F.col("p13") == F.col("y13")).cast("int")).alias("correct"))).select(F.round("loss", 4).alias("loss"), F.round("accuracy", 6).alias("accuracy")))
 register("linear_probe_fit")(lambda s, d: V.linear_probe(emb(s, d), "embedding", "label").select("vec_id", "label", F.col("prediction").cast("int").alias("prediction")))
-register("snk_label_space", f"WITH {MAP} SELECT d.department_code, CAST(row_number() OVER (ORDER BY d.department_code) - 1 AS INT) AS class_index, (SELECT count(*) FROM documents) AS n_documents FROM (SELECT DISTINCT department_code FROM category) d")(lambda s, d: _label_space(s, d))
+register(
+    "snk_label_space",
+    f"{ALL}, {CLASSES} SELECT 'department' AS head, department_code AS class, CAST(i AS INT) AS class_index, (SELECT count(*) FROM known k WHERE k.department_code = c.department_code) AS n, {R.ALPHA}::DOUBLE AS loss_weight FROM d_class c "
+    f"UNION ALL SELECT 'severity', severity, CAST(i AS INT), (SELECT count(*) FROM known k WHERE k.severity = c.severity), {R.BETA}::DOUBLE FROM s_class c",
+)(lambda s, d: _label_space(s, d))
 
 
 def _label_space(s: SparkSession, d: str) -> DataFrame:
-    docs = clinical(s, d)
-    x = V.label_dimension(label.category_map(docs), "department_code").select("department_code", F.col("class_index").cast("int").alias("class_index")).withColumn("n_documents", F.lit(docs.count()).cast("bigint"))
+    x = V.label_space(_known(clinical(s, d)), {"department": "department_code", "severity": "severity"}, {"department": R.ALPHA, "severity": R.BETA})
     x.write.json(path := folder(s, "labels"))
     return s.read.schema(x.schema).json(path)
 
@@ -472,7 +554,7 @@ def _events(s: SparkSession, d: str) -> DataFrame:
     return _stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-register("stream_dedupe_ids", "SELECT DISTINCT event_id FROM events")(lambda s, d: _sink(s, streams.dedupe_ids(_events(s, d), "ts", "event_id", "3650 days").select("event_id")))
+register("stream_dedupe_ids", "SELECT DISTINCT event_id FROM events")(lambda s, d: _sink(s, streams.dedupe_ids(_events(s, d), "ts", "event_id").select("event_id")))
 # windows that the watermark has passed when the stream has ended
 register(
     "stream_running_metrics",

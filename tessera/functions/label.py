@@ -4,27 +4,44 @@ mentions are known to mislead them, and the constant source and confidence must
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import rules as R
-from .text import is_blank, norm_category, word_rule
+from .text import is_blank, let, norm_category, word_rule
 
 
-def _keywords(tier: str) -> str:
-    return word_rule("|".join(k.replace("?", ".?") for k in R.KEYWORDS3[tier]))
+#: Letters that a caseless pattern takes for s and i, though lower() leaves them or makes them two.
+FOLDED = ("ſıİ", "sii")
+
+
+def folded(c: Column) -> Column:
+    """Lower case, for cheap tests of whether a plain part of a pattern is there at all."""
+    return F.lower(F.translate(c, *FOLDED))
+
+
+def _any_of(low: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, (low.contains(x) for x in sorted(set(parts))))
 
 
 def severity_scan3(c: Column) -> Column:
-    """Struct of severity (critical > high > low > unknown), the winning tier's sorted distinct keywords, and confidence."""
+    """Struct of severity (critical > high > low > unknown), the winning tier's sorted distinct keywords, and confidence.
+
+    A tier's pattern is tried only where a plain part of one of its keywords stands, and words are taken out for the winner alone.
+    """
     none = F.array().cast("array<string>")
-    hits = {t: F.coalesce(F.regexp_extract_all(c, F.lit(_keywords(t)), F.lit(0)), none) for t in R.KEYWORDS3}
-    label, words = F.lit("unknown"), none
-    for tier in reversed(R.KEYWORDS3):
-        found = F.size(hits[tier]) > 0
-        label = F.when(found, tier).otherwise(label)
-        words = F.when(found, hits[tier]).otherwise(words)
-    return F.struct(label.alias("severity"), F.array_sort(F.array_distinct(F.transform(words, F.lower))).alias("keywords"), F.lit(R.LABEL_CONFIDENCE).alias("confidence"))
+
+    def scan(low: Column) -> Column:
+        out = F.struct(F.lit("unknown").alias("severity"), none.alias("keywords"))
+        for tier, words in reversed(R.KEYWORDS3.items()):
+            rule = word_rule("|".join(words))
+            found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rule), F.lit(0)), F.lower)))
+            out = F.when(_any_of(low, [literal_of(w).strip() for w in words]) & c.rlike(rule), F.struct(F.lit(tier).alias("severity"), found.alias("keywords"))).otherwise(out)
+        return out
+
+    found = let(F.coalesce(folded(c), F.lit("")), scan)
+    return let(found, lambda x: F.struct(x["severity"].alias("severity"), x["keywords"].alias("keywords"), F.lit(R.LABEL_CONFIDENCE).alias("confidence")))
 
 
 def literal_of(pattern: str) -> str:
@@ -34,24 +51,48 @@ def literal_of(pattern: str) -> str:
     return max(parts, key=len)
 
 
+#: The five-tier patterns in order, with their tiers.
+CASCADE = [(tier, p) for tier, patterns in R.TIERS5.items() for p in patterns]
+#: Ranks beyond the patterns: nothing matches, nothing to match.
+NO_MATCH, NO_INPUT = len(CASCADE), len(CASCADE) + 1
+
+
+def edged(pattern: str) -> str:
+    """A pattern with its word edges, as it is reported."""
+    return rf"\b{pattern}" if pattern.endswith(r"\b)") else rf"\b{pattern}\b"
+
+
+def cascade_rank(c: Column) -> Column:
+    """The number of the first pattern in order that matches, else NO_MATCH, or NO_INPUT for null and blank texts."""
+
+    def first(low: Column) -> Column:
+        out = F.when(low == "", NO_INPUT)
+        for k, (_, p) in enumerate(CASCADE):
+            part = literal_of(p).strip()
+            out = out.when((low.contains(part) & c.rlike(word_rule(p))) if len(part) > 2 else c.rlike(word_rule(p)), k)
+        return out.otherwise(NO_MATCH)
+
+    return let(F.when(is_blank(c), "").otherwise(folded(c)), first)
+
+
+def severity_of_rank(rank: Column) -> Column:
+    """Struct of severity, matched_tier, matched_pattern, source, confidence of a cascade_rank()."""
+    pick = lambda values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), rank + 1)
+    return F.struct(
+        pick([*(t for t, _ in CASCADE), R.DEFAULT_TIER, R.DEFAULT_TIER]).alias("severity"),
+        pick([*(t for t, _ in CASCADE), "default_no_match", "default_empty_input"]).alias("matched_tier"),
+        pick([*(edged(p) for _, p in CASCADE), None, None]).alias("matched_pattern"),
+        F.lit(R.LABEL_SOURCE).alias("label_source"),
+        F.lit(R.LABEL_CONFIDENCE).alias("confidence"),
+    )
+
+
 def severity_cascade5(c: Column) -> Column:
     """Struct of severity, matched_tier, matched_pattern, source, confidence: the first pattern in order that matches.
 
     Nothing matches: S4 by default; null and blank: S4 as empty input.
     """
-    low = F.lower(c)
-
-    def result(severity: str, tier: str, pattern: str | None) -> Column:
-        return F.struct(F.lit(severity).alias("severity"), F.lit(tier).alias("matched_tier"), F.lit(pattern).cast("string").alias("matched_pattern"), F.lit(R.LABEL_SOURCE).alias("label_source"), F.lit(R.LABEL_CONFIDENCE).alias("confidence"))
-
-    out = F.when(is_blank(c), result(R.DEFAULT_TIER, "default_empty_input", None))
-    for tier, patterns in R.TIERS5.items():
-        for p in patterns:
-            match = c.rlike(word_rule(p))
-            if len(part := literal_of(p).strip()) > 2:
-                match = low.contains(part) & match
-            out = out.when(match, result(tier, tier, p))
-    return out.otherwise(result(R.DEFAULT_TIER, "default_no_match", None))
+    return let(cascade_rank(c), severity_of_rank)
 
 
 def category_map(df: DataFrame) -> DataFrame:

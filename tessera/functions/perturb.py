@@ -1,8 +1,8 @@
 """Deterministic respelling of known words, as a pass over a text's words.
 
 Each rule is one whole word, so a pass over words is the same as rules in turn over the text, but that a rule's outcome
-may be the word of a later rule; those chains are followed. A draw is taken from sha256 of seed, rule and the rule's
-occurrence in the text, so it doesn't depend on partitions.
+may be the word of a later rule; those chains are followed. A draw is taken from sha256 of seed, rule and the
+word's place in the text, so it doesn't depend on partitions, nor on what comes after the word.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from . import rules as R
+from .text import let, word_rule
 
 ALL_RULES = [*R.VARIANTS, *((w, [to], R.FINAL_DROP_REASON) for w, to in R.FINAL_DROPS)]
 
@@ -35,9 +36,8 @@ def match_case(original: Column, new: Column) -> Column:
     )
 
 
-def let(x: Column, body) -> Column:
-    """body of x with x computed once, however often body names it."""
-    return F.element_at(F.transform(F.array(x), body), 1)
+#: Any word that a rule knows.
+KNOWN = word_rule("|".join(w for w, _, _ in ALL_RULES))
 
 
 def _draw(seed: Column, rule: Column, place: Column, what: str) -> Column:

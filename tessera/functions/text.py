@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -80,3 +81,8 @@ def word_rule(pattern: str) -> str:
     """A case-insensitive pattern that stands alone, by one idea of a word in all scripts."""
     inner = pattern.replace(r"\b", R.EDGE_R).replace(r"\w", R.WORD).replace(r"\s", f"[{R.WS}]")
     return rf"(?iu){R.EDGE_L}(?:{inner}){R.EDGE_R}"
+
+
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x with x computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(x), body), 1)

@@ -81,6 +81,11 @@ def expect_unique(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").orderBy(key).limit(5)
 
 
+def set_difference(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> DataFrame:
+    """only_in and the rows that one of two frames of distinct rows has and the other lacks; empty if they are equal."""
+    return a.exceptAll(b).select(F.lit(a_name).alias("only_in"), "*").unionAll(b.exceptAll(a).select(F.lit(b_name).alias("only_in"), "*"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """True if two frames hold the same rows, each as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -1,19 +1,23 @@
 """Exact train/validation/test splits from key hashes, without a global sort or a join back.
 
-Keys are ordered by the hex sha256 of salt:key. Counting the first three hex digits (at most 4,096 rows) finds the two
-groups that hold the cut ranks; only those groups are ranked, for the two cut hashes. A row's split then is a comparison
-of its own hash with the cuts, so all rows of a key share a split by construction.
+Keys are ordered by the hex sha256 of salt:key. Counting the first three hex digits (at most 4,096 rows) finds the group
+that holds a cut rank; the group is counted by three further digits until it is small, and only then ranked, for the cut
+hash. A row's split then is a comparison of its own hash with the cuts, so all rows of a key share a split by construction.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import rules as R
 from ..functions.ids import split_hash
+from ..sources.shared import written
 
 NAMES = ("train", "val", "test")
-DIGITS = 3
+#: Hex digits counted at a time, and the rows of a group that is ranked.
+DIGITS, SMALL = 3, 65_536
 
 
 def check_fractions(fractions: tuple[float, float, float]) -> None:
@@ -33,18 +37,30 @@ def sizes(n: int, fractions: tuple[float, float, float], half_even: bool) -> tup
 def cut_hashes(keys: DataFrame, column: str, n_train: int, n_val: int, salt: str = R.SALT) -> tuple[str | None, str | None]:
     """The hashes of ranks n_train and n_train + n_val (from 0) of distinct keys; None where there is no such rank."""
     h = keys.select(split_hash(F.col(column), salt).alias("h"))
-    groups = sorted((x["g"], x["n"]) for x in h.groupBy(F.substring("h", 1, DIGITS).alias("g")).agg(F.count("*").alias("n")).collect())
-    out: list[str | None] = []
-    for rank in (n_train, n_train + n_val):
-        before, cut = 0, None
-        for g, n in groups:
-            if before <= rank < before + n:
-                # about one key in 4,096
-                cut = h.where(F.col("h").startswith(g)).orderBy("h").offset(rank - before).limit(1).first()["h"]
-                break
-            before += n
-        out.append(cut)
-    return out[0], out[1]
+
+    def counts(prefix: str) -> list[tuple[str, int]]:
+        """Groups of the hashes that begin so, by DIGITS more; at most 16 ** DIGITS rows."""
+        own = h.where(F.col("h").startswith(prefix)) if prefix else h
+        return sorted((x["g"], x["n"]) for x in own.groupBy(F.substring("h", 1, len(prefix) + DIGITS).alias("g")).agg(F.count("*").alias("n")).collect())
+
+    top = counts("")
+
+    def at(rank: int) -> str | None:
+        groups = top
+        while True:
+            for g, n in groups:
+                if rank < n:
+                    break
+                rank -= n
+            else:
+                return None
+            if len(g) >= 64:
+                return g
+            if n <= SMALL:
+                return h.where(F.col("h").startswith(g)).orderBy("h").offset(rank).limit(1).first()["h"]
+            groups = counts(g)
+
+    return at(n_train), at(n_train + n_val)
 
 
 def split_by_cuts(key: Column, cuts: tuple[str | None, str | None], salt: str = R.SALT) -> Column:
@@ -98,9 +114,24 @@ def verify_no_leakage(df: DataFrame, group: str = "seed_id", split: str = "split
     return leaks(df, group, split).isEmpty()
 
 
+def shared_seeds(df: DataFrame, group: str = "seed_id", split: str = "split") -> DataFrame:
+    """(one, other, group): groups that two splits have in common, for each pair of splits. Empty if there is no leak."""
+    own = df.select(group, split).distinct().groupBy(group).agg(F.collect_set(split).alias("all")).where(F.size("all") > 1)
+    names = F.array(*map(F.lit, NAMES))
+    own = own.select(group, F.filter(names, lambda x: F.array_contains("all", x)).alias("all"))
+    pairs = F.flatten(F.transform("all", lambda a, i: F.transform(F.slice("all", i + 2, F.size("all")), lambda b: F.struct(a.alias("one"), b.alias("other")))))
+    return own.select(group, F.inline(pairs))
+
+
+def join_split_ids(rows: DataFrame, splits: DataFrame, key: str) -> DataFrame:
+    """Rows get the split of their id (key, split); an id without one is an error when it is read."""
+    joined = rows.join(splits.select(key, "split").hint("merge"), key, "left")
+    return joined.withColumn("split", F.coalesce("split", F.raise_error(F.concat(F.lit("no split for id "), F.col(key).cast("string"))).cast("string")))
+
+
 def join_split_rows(rows: DataFrame, seeds: DataFrame) -> DataFrame:
     """Rows with a tracking_id get the split of their seed (seed_id, split); a row without one is an error when it is read."""
-    joined = rows.withColumn("seed_id", F.substring_index("tracking_id", "::", 1)).join(seeds.select("seed_id", "split"), "seed_id", "left")
+    joined = rows.withColumn("seed_id", F.substring_index("tracking_id", "::", 1)).join(seeds.select("seed_id", "split").hint("merge"), "seed_id", "left")
     return joined.withColumn("split", F.coalesce("split", F.raise_error(F.concat(F.lit("no split for seed "), F.col("seed_id"))).cast("string")))
 
 
@@ -110,23 +141,24 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def numbered(df: DataFrame, key: str, groups: int = 1024) -> DataFrame:
-    """Adds number: 0, 1, ... in the order of a unique numeric key, by two-level counts over key ranges."""
-    edge = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    if edge["lo"] is None:
-        return df.withColumn("number", F.lit(0).cast("bigint"))
-    width = (edge["hi"] - edge["lo"]) // groups + 1
-    x = df.withColumn("_g", F.floor((F.col(key) - edge["lo"]) / width))
-    # at most `groups` rows
-    before, starts = 0, []
+def numbered(df: DataFrame, key: str, prepare: Callable[[DataFrame], DataFrame] = lambda x: x) -> DataFrame:
+    """Adds number: 0, 1, ... in the order of a unique key. prepare, a map or filter of rows, is done on the way.
+
+    Rows are dealt to sampled ranges of the key, which hold about as many rows each, sorted there and written with their places;
+    the counts of the ranges, one row each, give the numbers that they begin with.
+    """
+    x = prepare(df.repartitionByRange(F.col(key)).sortWithinPartitions(key))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    x = written(x.withColumn("_g", F.spark_partition_id()).withColumn("_k", place), "numbered")
+    before, starts = 0, [(-1, 0)]
     for g, n in sorted((y["_g"], y["n"]) for y in x.groupBy("_g").agg(F.count("*").alias("n")).collect()):
         starts.append((g, before))
         before += n
-    at = df.sparkSession.createDataFrame(starts, "_g bigint, _before bigint")
-    w = Window.partitionBy("_g").orderBy(key)
-    return x.join(F.broadcast(at), "_g").withColumn("number", F.col("_before") + F.row_number().over(w) - 1).drop("_g", "_before")
+    at = df.sparkSession.createDataFrame(starts, "_g int, _before bigint")
+    # a row a partition of one shuffle
+    return x.join(F.broadcast(at), "_g").withColumn("number", F.col("_before") + F.col("_k")).drop("_g", "_before", "_k")
 
 
 def row_surrogate_id(number: Column, prefix: str) -> Column:
-    """prefix-000001 for number 1: six digits, more where they are needed."""
+    """prefix-000000 for number 0: six digits, more where they are needed."""
     return F.format_string(prefix + "-%06d", number)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import rules as R
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -18,12 +20,53 @@ def rollup(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupingSets([[F.col(c)] for c in columns], *(F.col(c) for c in columns)).agg(name.alias("what"), value.alias("value"), F.count("*").alias("n")).select("what", "value", "n")
 
 
-def manifest(df: DataFrame, columns: list[str], seed: str = "seed_id") -> DataFrame:
-    """One row: rows, seeds, and a map of counts for each column."""
-    seeds = df.agg(F.lit("").alias("what"), F.lit(None).cast("string").alias("value"), F.count_distinct(seed).alias("n"))
-    maps = [F.map_from_entries(F.array_sort(F.collect_list(F.when((F.col("what") == c) & F.col("value").isNotNull(), F.struct("value", "n"))))).alias(f"{c}_counts") for c in columns]
-    rows = F.sum(F.when(F.col("what") == columns[0], F.col("n"))).alias("n_rows")
-    return rollup(df, columns).unionByName(seeds).agg(rows, F.max(F.when(F.col("what") == "", F.col("n"))).alias("n_seeds"), *maps)
+#: Version of the exported records, and what their readers must know.
+SCHEMA_VERSION = "1.0"
+WARNING = "Severities come from a small keyword scanner that nobody has validated; they are not ground truth. Specialties are those of the source."
+CAVEATS = [
+    "Severities are a deterministic heuristic, not a validated label.",
+    "Perturbed variants are respellings behind a few prefixes, not generated text.",
+    "Rows of low routing confidence should be filtered or weighed down where the department matters.",
+]
+METADATA = "export_timestamp_utc string, n_records bigint, schema_version string, splits map<string,bigint>, severities map<string,bigint>, data_quality_warning string"
+
+
+def utc_stamp() -> Column:
+    """Now, in UTC, as an ISO 8601 string."""
+    now = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz"))
+    return F.concat(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
+def _maps(columns: dict[str, str]) -> list[Column]:
+    """From the rows of rollup(): a map of counts for each column, under its other name."""
+    entry = lambda c: F.when((F.col("what") == c) & F.col("value").isNotNull(), F.struct("value", "n"))
+    return [F.map_from_entries(F.array_sort(F.collect_list(entry(c)))).alias(a) for c, a in columns.items()]
+
+
+def export_metadata(records: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """One row about exported records: stamp, number, version, a map of counts for each column, warning."""
+    rows = F.sum(F.when(F.col("what") == next(iter(columns)), F.col("n"))).alias("n_records")
+    x = rollup(records, list(columns)).agg(rows, *_maps(columns))
+    return x.select(utc_stamp().alias("export_timestamp_utc"), F.coalesce("n_records", F.lit(0)).alias("n_records"), F.lit(SCHEMA_VERSION).alias("schema_version"), *columns.values(), F.lit(WARNING).alias("data_quality_warning"))
+
+
+def manifest_schema(columns: dict[str, str]) -> str:
+    counts = ", ".join(f"{a} map<string,bigint>" for a in (*columns.values(), "split_seeds"))
+    return f"build_timestamp_utc string, n_rows bigint, n_seeds bigint, n_variants int, {counts}, leakage_verified boolean, caveats array<string>"
+
+
+def manifest(df: DataFrame, columns: dict[str, str], seed: str = "seed_id", split: str = "split", n_variants: int = 1 + len(R.PREFIXES)) -> DataFrame:
+    """One row about a build: stamp, rows, seeds, variants, a map of counts for each column and of the seeds of each split,
+    whether no seed is in two splits, caveats. Seeds are counted once each, from one row a seed and split.
+    """
+    rows = F.sum(F.when(F.col("what") == next(iter(columns)), F.col("n"))).alias("n_rows")
+    x = rollup(df, list(columns)).agg(rows, *_maps(columns))
+    own = df.groupBy(seed, split).agg(F.count("*").alias("n")).groupBy(seed).agg(F.min(split).alias("lo"), F.max(split).alias("hi"))
+    own = own.groupBy("lo").agg(F.count("*").alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("leaks"))
+    own = own.agg(F.sum("n").alias("n_seeds"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("lo", "n")))).alias("split_seeds"), (F.sum("leaks") == 0).alias("leakage_verified"))
+    # one row with one row
+    both = x.withColumn("_", F.lit(1)).join(own.withColumn("_", F.lit(1)).hint("merge"), "_")
+    return both.select(utc_stamp().alias("build_timestamp_utc"), "n_rows", "n_seeds", F.lit(n_variants).alias("n_variants"), *columns.values(), "split_seeds", "leakage_verified", F.array(*map(F.lit, CAVEATS)).alias("caveats"))
 
 
 def class_share(df: DataFrame, column: str) -> DataFrame:

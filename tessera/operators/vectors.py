@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules as R
@@ -22,7 +24,7 @@ def vocab_plan(rules: DataFrame) -> DataFrame:
 
 def new_tokens(plan: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Plan rows whose variant the vocabulary (token) lacks."""
-    return plan.join(vocabulary.select(F.col("token").alias("variant")), "variant", "left_anti")
+    return plan.join(vocabulary.select(F.col("token").alias("variant")).hint("merge"), "variant", "left_anti")
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -36,7 +38,7 @@ def warm_start(plan: DataFrame, anchors: DataFrame, base: DataFrame) -> DataFram
 
     Anchors are those of the base before; rows that are there stay as they are, so a second run changes nothing.
     """
-    new = new_tokens(plan, base).join(anchors.select("canonical", "vector"), "canonical").select(F.col("variant").alias("token"), "vector")
+    new = new_tokens(plan, base).join(anchors.select("canonical", "vector").hint("merge"), "canonical").select(F.col("variant").alias("token"), "vector")
     return base.select("token", "vector").unionByName(new)
 
 
@@ -95,6 +97,16 @@ def label_dimension(codes: DataFrame, column: str) -> DataFrame:
     return codes.select(column).distinct().withColumn("class_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1)
 
 
+def label_space(labelled: DataFrame, heads: dict[str, str], weights: dict[str, float]) -> DataFrame:
+    """head, class, class_index, n, loss_weight: the sorted classes of each head's column with their counts and the head's weight."""
+    parts = []
+    for head, column in heads.items():
+        counts = labelled.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))
+        index = (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("class")) - 1).cast("int")
+        parts.append(counts.select(F.lit(head).alias("head"), "class", index.alias("class_index"), "n", F.lit(weights[head]).alias("loss_weight")))
+    return reduce(DataFrame.unionAll, parts)
+
+
 def linear_probe(df: DataFrame, vector: str, label: str, weight: str | None = None, steps: int = 20):
     """A multinomial logistic regression over fixed vectors, fitted by Spark ML. Adds prediction."""
     from pyspark.ml.classification import LogisticRegression

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import rules as R
-from ..functions.label import map_category, severity_cascade5, severity_scan3
+from ..functions.label import map_category, severity_scan3
 from ..functions.text import norm_category, sanitize_text
 from ..operators.expand import expand_variants
 from ..operators.quality import audit_filter
 from ..operators.split import leaks, numbered, row_surrogate_id, split_grouped_seeds, split_rank_rows
-from ..sources.shared import written
 
 
 def clean_build(df: DataFrame, key: str, text: str = "text", category: str = "raw_category") -> DataFrame:
     """Null text goes; text is cleaned, rows are audited, labelled by three tiers, numbered by key and split by row."""
-    x = df.where(F.col(text).isNotNull()).withColumn("specialty_label", norm_category(F.col(category))).withColumn("cleaned_text", sanitize_text(F.col(text)))
-    x = audit_filter(x, "cleaned_text", "specialty_label")
-    # numbering and the split read the rows several times: they are cleaned once
-    x = written(x.select(key, "specialty_label", "cleaned_text", severity_scan3(F.col("cleaned_text")).alias("scan")), "cleaned")
-    x = numbered(x, key)
-    x = x.withColumn("tracking_id", row_surrogate_id(F.col("number") + 1, "MTA"))
+
+    def clean(x: DataFrame) -> DataFrame:
+        x = x.withColumn("specialty_label", norm_category(F.col(category))).withColumn("cleaned_text", sanitize_text(F.col(text)))
+        x = audit_filter(x, "cleaned_text", "specialty_label")
+        return x.select(key, "specialty_label", "cleaned_text", severity_scan3(F.col("cleaned_text")).alias("scan"))
+
+    # numbering writes the rows, so they are cleaned once
+    x = numbered(df.where(F.col(text).isNotNull()).select(key, text, category), key, clean)
+    x = x.withColumn("tracking_id", row_surrogate_id(F.col("number"), "MTA"))
     x = split_rank_rows(x, "tracking_id")
     return x.select("tracking_id", "specialty_label", "cleaned_text", F.col("scan.severity").alias("severity_label_heuristic"), F.col("scan.keywords").alias("matched_keywords"), F.col("scan.confidence").alias("heuristic_confidence"), F.col("split").alias("target_split"))
 
@@ -32,8 +34,7 @@ def variant_build(df: DataFrame, rate: float | None = R.RATE, allow_empty: bool
     are left out: quarantine_unknown() has them. A seed in two splits raises before anything is returned.
     """
     known = map_category(df).where("department_code is not null")
-    x = expand_variants(split_grouped_seeds(known, "seed_id", allow_empty=allow_empty), rate)
+    x = expand_variants(split_grouped_seeds(known, "seed_id", allow_empty=allow_empty), rate, with_severity=True)
     if not leaks(x.select("seed_id", "split")).isEmpty():
         raise RuntimeError("a seed is in two splits")
-    x = x.withColumn("s", severity_cascade5(F.col("text")))
-    return x.select("tracking_id", "seed_id", "variant_index", "is_perturbed", "language", "text", F.col("raw_label").alias("raw_medical_specialty"), "department_code", "routing_confidence", F.col("s.severity").alias("severity_heuristic"), F.col("s.label_source").alias("severity_label_source"), F.col("s.confidence").alias("severity_confidence"), "split")
+    return x.select("tracking_id", "seed_id", "variant_index", "is_perturbed", "language", "text", F.col("raw_label").alias("raw_medical_specialty"), "department_code", "routing_confidence", F.col("severity.severity").alias("severity_heuristic"), F.col("severity.label_source").alias("severity_label_source"), F.col("severity.confidence").alias("severity_confidence"), "split")

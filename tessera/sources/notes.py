@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.text import is_blank
 from ..operators.quality import require
 
-NOTES = "seed_id string, description string, medical_specialty string, sample_name string, transcription string, keywords string"
-CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
+#: Values stand in quotes, with their blanks; null is told from empty by its own mark.
+CSV = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "nullValue": r"\N", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
-    """The raw notes with declared columns; column 0 is the id."""
-    return spark.read.options(**CSV).schema(NOTES).csv(path)
+def read_notes(spark: SparkSession, path: str, text: str = "transcription", category: str = "medical_specialty") -> DataFrame:
+    """The raw notes by the names in the file's header, all strings; column 0 is the id.
+
+    A path without a file, and a header without the columns that the builds need, are errors before any job.
+    """
+    try:
+        df = spark.read.options(**CSV).csv(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no notes at {path}") from e
+    require(df, text, category)
+    return df.withColumnRenamed(df.columns[0], "seed_id")
+
+
+def notes_counts(df: DataFrame, text: str = "transcription") -> DataFrame:
+    """One row: notes read, notes with a text, notes of null text."""
+    return df.agg(F.count("*").alias("n_before"), F.count(text).alias("n_after"), (F.count("*") - F.count(text)).alias("n_null_text"))
 
 
 def notes_validated(df: DataFrame, text: str = "transcription", category: str = "medical_specialty") -> DataFrame:
@@ -29,7 +43,8 @@ def notes_filled(df: DataFrame, text: str = "transcription", key: str = "seed_id
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.options(header=True, escape='"').mode("overwrite").csv(path)
+    """All values in quotes; what read_notes() reads."""
+    df.write.options(**CSV, quoteAll=True, emptyValue="").mode("overwrite").csv(path)
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

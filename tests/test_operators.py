@@ -43,15 +43,53 @@ def test_rank_split_is_that_of_a_global_rank(spark):
     assert x == want
 
 
+def test_cuts_in_large_groups(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(S, "SMALL", 1)
+    monkeypatch.setattr(S, "DIGITS", 1)
+    keys = spark.range(60).unionAll(spark.range(20)).select(F.col("id").alias("k"))
+    h = sorted(hashlib.sha256(f"1337:{i}".encode()).hexdigest() for i in [*range(60), *range(20)])
+    for a, b in ((0, 79), (33, 34), (10, 80)):
+        assert S.cut_hashes(keys, "k", a, b - a) == (h[a], h[b] if b < 80 else None)
+
+
+def test_expected_columns_and_fractions(spark):
+    x = spark.createDataFrame([], "a int, b int, c int")
+    assert Q.expect_columns(x, ["a", "c"]) and not Q.expect_columns(x, ["a", "d"]) and Q.expect_columns(x, [])
+    S.check_fractions((0.8, 0.1, 0.1))
+    with pytest.raises(ValueError):
+        S.check_fractions((0.5, 0.1, 0.1))
+
+
+def test_sets_of_splits_and_labels(spark):
+    x = spark.createDataFrame([("a", "train"), ("a", "test"), ("a", "val"), ("b", "val"), ("b", "val"), ("c", "test"), ("c", "val")], "seed_id string, split string")
+    got = {tuple(r) for r in S.shared_seeds(x).select("one", "other", "seed_id").collect()}
+    assert got == {("train", "val", "a"), ("train", "test", "a"), ("val", "test", "a"), ("val", "test", "c")}
+    a, b = (spark.createDataFrame([(v,) for v in vs], "v string") for vs in ("xy", "yz"))
+    assert {tuple(r) for r in Q.set_difference(a, b, "one", "two").collect()} == {("one", "x"), ("two", "z")}
+
+
+def test_ids_get_their_splits(spark):
+    rows, splits = spark.range(5).withColumn("x", F.col("id")), spark.createDataFrame([(k, "train") for k in range(4)], "id bigint, split string")
+    assert S.join_split_ids(rows.where("id < 4"), splits, "id").where("split = 'train'").count() == 4
+    with pytest.raises(Exception, match="no split for id 4"):
+        S.join_split_ids(rows, splits, "id").collect()
+
+
 def test_planted_leak_is_found(spark):
     x = spark.createDataFrame([("a", "train"), ("a", "test"), ("b", "val")], "seed_id string, split string")
     assert not S.verify_no_leakage(x) and [r["seed_id"] for r in S.leaks(x).collect()] == ["a"]
 
 
 def test_numbering(spark):
-    x = spark.createDataFrame([(k * k * 7,) for k in range(100)], "key bigint").repartition(5)
+    # one key far off the others
+    keys = [*(k * k * 7 for k in range(100)), 1 << 60]
+    x = spark.createDataFrame([(k,) for k in keys], "key bigint").repartition(5)
     got = {r["key"]: r["number"] for r in S.numbered(x, "key").collect()}
-    assert got == {k * k * 7: k for k in range(100)}
+    assert got == {k: n for n, k in enumerate(keys)}
+    odd = S.numbered(x, "key", lambda y: y.where("key % 2 = 1"))
+    assert [r["number"] for r in odd.orderBy("key").collect()] == list(range(50))
     assert S.numbered(x.limit(0), "key").count() == 0
 
 
@@ -90,6 +128,84 @@ def test_vocabulary_plan_and_warm_start(spark):
     assert Q.same_rows(V.warm_start(plan, anchors, once), once)
 
 
+def test_notes_from_a_file(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="absent"):
+        notes.read_notes(spark, f"file://{tmp_path}/absent.csv")
+    (tmp_path / "bad.csv").write_text("id,text\n1,x\n")
+    with pytest.raises(ValueError, match="transcription"):
+        notes.read_notes(spark, f"file://{tmp_path}/bad.csv")
+    rows = [("1", ' He said "no", then\nleft ', "Surgery"), ("2", None, " Letters "), ("3", "", None), ("4", "a,b\r\nc\\", "x")]
+    df = spark.createDataFrame(rows, "row string, transcription string, medical_specialty string")
+    notes.write_csv(df, f"file://{tmp_path}/n")
+    back = notes.read_notes(spark, f"file://{tmp_path}/n")
+    assert sorted(map(tuple, back.collect())) == rows and back.columns[0] == "seed_id"
+    assert tuple(notes.notes_counts(back).first()) == (4, 3, 1)
+    assert {r["seed_id"] for r in notes.notes_validated(back).collect()} == {"1", "3", "4"}
+
+
+def test_nan_becomes_null(spark, tmp_path):
+    x = spark.createDataFrame([(1, float("nan"), "a"), (2, 1.5, None)], "k int, v double, t string")
+    assert [tuple(r) for r in notes.nan_to_null(x).orderBy("k").collect()] == [(1, None, "a"), (2, 1.5, None)]
+    notes.write_clean_json(x, f"file://{tmp_path}/j", spark.range(1))
+    assert "NaN" not in "".join(r["value"] for r in spark.read.text(f"file://{tmp_path}/j/records").collect())
+
+
+def test_variants_are_labelled_and_perturbed_as_if_each_were_whole(spark):
+    from tessera.catalogue import clinical
+    from tessera.functions.ids import perturb_seed
+    from tessera.functions.label import severity_cascade5
+    from tessera.functions.perturb import perturb_text
+    from tessera.operators.expand import expand_variants
+    from tessera.sources.shared import written
+
+    x = clinical(spark, "/root/testdata/sf0.001").select("seed_id", "text")
+    for rate in (None, 0.5):
+        y = written(expand_variants(x, rate, with_severity=True), "expanded")
+        direct = y.select("severity", severity_cascade5(F.col("text")).alias("s"), "is_perturbed")
+        assert direct.where("severity.severity <> s.severity or not severity.matched_pattern <=> s.matched_pattern").isEmpty()
+        assert direct.where("severity.matched_tier <> s.matched_tier").isEmpty()
+    plain = expand_variants(x, None).where("is_perturbed").select("tracking_id", perturb_text(F.col("text"), perturb_seed(F.col("tracking_id")), 0.5).alias("p"))
+    want = {r["tracking_id"]: (r["p"]["text"], r["p"]["subs"]) for r in plain.collect()}
+    assert {r["tracking_id"]: (r["text"], r["subs"]) for r in y.where("is_perturbed").collect()} == want
+
+
+def test_manifest(spark):
+    from tessera.operators import summary
+
+    x = spark.createDataFrame([("a", 0, "train", "S1"), ("a", 1, "train", "S4"), ("b", 0, "val", None), ("c", 0, "val", "S4")], "seed_id string, v int, split string, s string")
+    r = summary.manifest(x, {"s": "severities", "split": "split_rows"}).first()
+    assert (r["n_rows"], r["n_seeds"], r["severities"], r["split_rows"], r["split_seeds"]) == (4, 3, {"S1": 1, "S4": 2}, {"train": 2, "val": 2}, {"train": 1, "val": 2})
+    assert r["leakage_verified"] and len(r["caveats"]) == 3 and r["build_timestamp_utc"].endswith("Z")
+    assert not summary.manifest(x.unionAll(x.withColumn("split", F.lit("test"))), {"s": "severities"}).first()["leakage_verified"]
+
+
+def test_streams_drop_late_rows_and_go_on_after_a_restart(spark, tmp_path):
+    from tessera.streaming import streams
+
+    def put(rows):
+        spark.createDataFrame(rows, "ts string, id bigint, v double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+
+    def run():
+        live = spark.readStream.schema("ts timestamp, id bigint, v double").parquet(f"file://{tmp_path}/in")
+        streams.run_once(streams.dedupe_ids(live, "ts", "id").select("id"), f"file://{tmp_path}/ids", f"file://{tmp_path}/c1")
+        streams.run_once(streams.running_metrics(live, "ts", "v", "id"), f"file://{tmp_path}/means", f"file://{tmp_path}/c2")
+        ids = sorted(r["id"] for r in spark.read.parquet(f"file://{tmp_path}/ids").collect())
+        return ids, {(str(r["window_start"])[11:16], r["id"]): (r["n"], r["mean"]) for r in spark.read.schema("window_start timestamp, id bigint, n bigint, mean double").parquet(f"file://{tmp_path}/means").collect()}
+
+    put([("2024-01-01 00:05:00", 1, 1.0), ("2024-01-01 00:06:00", 1, 3.0), ("2024-01-01 01:50:00", 2, 5.0)])
+    assert run() == ([1, 2], {("00:00", 1): (2, 2.0)})
+    # known ids within the watermark, a late row, and a row that closes the second hour
+    put([("2024-01-01 01:55:00", 2, 7.0), ("2024-01-01 00:10:00", 3, 9.0), ("2024-01-01 03:30:00", 4, 1.0)])
+    ids, means = run()
+    assert ids == [1, 2, 4] and means == {("00:00", 1): (2, 2.0), ("01:00", 2): (2, 6.0)}
+
+
+def test_linear_probe_learns(spark):
+    rows = [(k, [float(k % 3 == j) * 2 + (k * 7 % 5) / 10 for j in range(3)], k % 3) for k in range(90)]
+    x = V.linear_probe(spark.createDataFrame(rows, "id int, v array<float>, y int"), "v", "y")
+    assert x.where("prediction = y").count() >= 85
+
+
 def test_splits_are_read_alone(spark, tmp_path):
     x = spark.createDataFrame([("a", "x", "train"), ("b", None, "train"), ("c", " ", "train")], "tracking_id string, text string, split string")
     notes.write_dataset(x, f"file://{tmp_path}/d")
