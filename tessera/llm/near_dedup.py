@@ -6,15 +6,14 @@ population count of the XOR of their bitmaps, and so an estimate of high similar
 far under the threshold go; the others are confirmed on their full shingle sets.
 
 Work stays bounded for large groups. Equal sets are one node. A bucket first ties its members to its smallest member. Of
-members that are then still in several components, those stay that have one of their rarest shingles in common with
-another component (an exact filter: texts that only share boilerplate go); and a bucket's largest component is met by the
-bucket's others, not compared with itself. What can still grow with the square of a bucket is texts that share
-rare shingles and aren't linked. No pair is cut by a cap.
+members of buckets that then still hold several components, those meet that share one of their rarest shingles and have
+enough shingles left after it (exact filters: texts that only share boilerplate, or aren't quite similar enough, don't
+meet); and the largest component with a shingle is met by the others, not compared with itself. No pair is cut by a cap.
 
 A node's name is a 64-bit hash of its set.
 
-Chance of losing a link at similarity 0.75: all 40 bands differ (0.684**40, about 3e-7), or one of two sketch estimates is
-more than 4.5 standard deviations low (about 3e-6 each); links of higher similarity are lost far more seldom.
+Chance of losing a link at similarity 0.75: all 40 bands differ (0.684**40, about 3e-7), or the sketches' estimate is
+more than 4.5 standard deviations low (about 3e-6); links of higher similarity are lost far more seldom.
 """
 
 from __future__ import annotations
@@ -27,14 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import staged
+from .common import spare, staged
 from .components import connected_components
 from .textbytes import Words, grams, mix, owners, slices
 
 BANDS, ROWS = 40, 4
-#: Bits of the sketch of the band samples, and samples and bits of the finer sketch.
-COARSE_BITS, FINE_SAMPLES, FINE_BITS = 512, 1024, 4096
-DEVIATIONS = 4.5
+#: Bits of a sketch, and how many standard deviations under the threshold an estimate must be for its pair to go.
+BITS, DEVIATIONS = 512, 4.5
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +89,7 @@ def least_agreement(similarity: float, samples: int, bits: int, deviations: floa
 
 
 def _signatures(k: int, kind: str):
-    """mapInArrow function: the other columns and either its signature, its fine sketch or its shingle set."""
+    """mapInArrow function: the other columns and either the signature or the shingle set of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -102,14 +100,10 @@ def _signatures(k: int, kind: str):
             cols = {x: b.column(j) for j, x in enumerate(b.schema.names) if x != "text"}
             if kind == "set":
                 cols["set"] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(g.view(np.int64)))
-            elif kind == "fine":
-                z = np.zeros((len(n), FINE_BITS // 64), np.int64)
-                z[some] = odd_sketch(minhashes(g, first, FINE_SAMPLES, 11), FINE_BITS)
-                cols |= {f"f{j}": pa.array(z[:, j]) for j in range(z.shape[1])}
             else:
                 m = minhashes(g, first, BANDS * ROWS)
-                z = np.zeros((len(n), COARSE_BITS // 64), np.int64)
-                z[some] = odd_sketch(m, COARSE_BITS)
+                z = np.zeros((len(n), BITS // 64), np.int64)
+                z[some] = odd_sketch(m, BITS)
                 keys = np.zeros((len(n), BANDS), np.int64)
                 for j in range(BANDS):
                     key = np.full(len(m), j + 1, np.uint64)
@@ -143,41 +137,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("c") * 100 >= percent * (F.col("a") + F.col("b") - F.col("c"))).select("u", "v")
 
 
-def several(placed: DataFrame, key: str) -> DataFrame:
-    """The rows of (key, component, ...) whose key has several components."""
-    mixed = placed.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(key)
-    return placed.join(staged(mixed, "mixed").hint("merge"), key, "left_semi")
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component), (node, set) -> pairs (u, v) of nodes of different components that may be linked. No link is lost.
 
-
-def comparable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (node, component): the nodes that may be linked with one of another component. None that is gets lost.
-
-    If each of two linked sets is listed from its rarest shingle on, some shingle is among the first (100 - percent) in a
-    hundred, and one more, of both. A shingle of one set alone is met by nothing, so only shared ones are listed and the
-    others come off that number.
+    Sets are listed from their rarest shingle on; shingles of one set alone are met by nothing and only counted. Of two
+    linked sets some shingle is among the first (100 - percent) in a hundred, and one more, of both; and after the first
+    such shingle both have enough left for the overlap that they need. Shingles of one component go, and of the others'
+    largest component the nodes aren't met with each other.
     """
     x = sets.join(members.hint("merge"), "node").select("node", "component", F.size("set").alias("n"), F.explode("set").alias("t"))
     shared = x.groupBy("t").agg(F.count("*").alias("c"), (F.min("component") != F.max("component")).alias("mixed")).where("c > 1")
-    own = x.join(staged(shared, "shared").hint("merge"), "t").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t", "mixed"))).alias("own"))
-    room = F.expr(f"cast(n * {100 - percent} div 100 + 1 - n + size(own) as int)")
-    return own.where((room > 0) & F.exists(F.slice("own", F.lit(1), F.greatest(room, F.lit(1))), lambda s: s["mixed"])).select("node")
-
-
-def across(open_: DataFrame, reps: DataFrame, near: Column) -> DataFrame:
-    """(key, node, component) -> pairs (u, v) of nodes of different components that share a bucket and are near by their sketches.
-
-    Members of a bucket's largest component aren't compared with each other, but only met by the bucket's others. A pair
-    is made in the first bucket that it shares.
-    """
-    homes = open_.groupBy("key", "component").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("home"))
-    rows = open_.join(staged(homes, "homes").hint("merge"), "key").join(reps.hint("merge"), "node")
-    band = F.array_position(F.array(*(F.col(f"b{j}") for j in range(BANDS))), F.col("key")).cast("int")
-    rows = staged(rows.withColumn("band", band), "rows")
-    earlier = reduce(lambda a, b: a | b, ((F.col(f"x.b{j}") == F.col(f"y.b{j}")) & (F.col("x.band") > j + 1) for j in range(BANDS)))
+    own = x.join(staged(shared, "shared").hint("merge"), "t").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("c", "t", "mixed"))).alias("own"))
+    own = own.withColumn("alone", F.col("n") - F.size("own")).withColumn("room", F.expr(f"n * {100 - percent} div 100 + 1 - alone")).where("room > 0")
+    first = own.select("node", "component", "n", "alone", F.posexplode(F.slice("own", F.lit(1), F.col("room").cast("int"))).alias("i", "s")).where("s.mixed")
+    first = staged(first.select(F.col("s.t").alias("t"), "node", "component", "n", (F.col("alone") + F.col("i") + 1).alias("place")), "prefixes")
+    homes = first.groupBy("t", "component").agg(F.count("*").alias("m")).groupBy("t").agg(F.max_by("component", F.struct("m", "component")).alias("home"), F.count("*").alias("k")).where("k > 1")
+    rows = staged(first.join(staged(homes.select("t", "home"), "homes").hint("merge"), "t"), "rows")
+    left = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = left * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
     once = (F.col("y.component") == F.col("y.home")) | (F.col("x.node") < F.col("y.node"))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & near & ~earlier
+    on = (F.col("x.t") == F.col("y.t")) & (F.col("x.component") != F.col("y.component")) & enough & once
     pairs = rows.where("component <> home").alias("x").join(rows.alias("y").hint("merge"), on)
-    return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v"))
+    return pairs.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
 
 def near_texts(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -188,7 +169,7 @@ def near_texts(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("k2"), text.alias("text")).where("doc_id is not null")
-    schema = f"doc_id bigint, k2 bigint, n bigint, node bigint, {_longs('b', BANDS)}, {_longs('o', COARSE_BITS // 64)}"
+    schema = f"doc_id bigint, k2 bigint, n bigint, node bigint, {_longs('b', BANDS)}, {_longs('o', BITS // 64)}"
     sigs = staged(texts.mapInArrow(_signatures(k, "sig"), schema), "signatures")
 
     # equal sets are one node, named by the set's hash; a row of the smallest id stands for it
@@ -207,31 +188,27 @@ def near_texts(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     heads = staged(bands.groupBy("key").agg(F.min_by("node", "doc_id").alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head"), "heads")
     inside = staged(bands.drop("doc_id").join(heads.hint("merge"), "key"), "buckets")
 
+    sketch = reps.select("node", "n", *(f"o{j}" for j in range(BITS // 64)))
+    near = _xor_count("o", BITS // 64, "x", "y") <= least_agreement(percent / 100, BANDS * ROWS, BITS, DEVIATIONS)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes and sketches allow for a link."""
+        both = pairs.join(sketch.alias("x").hint("merge"), F.col("x.node") == F.col("u")).join(sketch.alias("y").hint("merge"), F.col("y.node") == F.col("v"))
+        return both.where((F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")) & near).select("u", "v")
+
     # first each bucket's member of the smallest id with the others
-    sizes = F.least("x.n", "y.n") * 100 >= percent * F.greatest("x.n", "y.n")
-    coarse = _xor_count("o", COARSE_BITS // 64, "x", "y") <= least_agreement(percent / 100, BANDS * ROWS, COARSE_BITS, DEVIATIONS)
-    sketch = reps.select("node", "n", *(f"o{j}" for j in range(COARSE_BITS // 64)))
     star = inside.where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v")).distinct()
-    star = star.join(sketch.alias("x").hint("merge"), F.col("x.node") == F.col("u")).join(sketch.alias("y").hint("merge"), F.col("y.node") == F.col("v"))
-    star = staged(star.where(sizes & coarse).select("u", "v"), "star")
+    star = staged(verified(star), "star")
     links = staged(confirmed(star, sets_of(star), percent), "links")
     comps = staged(connected_components(links), "components")
 
     # then members of different components, in buckets that hold several
     placed = inside.join(comps.select(F.col("id").alias("node"), "component").hint("merge"), "node", "left")
     placed = staged(placed.select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
-    open_ = staged(several(placed, "key"), "open")
-    members = staged(open_.select("node", "component").distinct(), "members")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    members = staged(placed.join(staged(mixed, "mixed").hint("merge"), "key", "left_semi").select("node", "component").distinct(), "members")
     sets = staged(texts_of(members.select("node")).mapInArrow(_signatures(k, "set"), "node bigint, set array<bigint>").dropDuplicates(["node"]), "sets")
-    able = comparable(members, sets, percent)
-    open_ = staged(several(open_.join(able.hint("merge"), "node", "left_semi"), "key"), "open")
-    rest = staged(across(open_, reps.drop("doc_id", "k2"), sizes & coarse), "across")
-    ends = rest.select(F.col("u").alias("node")).unionAll(rest.select(F.col("v").alias("node"))).distinct()
-    fine = staged(texts_of(ends).mapInArrow(_signatures(k, "fine"), f"node bigint, {_longs('f', FINE_BITS // 64)}").dropDuplicates(["node"]), "fine")
-    close = _xor_count("f", FINE_BITS // 64, "x", "y") <= least_agreement(percent / 100, FINE_SAMPLES, FINE_BITS, DEVIATIONS)
-    rest = rest.join(fine.alias("x").hint("merge"), F.col("x.node") == F.col("u")).join(fine.alias("y").hint("merge"), F.col("y.node") == F.col("v"))
-    rest = staged(rest.where(close).select("u", "v"), "rest")
-    more = confirmed(rest, sets, percent)
+    more = confirmed(verified(across(members, sets, percent)), sets, percent)
 
     ends = staged(connected_components(links.unionAll(more)), "components")
     out = sigs.select("doc_id", "k2", "n", "node").join(ends.withColumnRenamed("id", "node").hint("merge"), "node", "left")
@@ -269,6 +246,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFram
     rows = near_texts(docs, k, percent)
     kept = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "k2")).alias("r")).select("r.doc_id", "r.k2")
     kept = kept.unionAll(rows.where("component is null").select("doc_id", "k2").distinct()).select(F.col("doc_id").alias("kept_id"), F.col("k2").alias("kept_k2"))
-    named = docs.where("doc_id is not null").withColumn("_k2", F.xxhash64(F.col("text").cast("string")))
-    named = named.join(kept.hint("merge"), (F.col("doc_id").cast("bigint") == F.col("kept_id")) & (F.col("_k2") == F.col("kept_k2")), "left_semi")
-    return named.dropDuplicates(["doc_id", "_k2"]).select(docs.columns).unionAll(docs.where("doc_id is null"))
+    k2 = spare(docs.columns)
+    named = docs.where("doc_id is not null").withColumn(k2, F.xxhash64(F.col("text").cast("string")))
+    named = named.join(kept.hint("merge"), (F.col("doc_id").cast("bigint") == F.col("kept_id")) & (F.col(k2) == F.col("kept_k2")), "left_semi")
+    return named.dropDuplicates(["doc_id", k2]).select(*(F.col(f"`{c}`") for c in docs.columns)).unionAll(docs.where("doc_id is null"))
