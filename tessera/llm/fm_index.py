@@ -68,19 +68,31 @@ class FMIndex:
         self.before = np.concatenate([[0], np.cumsum(np.bincount(texts, minlength=self.symbols))])
         self.n = n
 
-    def matching_ends(self, texts: np.ndarray, ends: np.ndarray, length: int, least: int = 2) -> np.ndarray:
-        """For each end place: how many symbols up to it, length at most, stand least times or more in the index."""
-        lo, hi = np.zeros(len(ends), np.int64), np.full(len(ends), self.n, np.int64)
-        out = np.zeros(len(ends), np.int64)
-        live = np.arange(len(ends))
-        for t in range(length):
-            c = texts[ends[live] - t]
-            both = self.tree.rank(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            base = self.before[c]
-            lo, hi = base + both[: len(c)], base + both[len(c) :]
-            ok = (hi - lo >= least) & (c > 0)
-            live, lo, hi = live[ok], lo[ok], hi[ok]
-            out[live] = t + 1
-            if not len(live):
-                break
-        return out
+    def repeated(self, texts: np.ndarray, first: np.ndarray, stop: np.ndarray, window: int, least: int = 2) -> np.ndarray:
+        """For each range of texts: bits of its windows that stand least times or more in the index.
+
+        Matching statistics by backward search from the range's end: how many symbols up to there stand so often. Windows
+        within the match are found together; the search goes on at the end of the next window that it leaves open.
+        Ranges are of one window at least and 62 at most.
+        """
+        masks = np.zeros(len(first), np.int64)
+        which, end, size = np.arange(len(first)), stop.copy(), np.zeros(len(first), np.int64)
+        lo, hi = np.zeros(len(first), np.int64), np.full(len(first), self.n, np.int64)
+        while len(which):
+            at = end - size - 1
+            inside = at >= first[which]
+            c = np.where(inside, texts[at], 0)
+            both = self.before[c] + self.tree.rank(np.concatenate([c, c]), np.concatenate([lo, hi])).reshape(2, -1)
+            on = inside & (both[1] - both[0] >= least)
+            lo, hi, size = np.where(on, both[0], 0), np.where(on, both[1], self.n), np.where(on, size + 1, size)
+            off = np.flatnonzero(~on)
+            if len(off):
+                s, e, w = size[off], end[off], which[off]
+                hit = s >= window
+                h = np.flatnonzero(hit)
+                masks[w[h]] |= ((np.int64(1) << (s[h] - window + 1)) - 1) << (e[h] - s[h] - first[w[h]])
+                end[off] = np.where(hit, e - s - 1 + window, e - 1)
+                size[off] = 0
+                left = end - window >= first[which]
+                which, end, size, lo, hi = which[left], end[left], size[left], lo[left], hi[left]
+        return masks

@@ -98,8 +98,8 @@ def _cut(window: int):
     return run
 
 
-def repeated_windows(units: list[bytes], window: int) -> np.ndarray:
-    """For each unit (words joined by a space): bits of the windows that stand in the units twice or more."""
+def repeated_windows(units: list[bytes], asked: np.ndarray, window: int) -> np.ndarray:
+    """For each asked unit (words joined by a space): bits of the windows that stand in the units twice or more."""
     number: dict[bytes, int] = {}
     texts, lengths = [], []
     for u in units:
@@ -107,16 +107,9 @@ def repeated_windows(units: list[bytes], window: int) -> np.ndarray:
         lengths.append(len(own))
         texts += [number.setdefault(w, len(number) + 1) for w in own]
         texts.append(0)
-    t, lengths = np.array(texts, np.int64), np.array(lengths, np.int64)
-    n = lengths - window + 1
-    index = FMIndex(t, window)
-    begin = np.cumsum(lengths + 1) - lengths - 1
-    which = np.repeat(np.arange(len(units)), n)
-    shift = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    hit = index.matching_ends(t, begin[which] + shift + window - 1, window) >= window
-    masks = np.zeros(len(units), np.int64)
-    np.bitwise_or.at(masks, which[hit], 1 << shift[hit])
-    return masks
+    t = np.array(texts, np.int64)
+    stop = np.cumsum(np.array(lengths, np.int64) + 1) - 1
+    return FMIndex(t, window).repeated(t, (stop - lengths)[asked], stop[asked], window)
 
 
 def _search(window: int):
@@ -127,9 +120,11 @@ def _search(window: int):
         size, last, unit = 0, None, None
 
         def done() -> pa.RecordBatch:
-            masks = repeated_windows([x[4] for x in held], window)
-            first = [j for j, x in enumerate(held) if x[2] == 0 and masks[j]]
-            return pa.RecordBatch.from_pydict({"v": pa.array([held[j][0] for j in first], pa.int64()), "unit": pa.array([held[j][1] for j in first], pa.int64()), "mask": pa.array(masks[first], pa.int64())})
+            # the second copy of a unit would get the same answer
+            asked = np.flatnonzero([x[2] == 0 for x in held])
+            masks = repeated_windows([x[4] for x in held], asked, window)
+            asked, masks = asked[masks != 0].tolist(), masks[masks != 0]
+            return pa.RecordBatch.from_pydict({"v": pa.array([held[j][0] for j in asked], pa.int64()), "unit": pa.array([held[j][1] for j in asked], pa.int64()), "mask": pa.array(masks, pa.int64())})
 
         for b in batches:
             for x in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
