@@ -13,30 +13,41 @@ from tessera.llm.substring_dedup import remove_repeats
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects what has no language: texts without a letter, and those in which no language has half of the letters. Rows are judged one by one."""
+    """Rejects what has no language: null and empty texts, those without a letter, and those in which no language has half of the letters.
+
+    Rows are judged one by one, whatever their id; repeated rows stay or go together. An empty table stays empty.
+    """
     found = language.identify(docs, language.fit(docs), with_spans=False, carry=tuple(docs.columns))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= 0.5)).select("carried.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicate texts the row with the smallest id, once. Rows of a null id stay."""
+    """Keeps of each group of near-duplicate texts the row with the smallest id (and text hash), once.
+
+    Texts without a word are in no group; of rows alike in id and text one stays; rows of a null id all stay.
+    """
     return drop_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated passages out of the texts; a text without any stays as it is."""
+    """Cuts repeated passages out of the texts; a text without any stays as it is, null and empty ones too. No row goes."""
     x = remove_repeats(docs, carry=tuple(docs.columns))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried.text"))
-    own = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length(text).cast("bigint")).otherwise(F.col("carried.n_chars"))}
-    return x.select(*(own.get(c, F.col(f"carried.{c}")).alias(c) for c in docs.columns))
+    own = {c: F.col(f"carried.`{c}`") for c in docs.columns}
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(own["text"])
+    own["text"] = text
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return x.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark window stands."""
+    """Drops documents in which a benchmark window stands. Rows are judged by their own text; null and empty texts stay."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document: its place in a training sequence. Null ids and repeated rows are packed too, null and
+    empty texts as their end id."""
     return pack_documents(docs)
 
 
