@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +51,10 @@ def sampled(rows: DataFrame, most: int, *by: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. If its files have fewer splits than there are cores (one for each row group), its rows are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    n = spark.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def spare(taken: tuple[str, ...] | list[str]) -> str:
@@ -60,3 +63,8 @@ def spare(taken: tuple[str, ...] | list[str]) -> str:
     while name in {x.lower() for x in taken}:
         name += "_"
     return name
+
+
+def carrying(carried: T.DataType | None, ddl: str) -> T.StructType:
+    """The columns of ddl, behind a column `carried` of the given type, whose field names may be any."""
+    return T.StructType([*([T.StructField("carried", carried)] if carried else []), *T.StructType.fromDDL(ddl).fields])

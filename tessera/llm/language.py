@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import held_out, sampled
+from .common import carrying, held_out, sampled
 from .textbytes import slices
 
 UNKNOWN = "und"
@@ -260,8 +260,6 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, with_s
     and so are words: a run of over PIECE letters may hold spans of several languages. Null and repeated ids are rows
     like others; other columns are ignored unless carried; an empty table gives an empty table.
     """
-    schema = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * with_spans
+    ddl = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * with_spans
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
-    if carry:
-        schema = f"carried {rows.schema['carried'].dataType.simpleString()}, {schema}"
-    return rows.mapInArrow(_label(model, penalty, with_spans), schema)
+    return rows.mapInArrow(_label(model, penalty, with_spans), carrying(rows.schema["carried"].dataType if carry else None, ddl))

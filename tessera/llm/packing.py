@@ -21,8 +21,8 @@ from .common import staged
 from .textbytes import slices
 from .tokens import vocabulary, word_tokens
 
-#: Blocks of documents within which ranks are counted.
-BLOCKS = 256
+#: Blocks of documents within which ranks are counted; more for pieces of the full size, the commonest length of long documents.
+BLOCKS, FULL_BLOCKS = 256, 65_536
 
 
 class CapacityTree:
@@ -119,8 +119,10 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
     """Rows with doc_id, piece and length (1..size) -> the same rows with sequence_id and offset."""
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BLOCKS)))
+    blocks = F.when(F.col("length") == size, FULL_BLOCKS).otherwise(BLOCKS)
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), blocks))
     pieces = staged(pieces.withColumn("n", F.row_number().over(Window.partitionBy("block", "length").orderBy("doc_id", "piece", "ids_crc32"))), "pieces")
+    # at most size * BLOCKS + FULL_BLOCKS rows
     blocks = pieces.groupBy("length", "block").agg(F.max("n").cast("bigint").alias("m"))
     earlier = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))

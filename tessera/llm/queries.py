@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: each applies one operator to its whole table and derives the digests."""
+"""The registered queries of this subpackage: each applies one operator to its whole table and derives the digests. Their SQL is in oracles."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from .chat import format_chats, read_loss_text, read_turns
 from .common import held_out, table
 from .decontamination import contamination
 from .near_dedup import near_duplicates
+from .oracles import ORACLE_SQL
 from .packing import pack_documents
 from .quality import quality
 from .substring_dedup import remove_repeats
@@ -92,4 +93,4 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import spare, staged
+from .common import carrying, spare, staged
 from .fm_index import FMIndex
 from .textbytes import Words, grams, owners, powers, mix, slices
 
@@ -217,6 +217,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8, carry: tupl
     found = staged(by_class.unionByName(by_window), "found")
     hits = dup.select("v", "sh", "k1", "k2", "at").join(found.hint("merge"), ["v", "sh"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
     last = rows.join(hits.hint("merge"), ["k1", "k2"], "left").select("carried", "doc_id", "text", "hits")
-    kind = last.schema["carried"].dataType.simpleString()
-    out = last.mapInArrow(_removed(window), f"carried {kind}, doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<begin:int,end:int>>")
+    ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<begin:int,end:int>>"
+    out = last.mapInArrow(_removed(window), carrying(last.schema["carried"].dataType, ddl))
     return out if carry else out.drop("carried")

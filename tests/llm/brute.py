@@ -111,3 +111,35 @@ def shard_slots(rows, n_bytes, block_bytes, length, slot_of):
         data = b"".join(token_bytes([r["text"] for r in own]))
         parts += [data[k : k + 4 * length] for k in range(0, len(data), 4 * length)]
     return {slot_of(k, len(parts)): (len(x) // 4, zlib.crc32(x)) for k, x in enumerate(parts)}
+
+
+def quality_kept(texts, threshold=0.5, steps=50):
+    """Whether each text is kept: rules vote, expectation-maximisation goes over the texts one by one."""
+    import math
+
+    votes, failed = [], []
+    for t in texts:
+        n, chars, symbols, dup, rep = base_counts(t)
+        lines = [x for x in (t or "").split("\n") if SPACE_WORD.search(x)]
+        w, c, rows, kinds = max(n, 1), max(chars, 1), max(len(lines), 1), len(set(SPACE_WORD.findall(t or "")))
+        failed.append(n < 50 or 100 * rep > 50 * n)
+        bad_high = lambda x, bad, good=None: -1 if x > bad else 1 if good is not None and x <= good else 0
+        bad_low = lambda x, bad, good=None: -1 if x < bad else 1 if good is not None and x >= good else 0
+        votes.append([bad_low(n, 50, 80), bad_high(symbols / w, 0.2, 0.02), bad_high(symbols / c, 0.03), bad_high(symbols / rows, 2.0), bad_high(rep / w, 0.4, 0.15), bad_high(dup / rows, 0.3), bad_low(kinds / math.sqrt(w), 3.0, 5.0), bad_high(chars / w, 12.0), bad_low(chars / w, 2.5), bad_low(w / rows, 1.5)])
+    prior, rates = 0.8, [{-1: (0.4, 0.1), 0: (0.5, 0.5), 1: (0.1, 0.4)} for _ in range(10)]
+
+    def chance(v):
+        odds = math.log(prior / (1 - prior)) + sum(math.log(r[x][1] / r[x][0]) for r, x in zip(rates, v, strict=True) if x)
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(steps):
+        good = [chance(v) for v in votes]
+        prior = min(0.98, max(0.5, (sum(good) + 8) / (len(votes) + 10)))
+        for k in range(10):
+            share = {}
+            for side, first in ((0, {-1: 4, 0: 5, 1: 1}), (1, {-1: 1, 0: 5, 1: 4})):
+                mass = {x: first[x] + sum(g if side else 1 - g for g, v in zip(good, votes, strict=True) if v[k] == x) for x in (-1, 0, 1)}
+                share[side] = {x: m / sum(mass.values()) for x, m in mass.items()}
+            b, g = share[0], share[1]
+            rates[k] = {-1: (max(b[-1], 1.5 * g[-1]), g[-1]), 0: (b[0], g[0]), 1: (min(b[1], g[1] / 1.5), g[1])}
+    return [not f and chance(v) >= threshold for f, v in zip(failed, votes, strict=True)]

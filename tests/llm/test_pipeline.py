@@ -52,3 +52,29 @@ def test_near_duplicates_keep_the_links_of_all_texts_of_an_id(spark):
     rows = [(1, text[0]), (5, text[0] + " x"), (5, text[1]), (6, text[1] + " y"), (5, text[2]), (4, text[2]), (9, None), (9, text[2] + " z"), (10, "")]
     x = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in x) == sorted((i, 10 if i == 10 else 1, i in (1, 10)) for i, _ in rows)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_with_odd_rows_columns_and_empty_tables(spark, stage):
+    run = dict(corpus_pipeline.STAGES)[stage]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(40)
+    odd = [(None, None), (-1, None), (-2, ""), (-2, ""), (-3, " \n"), (None, "7"), (-4, "x" * 3000)]
+    made = spark.createDataFrame(odd, "doc_id bigint, text string").select("doc_id", "text", *(F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields[2:]))
+    more = docs.unionByName(made).select("*", *(F.lit(k).alias(c) for k, c in enumerate(["_", "a.b", "k1", "k2", "_k2", "hits", "carried", "node", "lang_pred", "length", "block"])))
+    x = run(spark, staged(more, "in"), SF)
+    if stage != "packing":
+        assert x.schema.names == more.schema.names
+        assert all(r["a.b"] == 1 and r["block"] == 10 for r in x.collect())
+    got = sorted(((r["doc_id"], r["text"]) for r in x.where("doc_id is null or doc_id < 0").collect()), key=repr) if stage != "packing" else sorted((r["doc_id"] for r in x.where("doc_id is null or doc_id < 0").collect()), key=repr)
+    want = {
+        # only the text of letters has a language
+        "language": [(-4, "x" * 3000)],
+        # rows alike in id and text are one
+        "near_dedup": [r for k, r in enumerate(odd) if k != 3],
+        "substring_dedup": odd,
+        "decontamination": odd,
+    }
+    # one piece each
+    assert got == sorted([i for i, _ in odd] if stage == "packing" else want[stage], key=repr)
+    none = run(spark, staged(more.limit(0), "none"), SF)
+    assert none.count() == 0 and none.schema.names == x.schema.names
