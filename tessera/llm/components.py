@@ -10,7 +10,8 @@ from .common import staged
 def _large_star(e: DataFrame) -> DataFrame:
     """Ties each larger neighbour of a node to the smallest node around it."""
     both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written out, so that a node with very many neighbours can be split
+    least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
@@ -25,7 +26,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(u, v) pairs of ids -> (id, component): the smallest id that can be reached; nodes without an edge are absent.
 
     Self-loops, repeated and null edges are ignored; an empty table gives an empty table. Each round is written
-    to the shared folder; only a count and a checksum come to the driver.
+    to the shared folder; only a count and a checksum come to the driver. The number of rounds grows with the logarithm of
+    the longest path; more than `rounds` of them are an error, never a cut.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e, before = staged(e, "edges"), None

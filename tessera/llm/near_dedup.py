@@ -232,7 +232,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     tied = connected_components(rows.join(several.hint("merge"), "doc_id").select(F.col("lo").alias("u"), F.col("component").alias("v")).where("v is not null"))
     own = own.select("doc_id", "lo").join(tied.select(F.col("id").alias("lo"), "component").hint("merge"), "lo", "left").select("doc_id", F.coalesce("component", "lo").alias("component"))
     own = staged(own, "ids")
-    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = staged(own.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     own = own.join(least.hint("merge"), "component").select("doc_id", "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(own.hint("merge"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -75,6 +75,29 @@ def test_substring_dedup_splits_hot_anchors(spark, monkeypatch):
     assert sorted(map(tuple, x.collect())) == sorted(brute.substring_dedup(rows))
 
 
+def test_tables_beyond_the_broadcast_bound_are_merged(spark, hard, monkeypatch):
+    from tessera.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    items = [(1, prose(25)), (5, hard[8][1]), (None, "naïve x 10 Ab"), (7, "cd ab")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    x = contamination(frame(spark, hard), bench).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256), "contaminated")
+    assert sorted(map(repr, map(tuple, x.collect()))) == sorted(map(repr, brute.contamination(hard, items)))
+
+
+def test_near_duplicates_in_a_bucket_of_unlike_texts(spark):
+    """Texts that share a boilerplate, a large group of copies with edits, and others that are just not similar enough."""
+    rng, boiler, base = random.Random(8), prose(120, random.Random(9)), prose(150, random.Random(10)).split()
+    rows = [(k, boiler + " " + " ".join(f"u{k}x{j}" for j in range(60))) for k in range(60)]
+    for k in range(60):
+        w = list(base)
+        for j in rng.sample(range(150), rng.randint(0, 12)):
+            w[j] = f"e{k}y{j}"
+        rows.append((100 + k, " ".join(w)))
+    got = [tuple(r) for r in near_duplicates(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert got == brute.near_duplicates(rows)
+
+
 def test_contamination(spark, hard):
     items = [(1, prose(25)), (2, "one two"), (3, None), (4, ""), (5, hard[8][1]), (None, "naïve x 10 Ab"), (5, hard[13][1]), (7, "cd ab")]
     rows = [*hard, hard[7], (None, hard[12][1]), (None, None)]
@@ -220,6 +243,26 @@ def test_language_scores_all_of_a_long_run(spark):
     assert [(x["begin"], x["end"]) for x in got[1]["spans"]] == [(0, 90)]
 
 
+def test_numbers_are_no_letters(spark):
+    model = language.LanguageModel([("en", " th", 5), ("en", "the", 5), ("en", "he ", 5), ("en", "#latin", 9)])
+    texts = ["½ ² ① Ⅷ 7", "x² ½", "_", "the", "一二"]
+    got = [r["lang_pred"] for r in language.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).orderBy("doc_id").collect()]
+    assert got == ["und", "en", "und", "en", "en"]
+
+
+def test_many_languages_and_scripts_narrow_them(spark):
+    counts = []
+    for k in range(300):
+        word = "".join(chr(0x61 + (k // 26**j) % 26) for j in range(3)) + "qz"
+        counts += [(f"l{k:03d}", g, 50) for g in language.trigrams(word)] + [(f"l{k:03d}", "#latin", 50)]
+    counts += [("ru", g, 50) for g in language.trigrams("мир")] + [("ru", "#cyrillic", 50)]
+    model = language.LanguageModel(counts)
+    texts = [(k, f"{chr(0x61 + k % 26)}{chr(0x61 + k // 26 % 26)}{chr(0x61 + k // 676)}qz") for k in (0, 127, 128, 255, 299)] + [(1000, "мир aaaqz aaaqz")]
+    got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    assert all(got[k]["lang_pred"] == f"l{k:03d}" for k, _ in texts[:5])
+    assert [x["lang"] for x in got[1000]["spans"]] == ["ru", "l000"]
+
+
 def test_toxicity_grammar():
     m = toxicity.ToxicityModel({"=fool": 6.0, "^stup": 5.0})
     g = toxicity.grammar()
