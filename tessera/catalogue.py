@@ -347,7 +347,7 @@ BUILD_A = f"WITH {CLINICAL}, {CLEAN}, kept AS (SELECT *, row_number() OVER (ORDE
 _A = ["tracking_id", "specialty_label", "cleaned_text", "severity_label_heuristic", "target_split"]
 on_clinical("clean_build", f"{BUILD_A} SELECT {', '.join(_A)} FROM built", lambda df: builds.clean_build(df, "doc_id").select(*_A))
 on_clinical("dist_severity_by_split", f"{BUILD_A} SELECT target_split, severity_label_heuristic, count(*) AS n FROM built GROUP BY 1, 2", lambda df: builds.clean_build(df, "doc_id").groupBy("target_split", "severity_label_heuristic").agg(F.count("*").alias("n")))
-on_clinical("pipeline_summary", f"{BUILD_A} SELECT (SELECT count(*) FROM clinical WHERE text IS NOT NULL) AS n_raw, count(*) AS n_kept, count(*) FILTER (target_split = 'train') AS n_train, count(*) FILTER (target_split = 'val') AS n_val FROM built", lambda df: (lambda b: b.agg(F.lit(df.where("text is not null").count()).cast("bigint").alias("n_raw"), F.count("*").alias("n_kept"), F.count_if(F.col("target_split") == "train").alias("n_train"), F.count_if(F.col("target_split") == "val").alias("n_val")))(builds.clean_build(df, "doc_id")))
+on_clinical("pipeline_summary", f"{BUILD_A} SELECT (SELECT count(*) FROM clinical WHERE text IS NOT NULL) AS n_raw, count(*) AS n_kept, count(*) FILTER (target_split = 'train') AS n_train, count(*) FILTER (target_split = 'val') AS n_val FROM built", lambda df: summary.beside(df.agg(F.count("text").alias("n_raw")), builds.clean_build(df, "doc_id").agg(F.count("*").alias("n_kept"), F.count_if(F.col("target_split") == "train").alias("n_train"), F.count_if(F.col("target_split") == "val").alias("n_val"))))
 SEEDS_B = f"keys AS (SELECT DISTINCT seed_id AS key FROM known), {RANKED}, cut AS (SELECT key, {cut_sql(True)} AS split FROM r)"
 BUILD_B = f"{ALL}, {SEEDS_B}, built AS (SELECT k.*, split FROM known k JOIN cut ON key = seed_id)"
 _B = ["tracking_id", "seed_id", "variant_index", "department_code", "routing_confidence", "severity_heuristic", "split"]

@@ -37,6 +37,11 @@ def utc_stamp() -> Column:
     return F.concat(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
 
 
+def beside(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Two frames of one row each as one row."""
+    return a.withColumn("_", F.lit(1)).join(b.withColumn("_", F.lit(1)).hint("merge"), "_").drop("_")
+
+
 def _maps(columns: dict[str, str]) -> list[Column]:
     """From the rows of rollup(): a map of counts for each column, under its other name."""
     entry = lambda c: F.when((F.col("what") == c) & F.col("value").isNotNull(), F.struct("value", "n"))
@@ -64,9 +69,7 @@ def manifest(df: DataFrame, columns: dict[str, str], seed: str = "seed_id", spli
     own = df.groupBy(seed, split).agg(F.count("*").alias("n")).groupBy(seed).agg(F.min(split).alias("lo"), F.max(split).alias("hi"))
     own = own.groupBy("lo").agg(F.count("*").alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("leaks"))
     own = own.agg(F.sum("n").alias("n_seeds"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("lo", "n")))).alias("split_seeds"), (F.sum("leaks") == 0).alias("leakage_verified"))
-    # one row with one row
-    both = x.withColumn("_", F.lit(1)).join(own.withColumn("_", F.lit(1)).hint("merge"), "_")
-    return both.select(utc_stamp().alias("build_timestamp_utc"), "n_rows", "n_seeds", F.lit(n_variants).alias("n_variants"), *columns.values(), "split_seeds", "leakage_verified", F.array(*map(F.lit, CAVEATS)).alias("caveats"))
+    return beside(x, own).select(utc_stamp().alias("build_timestamp_utc"), "n_rows", "n_seeds", F.lit(n_variants).alias("n_variants"), *columns.values(), "split_seeds", "leakage_verified", F.array(*map(F.lit, CAVEATS)).alias("caveats"))
 
 
 def class_share(df: DataFrame, column: str) -> DataFrame:
