@@ -109,17 +109,18 @@ class WordTokens:
         return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
 
     def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        begin, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int32)
         for a in range(0, len(units), CALL):
             ids, sizes = self._ids([u.decode() for u in units[a : a + CALL]])
             if self.used + len(ids) > len(self.pool):
                 self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
             self.pool[self.used : self.used + len(ids)] = ids
-            self.begin = np.concatenate([self.begin, self.used + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes.astype(np.int32)])
+            begin[a : a + CALL], size[a : a + CALL] = self.used + np.cumsum(sizes) - sizes, sizes
             self.used += len(ids)
-        self.hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(self.hashes)
-        self.hashes, self.begin, self.size = self.hashes[order], self.begin[order], self.size[order]
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.hashes, hashes[order])
+        self.hashes = np.insert(self.hashes, at, hashes[order])
+        self.begin, self.size = np.insert(self.begin, at, begin[order]), np.insert(self.size, at, size[order])
 
     def _places(self, h: np.ndarray, unit) -> np.ndarray:
         """The table row of each hash; unit(k) gives the bytes of the k-th."""
