@@ -101,4 +101,18 @@ WITH RECURSIVE d AS (
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN sizes USING (doc_id) JOIN roots ON id = doc_id
 """
 
-ORACLE_SQL = {"op3_chat": OP3, "op4_decontamination": OP4, "op6_substring_dedup": OP6, "op8_warc": OP8, "op10_near_dedup": OP10}
+OP12 = """
+WITH e AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), FALSE))) = len(embedding)
+), s AS (
+    SELECT a.vec_id AS anchor_id, a.label = e.label AS same, e.vec_id, CAST(list_dot_product(a.x, e.x) AS BIGINT) AS score FROM e a, e WHERE a.vec_id % 100 = 0 AND a.vec_id <> e.vec_id
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY rank <= 10
+"""
+
+ORACLE_SQL = {"op3_chat": OP3, "op4_decontamination": OP4, "op6_substring_dedup": OP6, "op8_warc": OP8, "op10_near_dedup": OP10, "op12_hard_negatives": OP12}
