@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language, toxicity, whitening
+from . import html_text, language, toxicity, whitening
 from .chat import format_chats, read_loss_text, read_turns
 from .common import held_out, table
 from .decontamination import contamination
@@ -81,6 +81,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = html_text.fit(html_text.labelled(spark))
+    return html_text.main_text(table(spark, sf_dir, "pages"), tree).select("page_id", "url", "text", "n_chars")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     shifted = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_near_dedup": op10_near_dedup,
+    "op11_html": op11_html,
     "op12_hard_negatives": op12_hard_negatives,
     "op13_whitening": op13_whitening,
 }
