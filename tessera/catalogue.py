@@ -6,15 +6,16 @@ because the given prose matches none of the rule words. Both engines make it fro
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .functions import label, rules as R, text as X
 from .functions.ids import parse_seed_id, perturb_seed, tracking_id
 from .functions.perturb import match_case, perturb_text, perturb_text_exact
-from .operators import expand, quality as Q, split as S, summary, vectors as V
+from .operators import expand, near_copies, probe, quality as Q, split as S, summary, vectors as V
 from .plans import builds
 from .sources import notes
 from .sources.shared import folder, written
@@ -68,11 +69,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
-def clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clinical_of(documents: DataFrame) -> DataFrame:
     d = F.col("doc_id")
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (d % len(values) + 1).cast("int"))
     body = F.when(d % 97 == 13, None).when(d % 89 == 7, "  ").when(d % 83 == 5, "two words").otherwise(F.concat(pick(PHRASES), F.lit(" "), F.col("text")))
-    return spread(table(spark, sf_dir, "documents")).select("doc_id", d.cast("string").alias("seed_id"), pick(RAW).alias("raw_category"), body.alias("text"), "lang", "source")
+    return documents.select("doc_id", d.cast("string").alias("seed_id"), pick(RAW).alias("raw_category"), body.alias("text"), "lang", "source")
+
+
+def clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clinical_of(spread(table(spark, sf_dir, "documents")))
 
 
 def _pick(values: list[str | None]) -> str:
@@ -192,17 +197,30 @@ on_clinical("filter_low_confidence", f"WITH {CLINICAL}, {MAP}, {MAPPED} SELECT s
 
 # labels
 
+
+
+def _scanned(df: DataFrame) -> DataFrame:
+    x = df.select("seed_id", X.sanitize_text(F.col("text")).alias("c")).withColumn("low", label.folded(F.col("c")))
+    return x.select("seed_id", label.severity_scan3(F.col("c"), F.col("low")).alias("s")).select("seed_id", "s.severity", F.array_join("s.keywords", "|").alias("keywords"), "s.confidence")
+
+
+def _cascaded(df: DataFrame) -> DataFrame:
+    x = df.select("seed_id", "text", label.folded(F.col("text")).alias("low"))
+    x = x.select("seed_id", label.cascade_rank(F.col("text"), F.col("low")).alias("rank"))
+    return x.select("seed_id", label.severity_of_rank(F.col("rank")).alias("s")).select("seed_id", "s.severity", "s.matched_pattern", "s.label_source", "s.confidence")
+
+
 ONE = {t: f"len({keywords_sql('cleaned', t)}) > 0" for t in R.KEYWORDS3}
 on_clinical(
     "severity_scan3",
     f"WITH {CLINICAL}, {CLEAN} SELECT seed_id, CASE {' '.join(f'WHEN {ONE[t]} THEN {q(t)}' for t in R.KEYWORDS3)} ELSE 'unknown' END AS severity, "
     f"array_to_string(CASE {' '.join(f'WHEN {ONE[t]} THEN {keywords_sql('cleaned', t)}' for t in R.KEYWORDS3)} ELSE [] END, '|') AS keywords, 'low' AS confidence FROM clean",
-    lambda df: df.select("seed_id", X.sanitize_text(F.col("text")).alias("c")).select("seed_id", label.severity_scan3(F.col("c")).alias("s")).select("seed_id", "s.severity", F.array_join("s.keywords", "|").alias("keywords"), "s.confidence"),
+    _scanned,
 )
 on_clinical(
     "severity_cascade5",
     f"WITH {CLINICAL} SELECT seed_id, {cascade_sql('text', 'tier')} AS severity, {cascade_sql('text', 'pattern')} AS matched_pattern, {q(R.LABEL_SOURCE)} AS label_source, 'low' AS confidence FROM clinical",
-    lambda df: df.select("seed_id", label.severity_cascade5(F.col("text")).alias("s")).select("seed_id", "s.severity", "s.matched_pattern", "s.label_source", "s.confidence"),
+    _cascaded,
 )
 BARE, EXSANG = R.TIERS5["S1"][4], R.TIERS5["S1"][6]
 on_clinical(
@@ -228,7 +246,7 @@ on_clinical(
     f"WITH {CLINICAL}, t AS (SELECT {cascade_sql('text', 'tier')} AS severity FROM clinical) SELECT severity, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM t GROUP BY 1",
     lambda df: summary.class_share(df.select(label.severity_cascade5(F.col("text"))["severity"].alias("severity")), "severity"),
 )
-on_clinical("sorted_keywords", ORACLE_SQL["severity_scan3"], lambda df: df.select("seed_id", X.sanitize_text(F.col("text")).alias("c")).select("seed_id", label.severity_scan3(F.col("c")).alias("s")).select("seed_id", "s.severity", F.array_join("s.keywords", "|").alias("keywords"), "s.confidence"))
+on_clinical("sorted_keywords", ORACLE_SQL["severity_scan3"], _scanned)
 
 # ids and splits
 
@@ -283,6 +301,20 @@ def _content(s: SparkSession, d: str) -> DataFrame:
 register("content_group_split", f"{CONTENT} SELECT doc_id, split FROM documents JOIN cut ON key = sha256(text)")(lambda s, d: _content(s, d).select("doc_id", "split"))
 register("leak_audit_by_content", "WITH keys AS (SELECT doc_id AS key, text FROM documents), " + RANKED + f", x AS (SELECT sha256(text) AS content, {cut_sql(False)} AS split FROM r) SELECT content FROM x GROUP BY 1 HAVING count(DISTINCT split) > 1")(lambda s, d: S.leaks(S.split_rank_rows(table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("content")), "doc_id"), "content"))
 
+SETS = "[^\\x20\\x09-\\x0D]+"
+
+
+@register(
+    "leak_audit_near_copies",
+    "WITH keys AS (SELECT doc_id AS key, text FROM documents WHERE text IS NOT NULL), " + RANKED + f", x AS (SELECT min(key) AS key, {cut_sql(False)} AS split, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{SETS}') AS w FROM r GROUP BY {cut_sql(False)}, text), "
+    "s AS (SELECT DISTINCT key, split, array_to_string(w[j:j + 4], ' ') AS shingle FROM x, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS j) WHERE len(w) > 0), n AS (SELECT key, count(*) AS n FROM s GROUP BY 1), "
+    "p AS (SELECT a.split AS one, b.split AS other, a.key AS one_key, b.key AS other_key, count(*) AS n_shared FROM s a JOIN s b USING (shingle) WHERE list_position(['train', 'val', 'test'], a.split) < list_position(['train', 'val', 'test'], b.split) GROUP BY ALL) "
+    "SELECT one, other, one_key, other_key, CAST(n_shared AS INT) AS n_shared, CAST(a.n + b.n - n_shared AS INT) AS n_all FROM p JOIN n a ON a.key = one_key JOIN n b ON b.key = other_key WHERE 100 * n_shared >= 75 * (a.n + b.n - n_shared)",
+)
+def _leak_audit_near_copies(s: SparkSession, d: str) -> DataFrame:
+    return near_copies.near_leaks(S.split_rank_rows(spread(table(s, d, "documents").select("doc_id", "text")), "doc_id"), "doc_id")
+
+
 # expansion
 
 BANK = "bank AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(p)})" for k, p in enumerate(["", *R.PREFIXES])) + ") t(v, prefix))"
@@ -292,10 +324,44 @@ ALL = f"WITH {CLINICAL}, {MAP}, {MAPPED}, {BANK}, {EXPANDED}, {KNOWN}"
 on_clinical("expand_variants", f"WITH {CLINICAL}, {BANK}, {EXPANDED} SELECT tracking_id, variant_index, variant_index > 0 AS is_perturbed, body AS text FROM expanded", lambda df: expand.expand_variants(df, None).select("tracking_id", "variant_index", "is_perturbed", "text"))
 ORACLE_SQL["union_variants"] = ORACLE_SQL["expand_variants"]
 QUERIES["union_variants"] = QUERIES["expand_variants"]
-on_clinical("perturb_text", None, lambda df: expand.expand_variants(df).select("tracking_id", "text"))
-on_clinical("perturb_audit", None, lambda df: expand.perturb_audit(expand.expand_variants(df)))
+
+
+def _draw_sql(rule: str, what: str) -> str:
+    return f"(CAST('0x' || substr(sha256(seed || ':' || {rule} || ':{what}:' || i), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def _respelt_sql(old: str, rule: str) -> str:
+    """The word that a rule (k, to_) makes of an old one in its place, with the old one's case; null if the draw is against it."""
+    new = f"{rule}.to_[floor({_draw_sql(f'{rule}.k', 'choice')} * len({rule}.to_))::INT + 1]"
+    cased = f"CASE WHEN {old} = upper({old}) AND upper({old}) <> lower({old}) AND length({old}) > 1 THEN upper({new}) WHEN upper({old}[1]) <> lower({old}[1]) AND {old}[1] = upper({old}[1]) THEN upper({new}[1]) || {new}[2:] ELSE {new} END"
+    return f"CASE WHEN {rule}.k IS NOT NULL AND {_draw_sql(f'{rule}.k', 'apply')} < {R.RATE}::DOUBLE THEN {cased} END"
+
+
+_RULES = [*((w, to, why) for w, to, why in R.VARIANTS), *((w, [t], R.FINAL_DROP_REASON) for w, t in R.FINAL_DROPS)]
+#: A row a word of each variant: the word, what its rule makes of it, and what the later rule makes of that.
+RESPELT = (
+    "spelling AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {q(w)}, [{', '.join(map(q, to))}], {q(why)})" for k, (w, to, why) in enumerate(_RULES)) + ") t(k, word, to_, why)), "
+    f"variants AS (SELECT c.seed_id, v, {TID} AS tracking_id, CAST(CAST('0x' || substr(sha256(seed_id || '::' || v), 1, 8) AS BIGINT) AS VARCHAR) AS seed, prefix || coalesce(text, '') AS body FROM clinical c, bank), "
+    f"words AS (SELECT tracking_id, seed, unnest(regexp_extract_all(body, '{W}+|[^{W[1:-1]}]+')) AS word, generate_subscripts(regexp_extract_all(body, '{W}+|[^{W[1:-1]}]+'), 1) - 1 AS i FROM variants WHERE v > 0), "
+    f"once AS (SELECT w.*, a.k AS k1, a.why AS why1, {_respelt_sql('w.word', 'a')} AS one FROM words w LEFT JOIN spelling a ON a.word = lower(w.word)), "
+    f"twice AS (SELECT o.*, b.why AS why2, {_respelt_sql('o.one', 'b')} AS two FROM once o LEFT JOIN spelling b ON b.word = lower(o.one) AND b.k > o.k1), "
+    "respelt AS (SELECT v.*, coalesce(t.text, body) AS text, v > 0 AS is_perturbed FROM variants v LEFT JOIN (SELECT tracking_id, string_agg(coalesce(two, one, word), '' ORDER BY i) AS text FROM twice GROUP BY 1) t USING (tracking_id))"
+)
+PERTURBED = f"WITH {CLINICAL}, {BANK}, {RESPELT}"
+on_clinical("perturb_text", f"{PERTURBED} SELECT tracking_id, text FROM respelt", lambda df: expand.expand_variants(df).select("tracking_id", "text"))
+on_clinical(
+    "perturb_audit",
+    f"{PERTURBED}, s AS (SELECT tracking_id, i, 0 AS step, word AS original, one AS replacement, why1 AS reason FROM twice WHERE one IS NOT NULL UNION ALL SELECT tracking_id, i, 1, one, two, why2 FROM twice WHERE two IS NOT NULL) "
+    "SELECT tracking_id, CAST(row_number() OVER (PARTITION BY tracking_id ORDER BY i, step) - 1 AS INT) AS n, original, replacement, reason FROM s",
+    lambda df: expand.perturb_audit(expand.expand_variants(df)),
+)
 on_clinical("perturb_text_exact", None, lambda df: expand.expand_variants(df, None).select("tracking_id", perturb_text_exact(F.col("text"), perturb_seed(F.col("tracking_id"))).alias("p")).select("tracking_id", "p.text"))
-on_clinical("expect_deterministic", "SELECT TRUE AS same", lambda df: df.sparkSession.createDataFrame([(Q.same_rows(expand.expand_variants(df).select("tracking_id", "text"), expand.expand_variants(df.repartition(3, "doc_id")).select("tracking_id", "text")),)], "same boolean"))
+_DIGEST = "CAST(sum(CAST('0x' || substr(sha256(text || chr(31) || tracking_id), 1, 15) AS BIGINT)) AS VARCHAR)"
+on_clinical(
+    "expect_deterministic",
+    f"{PERTURBED} SELECT 'perturb_text' AS \"check\", count(*) AS n, {_DIGEST} AS digest_a, {_DIGEST} AS digest_b, TRUE AS same FROM respelt",
+    lambda df: Q.expect_same(*(expand.expand_variants(x).select("tracking_id", "text") for x in (df, df.repartition(3, "doc_id"))), "perturb_text"),
+)
 
 
 def _known(df: DataFrame) -> DataFrame:
@@ -308,6 +374,20 @@ for _name, _c in DISTS.items():
     on_clinical(_name, f"{ALL} SELECT {_c}, count(*) AS n FROM known GROUP BY 1", lambda df, c=_c: summary.distribution(_known(df), c))
 on_clinical("dist_sorted", f"{ALL} SELECT department_code, count(*) AS n FROM known GROUP BY 1 ORDER BY n DESC, 1", lambda df: summary.distribution(_known(df), "department_code").orderBy(F.desc("n"), "department_code"))
 on_clinical("n_seeds", f"{ALL} SELECT count(DISTINCT seed_id) AS n FROM known", lambda df: _known(df).agg(F.count_distinct("seed_id").alias("n")))
+
+
+@register("n_seeds_sketch", f"{ALL}, x AS (SELECT department_code, count(DISTINCT seed_id) AS n FROM known GROUP BY 1) SELECT department_code, n, TRUE AS close, TRUE AS mergeable FROM x UNION ALL SELECT 'all', count(DISTINCT seed_id), TRUE, TRUE FROM known")
+def _n_seeds_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts, whether the kept sketches come within 2 % of them, and whether sketches of other groups of the same rows add up to the same within 1 % (their estimator depends on their filling)."""
+    known, code = _known(clinical(spark, sf_dir)), "department_code"
+    kept = written(summary.seed_sketches(known, by=code), "sketches")
+    exact = summary.with_total(known, code, F.count_distinct("seed_id"))
+    told = summary.sketched_seeds(kept, code).unionByName(summary.sketched_seeds(kept).withColumn(code, F.lit("all")))
+    whole = summary.sketched_seeds(summary.seed_sketches(known, by="routing_confidence")).select(F.col("n").alias("whole"), F.lit("all").alias(code))
+    x = exact.join(told.withColumnRenamed("n", "told").hint("merge"), code).join(whole.hint("merge"), code, "left")
+    return x.select(code, "n", (F.abs(F.col("told") - F.col("n")) <= 0.02 * F.col("n")).alias("close"), F.coalesce(F.abs(F.col("told") - F.col("whole")) <= 0.01 * F.col("n"), F.lit(True)).alias("mergeable"))
+
+
 on_clinical(
     "manifest_rollup",
     f"{ALL} SELECT CASE WHEN grouping(severity) = 0 THEN 'severity' WHEN grouping(department_code) = 0 THEN 'department_code' ELSE 'routing_confidence' END AS what, coalesce(severity, department_code, routing_confidence) AS value, count(*) AS n FROM known GROUP BY GROUPING SETS ((severity), (department_code), (routing_confidence))",
@@ -336,8 +416,8 @@ on_clinical("provenance_cols", f"{ALL} SELECT tracking_id, severity, {q(R.LABEL_
 _N = "daktar"
 on_clinical(
     "perturb_match_case",
-    f"WITH {CLINICAL}, w AS (SELECT seed_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM clinical) SELECT seed_id, word, CASE WHEN word = upper(word) AND length(word) > 1 THEN upper('{_N}') WHEN word[1] = upper(word[1]) THEN upper('{_N[0]}') || '{_N[1:]}' ELSE '{_N}' END AS made FROM w",
-    lambda df: df.select("seed_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).withColumn("made", match_case(F.col("word"), F.lit(_N))),
+    f"WITH {CLINICAL}, w AS (SELECT seed_id, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS word FROM clinical) SELECT seed_id, word, CASE WHEN word = upper(word) AND length(word) > 1 THEN upper('{_N}') WHEN word[1] = upper(word[1]) THEN upper('{_N[0]}') || '{_N[1:]}' ELSE '{_N}' END AS made FROM w",
+    lambda df: df.select("seed_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("word")).withColumn("made", match_case(F.col("word"), F.lit(_N))),
 )
 
 
@@ -347,13 +427,25 @@ BUILD_A = f"WITH {CLINICAL}, {CLEAN}, kept AS (SELECT *, row_number() OVER (ORDE
 _A = ["tracking_id", "specialty_label", "cleaned_text", "severity_label_heuristic", "target_split"]
 on_clinical("clean_build", f"{BUILD_A} SELECT {', '.join(_A)} FROM built", lambda df: builds.clean_build(df, "doc_id").select(*_A))
 on_clinical("dist_severity_by_split", f"{BUILD_A} SELECT target_split, severity_label_heuristic, count(*) AS n FROM built GROUP BY 1, 2", lambda df: builds.clean_build(df, "doc_id").groupBy("target_split", "severity_label_heuristic").agg(F.count("*").alias("n")))
-on_clinical("pipeline_summary", f"{BUILD_A} SELECT (SELECT count(*) FROM clinical WHERE text IS NOT NULL) AS n_raw, count(*) AS n_kept, count(*) FILTER (target_split = 'train') AS n_train, count(*) FILTER (target_split = 'val') AS n_val FROM built", lambda df: summary.beside(df.agg(F.count("text").alias("n_raw")), builds.clean_build(df, "doc_id").agg(F.count("*").alias("n_kept"), F.count_if(F.col("target_split") == "train").alias("n_train"), F.count_if(F.col("target_split") == "val").alias("n_val"))))
+_NO_TEXT = f"coalesce(len(regexp_extract_all(cleaned, '[^{WS}]+')), 0) < {R.MIN_WORDS}"
+on_clinical(
+    "pipeline_summary",
+    f"{BUILD_A}, c AS (SELECT count(*) AS n_raw, count(*) FILTER ({NO_CAT}) AS n_no_category, count(*) FILTER ({_NO_TEXT}) AS n_short FROM clean WHERE text IS NOT NULL) "
+    f"SELECT any_value(n_raw) AS n_raw, count(*) AS n_kept, any_value(n_raw) - count(*) AS n_dropped, any_value(n_no_category) AS n_no_category, any_value(n_short) AS n_short, {', '.join(f"count(*) FILTER (target_split = '{n}') AS n_{n}" for n in S.NAMES)} FROM built, c",
+    lambda df: builds.build_summary(df, "doc_id"),
+)
 SEEDS_B = f"keys AS (SELECT DISTINCT seed_id AS key FROM known), {RANKED}, cut AS (SELECT key, {cut_sql(True)} AS split FROM r)"
 BUILD_B = f"{ALL}, {SEEDS_B}, built AS (SELECT k.*, split FROM known k JOIN cut ON key = seed_id)"
 _B = ["tracking_id", "seed_id", "variant_index", "department_code", "routing_confidence", "severity_heuristic", "split"]
 B_SQL = "SELECT tracking_id, seed_id, variant_index, department_code, routing_confidence, severity AS severity_heuristic, split FROM built"
 on_clinical("variant_build", f"{BUILD_B} {B_SQL}", lambda df: builds.variant_build(df, None).select(*_B))
-on_clinical("variant_build_perturbed", None, builds.variant_build)
+_P13 = ["tracking_id", "seed_id", "variant_index", "is_perturbed", "language", "text", "raw_medical_specialty", "department_code", "routing_confidence", "severity_heuristic", "severity_label_source", "severity_confidence", "split"]
+on_clinical(
+    "variant_build_perturbed",
+    f"WITH {CLINICAL}, {MAP}, {MAPPED}, {BANK}, {RESPELT}, known AS (SELECT r.tracking_id, r.seed_id, CAST(r.v AS INT) AS variant_index, r.is_perturbed, CASE WHEN r.v > 0 THEN 'hinglish' ELSE 'en' END AS language, r.text, m.raw_label AS raw_medical_specialty, m.department_code, m.routing_confidence, "
+    f"{cascade_sql('r.text', 'tier')} AS severity_heuristic, {q(R.LABEL_SOURCE)} AS severity_label_source, {q(R.LABEL_CONFIDENCE)} AS severity_confidence FROM respelt r JOIN mapped m USING (seed_id) WHERE m.department_code IS NOT NULL), {SEEDS_B} SELECT {', '.join(_P13)} FROM known JOIN cut ON key = seed_id",
+    lambda df: builds.variant_build(df).select(*_P13),
+)
 on_clinical("dist_split_rows", f"{BUILD_B} SELECT split, count(*) AS n FROM built GROUP BY 1", lambda df: summary.distribution(builds.variant_build(df, None), "split"))
 
 
@@ -363,6 +455,16 @@ def _snk_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(*_B)
 
 
+@register("snk_dataset_one_split", f"{BUILD_B} SELECT tracking_id, variant_index, split, split = 'val' AS built_anew FROM built WHERE split <> 'val' OR variant_index = 0")
+def _snk_dataset_one_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole build, and then twice a build of the validation split alone, now of the originals: it replaces that split and no other."""
+    x = written(builds.variant_build(clinical(spark, sf_dir), None), "variants").select("tracking_id", "variant_index", "split")
+    notes.write_dataset(x.withColumn("built_anew", F.lit(False)), path := folder(spark, "dataset"))
+    for _ in range(2):
+        notes.replace_splits(x.where("split = 'val' and variant_index = 0").withColumn("built_anew", F.lit(True)), path)
+    return spark.read.parquet(path).select("tracking_id", "variant_index", "split", "built_anew")
+
+
 @register("src_split", f"{BUILD_B} SELECT tracking_id, body AS text FROM built WHERE split = 'val' AND NOT {blank_sql('body')}")
 def _src_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes.write_dataset(builds.variant_build(clinical(spark, sf_dir), None), path := folder(spark, "dataset"))
@@ -389,7 +491,7 @@ def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("src_notes_csv", f"WITH {CLINICAL} SELECT seed_id, raw_category AS medical_specialty, text AS transcription FROM clinical WHERE text IS NOT NULL")(lambda s, d: notes.notes_validated(_notes(s, d)).select("seed_id", "medical_specialty", "transcription"))
-register("src_notes_counts", f"WITH {CLINICAL} SELECT count(*) AS n_before, count(text) AS n_after, count(*) - count(text) AS n_null_text FROM clinical")(lambda s, d: notes.notes_counts(_notes(s, d)))
+register("src_notes_counts", f"WITH {CLINICAL} SELECT count(*) AS n_before, count(text) AS n_after, count(*) - count(text) AS n_null_text FROM clinical")(lambda s, d: s.createDataFrame([notes.archive_notes(_notes(s, d), folder(s, "archive"))], "n_before bigint, n_after bigint, n_null_text bigint"))
 register("nan_to_null", "SELECT event_id, CASE WHEN event_id % 7 <> 3 THEN value END AS value FROM events")(lambda s, d: notes.nan_to_null(table(s, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 3, float("nan")).otherwise(F.col("value")).alias("value"))))
 
 
@@ -434,13 +536,13 @@ _M = {"severity_heuristic": "severities", "department_code": "departments", "rou
 @register(
     "snk_manifest",
     f"{BUILD_B}, b AS (SELECT *, severity AS severity_heuristic FROM built), first AS (SELECT DISTINCT seed_id, split FROM b) "
-    f"SELECT count(*) AS n_rows, count(DISTINCT seed_id) AS n_seeds, 4 AS n_variants, {', '.join(f'{_text_counts(c, "b")} AS {a}' for c, a in _M.items())}, {_text_counts('split', 'first')} AS split_seeds, TRUE AS leakage_verified FROM b",
+    f"SELECT 'perturbation_rate=none,source=documents,split_fractions=0.8/0.1/0.1,split_seed=1337' AS parameters, count(*) AS n_rows, count(DISTINCT seed_id) AS n_seeds, 4 AS n_variants, {', '.join(f'{_text_counts(c, "b")} AS {a}' for c, a in _M.items())}, {_text_counts('split', 'first')} AS split_seeds, TRUE AS leakage_verified FROM b",
 )
 def _snk_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = written(builds.variant_build(clinical(spark, sf_dir), None), "variants")
-    summary.manifest(x, _M).write.json(path := folder(spark, "manifest"))
+    summary.manifest(x, _M, parameters=summary.run_parameters("documents", None)).write.json(path := folder(spark, "manifest"))
     x = spark.read.schema(summary.manifest_schema(_M)).json(path)
-    return x.select("n_rows", "n_seeds", "n_variants", *(_told(F.col(a)).alias(a) for a in (*_M.values(), "split_seeds")), "leakage_verified")
+    return x.select(_told(F.col("parameters")).alias("parameters"), "n_rows", "n_seeds", "n_variants", *(_told(F.col(a)).alias(a) for a in (*_M.values(), "split_seeds")), "leakage_verified")
 
 
 # vocabularies and vectors
@@ -510,6 +612,19 @@ register("ordinal_confusion", f"WITH {HEADS} SELECT y, pred, CASE abs(y - pred)
 register("join_pred_label", f"WITH {HEADS} SELECT h.vec_id, pred, label FROM h13 h JOIN embeddings e USING (vec_id)")(lambda s, d: _heads(s, d).select("vec_id", F.col("p13").alias("pred")).join(emb(s, d).select("vec_id", "label"), "vec_id").select("vec_id", "pred", "label"))
 register("weighted_running_metrics", f"WITH {HEADS}, b AS (SELECT vec_id % 16 AS batch, avg(loss) AS loss, count(*) AS n, sum((pred = y)::INT) AS correct FROM h13 GROUP BY 1) SELECT round(sum(loss * n) / sum(n), 4) AS loss, round(sum(correct) / sum(n), 6)::DOUBLE AS accuracy FROM b")(lambda s, d: V.running_metrics(_heads(s, d).groupBy((F.col("vec_id") % 16).alias("batch")).agg(F.avg("l13").alias("loss"), F.count("*").alias("n"), F.sum((F.col("p13") == F.col("y13")).cast("int")).alias("correct"))).select(F.round("loss", 4).alias("loss"), F.round("accuracy", 6).alias("accuracy")))
 register("linear_probe_fit")(lambda s, d: V.linear_probe(emb(s, d), "embedding", "label").select("vec_id", "label", F.col("prediction").cast("int").alias("prediction")))
+HEADS_OF = {"department": "department_code", "severity": "severity"}
+
+
+@register("linear_probe_heads")
+def _linear_probe_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both heads over the words of the notes: fitted on the training split with the weights of low routing confidence, told for all splits."""
+    x = label.map_category(clinical(spark, sf_dir)).where("department_code is not null")
+    x = x.select("seed_id", "text", "department_code", Q.confidence_weight(F.col("routing_confidence")).alias("weight"), label.severity_cascade5(F.col("text"))["severity"].alias("severity"))
+    x = written(probe.indexed(S.split_grouped_seeds(written(x, "labelled"), "seed_id"), HEADS_OF), "indexed")
+    model = probe.fit_heads(x.where("split = 'train'"), HEADS_OF, weight="weight")
+    return probe.predict(model, x).select("seed_id", "split", *(f"{h}_{c}" for h in HEADS_OF for c in ("index", "prediction")))
+
+
 register(
     "snk_label_space",
     f"{ALL}, {CLASSES} SELECT 'department' AS head, department_code AS class, CAST(i AS INT) AS class_index, (SELECT count(*) FROM known k WHERE k.department_code = c.department_code) AS n, {R.ALPHA}::DOUBLE AS loss_weight FROM d_class c "
@@ -547,7 +662,29 @@ SPLIT = f"CASE WHEN {THRESHOLD} < 0.8::DOUBLE THEN 'train' WHEN {THRESHOLD} < 0.
 LIVE = f"live AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS seed_id, {_pick(RAW)} AS raw_category, {_pick(PHRASES)} || ' ' || text AS text FROM documents)"
 register("stream_threshold_split", f"SELECT doc_id, {SPLIT} AS split FROM documents")(lambda s, d: _sink(s, _stream(s, d, "documents").select("doc_id", S.threshold_split(F.col("doc_id")).alias("split"))))
 register("stream_clean_label", f"WITH {LIVE}, c AS (SELECT *, {sanitize_sql('text')} AS cleaned_text FROM live) SELECT seed_id, cleaned_text, {cascade_sql('cleaned_text', 'tier')} AS severity, {SPLIT} AS split FROM c")(lambda s, d: _sink(s, streams.clean_label(_stream_clinical(s, d)).select("seed_id", "cleaned_text", "severity", "split")))
-register("stream_quarantine", f"WITH {LIVE}, {MAP} SELECT seed_id, coalesce({trim_sql('raw_category')}, '') AS raw_label FROM live WHERE coalesce({trim_sql('raw_category')}, '') NOT IN (SELECT raw_label FROM category)")(lambda s, d: _sink(s, streams.quarantine(_stream_clinical(s, d)).where("not known").select("seed_id", "raw_label")))
+_UNKNOWN = f"coalesce({trim_sql('raw_category')}, '') NOT IN (SELECT raw_label FROM category)"
+
+
+def _quarantined(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The two tables that one stream fills."""
+    live = streams.quarantine(_stream_clinical(s, d)).select("seed_id", "raw_label", "department_code", "known")
+    paths = folder(s, "known"), folder(s, "quarantine")
+    streams.run_split(live, streams.quarantine_sinks(*paths), folder(s, "offsets"))
+    return tuple(s.read.schema(T.StructType([*live.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(p) for p in paths)
+
+
+register("stream_quarantine", f"WITH {LIVE}, {MAP} SELECT seed_id, coalesce({trim_sql('raw_category')}, '') AS raw_label FROM live WHERE {_UNKNOWN}")(lambda s, d: _quarantined(s, d)[1].select("seed_id", "raw_label"))
+register("stream_quarantine_sinks", f"WITH {LIVE}, {MAP} SELECT CASE WHEN {_UNKNOWN} THEN 'quarantine' ELSE 'known' END AS sink, seed_id, k.department_code FROM live LEFT JOIN category k ON k.raw_label = coalesce({trim_sql('raw_category')}, '')")(
+    lambda s, d: reduce(DataFrame.unionAll, (x.select(F.lit(name).alias("sink"), "seed_id", "department_code") for name, x in zip(("known", "quarantine"), _quarantined(s, d), strict=True)))
+)
+
+
+@register("stream_ingest_counts", f"WITH {CLINICAL} SELECT count(*) AS n_before, count(text) AS n_after, count(*) - count(text) AS n_null_text FROM clinical")
+def _stream_ingest_counts(s: SparkSession, d: str) -> DataFrame:
+    """Notes arrive as a stream and are kept if they have a text; a listener tells the counts of the batches."""
+    live = clinical_of(_stream(s, d, "documents")).select("seed_id", "text", "raw_category")
+    told = streams.run_counted(notes.notes_validated(live, "text", "raw_category", "ingest"), folder(s, "stream"), folder(s, "offsets"), "ingest")
+    return s.createDataFrame([told], "n_before bigint, n_after bigint, n_null_text bigint")
 
 
 def _events(s: SparkSession, d: str) -> DataFrame:
@@ -555,6 +692,35 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 register("stream_dedupe_ids", "SELECT DISTINCT event_id FROM events")(lambda s, d: _sink(s, streams.dedupe_ids(_events(s, d), "ts", "event_id").select("event_id")))
+#: An epoch of the events is a day.
+_DAY = "CAST(floor(epoch(ts) / 86400) AS BIGINT)"
+
+
+@contextmanager
+def _rocksdb(s: SparkSession) -> Iterator[None]:
+    """The state store that timers need, for the streams that start within."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, streams.ROCKSDB)
+    try:
+        yield
+    finally:
+        s.conf.set(key, before)
+
+
+# epochs that a later one of the same type has closed, or the watermark
+@register(
+    "stream_epoch_metrics",
+    f"WITH m AS (SELECT max(ts) - INTERVAL 70 MINUTE AS mark FROM events), g AS (SELECT event_type AS key, {_DAY} AS epoch, round(sum(value), 2) AS loss_sum, round(avg((event_id % 3 = 0)::INT), 6)::DOUBLE AS accuracy, count(*) AS n, max(ts) AS last FROM events GROUP BY 1, 2) "
+    "SELECT key, epoch, loss_sum, accuracy, n FROM (SELECT *, max(epoch) OVER (PARTITION BY key) AS newest FROM g), m WHERE epoch < newest OR last < mark",
+)
+def _stream_epoch_metrics(s: SparkSession, d: str) -> DataFrame:
+    rows = _events(s, d).select("event_type", F.floor(F.unix_timestamp("ts") / 86400).alias("epoch"), "value", F.lit(1).alias("n"), (F.col("event_id") % 3 == 0).cast("int").alias("correct"), "ts")
+    with _rocksdb(s):
+        x = _sink(s, streams.epoch_metrics(rows, "event_type", "epoch", "value", "n", "correct", "ts"))
+    return x.select("key", "epoch", F.round(F.col("loss") * F.col("n"), 2).alias("loss_sum"), F.round("accuracy", 6).alias("accuracy"), "n")
+
+
 # windows that the watermark has passed when the stream has ended
 register(
     "stream_running_metrics",

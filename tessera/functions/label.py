@@ -25,23 +25,23 @@ def _any_of(low: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (low.contains(x) for x in sorted(set(parts))))
 
 
-def severity_scan3(c: Column) -> Column:
+def severity_scan3(c: Column, low: Column | None = None) -> Column:
     """Struct of severity (critical > high > low > unknown), the winning tier's sorted distinct keywords, and confidence.
 
     A tier's pattern is tried only where a plain part of one of its keywords stands, and words are taken out for the winner alone.
+    low is folded(c), where it stands in a column of its own, so that the rest is generated code.
     """
-    none = F.array().cast("array<string>")
+    told = lambda tier, keywords: F.struct(F.lit(tier).alias("severity"), keywords.alias("keywords"), F.lit(R.LABEL_CONFIDENCE).alias("confidence"))
 
     def scan(low: Column) -> Column:
-        out = F.struct(F.lit("unknown").alias("severity"), none.alias("keywords"))
+        out = told("unknown", F.array().cast("array<string>"))
         for tier, words in reversed(R.KEYWORDS3.items()):
             rule = word_rule("|".join(words))
-            found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(rule), F.lit(0)), F.lower)))
-            out = F.when(_any_of(low, [literal_of(w).strip() for w in words]) & c.rlike(rule), F.struct(F.lit(tier).alias("severity"), found.alias("keywords"))).otherwise(out)
+            found = F.array_sort(F.array_distinct(F.split(F.lower(F.array_join(F.regexp_extract_all(c, F.lit(rule), F.lit(0)), "\x1f")), "\x1f")))
+            out = F.when(_any_of(low, [literal_of(w).strip() for w in words]) & c.rlike(rule), told(tier, found)).otherwise(out)
         return out
 
-    found = let(F.coalesce(folded(c), F.lit("")), scan)
-    return let(found, lambda x: F.struct(x["severity"].alias("severity"), x["keywords"].alias("keywords"), F.lit(R.LABEL_CONFIDENCE).alias("confidence")))
+    return let(F.coalesce(folded(c), F.lit("")), scan) if low is None else scan(F.coalesce(low, F.lit("")))
 
 
 def literal_of(pattern: str) -> str:
@@ -62,8 +62,8 @@ def edged(pattern: str) -> str:
     return rf"\b{pattern}" if pattern.endswith(r"\b)") else rf"\b{pattern}\b"
 
 
-def cascade_rank(c: Column) -> Column:
-    """The number of the first pattern in order that matches, else NO_MATCH, or NO_INPUT for null and blank texts."""
+def cascade_rank(c: Column, low: Column | None = None) -> Column:
+    """The number of the first pattern in order that matches, else NO_MATCH, or NO_INPUT for null and blank texts. low: as for severity_scan3()."""
 
     def first(low: Column) -> Column:
         out = F.when(low == "", NO_INPUT)
@@ -72,6 +72,8 @@ def cascade_rank(c: Column) -> Column:
             out = out.when((low.contains(part) & c.rlike(word_rule(p))) if len(part) > 2 else c.rlike(word_rule(p)), k)
         return out.otherwise(NO_MATCH)
 
+    if low is not None:
+        return F.when(is_blank(c), NO_INPUT).otherwise(first(low))
     return let(F.when(is_blank(c), "").otherwise(folded(c)), first)
 
 

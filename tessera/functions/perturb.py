@@ -31,7 +31,7 @@ def match_case(original: Column, new: Column) -> Column:
     cased = F.upper(capital) != F.lower(capital)
     return (
         F.when((original == F.upper(original)) & (F.upper(original) != F.lower(original)) & (F.length(original) > 1), F.upper(new))
-        .when(cased & (capital == F.upper(capital)), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, 2, 1_000)))
+        .when(cased & (capital == F.upper(capital)), F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new))))
         .otherwise(new)
     )
 

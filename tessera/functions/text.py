@@ -77,6 +77,11 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(f"[^{R.WS}]+")), F.lit(0)).cast("bigint")
 
 
+def fewer_words(c: Column, n: int) -> Column:
+    """Whether there are fewer than n words (n from 1); reads no further than the n-th."""
+    return ~F.coalesce(c.rlike(f"(?:[^{R.WS}]++[{R.WS}]++){{{n - 1}}}[^{R.WS}]"), F.lit(False))
+
+
 def word_rule(pattern: str) -> str:
     """A case-insensitive pattern that stands alone, by one idea of a word in all scripts."""
     inner = pattern.replace(r"\b", R.EDGE_R).replace(r"\w", R.WORD).replace(r"\s", f"[{R.WS}]")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R
 from ..functions.ids import perturb_seed, tracking_id
-from ..functions.label import NO_MATCH, cascade_rank, severity_of_rank
+from ..functions.label import NO_MATCH, cascade_rank, folded, severity_of_rank
 from ..functions.perturb import KNOWN, perturb_text
 
 
@@ -29,7 +29,7 @@ def expand_variants(df: DataFrame, rate: float | None = R.RATE, with_severity: b
     text = F.coalesce("text", F.lit(""))
     x = df.withColumn("text", text)
     if with_severity:
-        x = x.withColumn("_rank", cascade_rank(F.col("text")))
+        x = x.withColumn("_low", folded(F.col("text"))).withColumn("_rank", cascade_rank(F.col("text"), F.col("_low"))).drop("_low")
     if rate is not None:
         x = x.withColumn("_known", F.col("text").rlike(KNOWN))
     x = x.withColumn("_v", F.explode(prefix_bank())).select("*", "_v.*").drop("_v")

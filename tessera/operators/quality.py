@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules as R
 from ..functions.label import category_map
-from ..functions.text import is_blank, norm_category, word_count
+from ..functions.text import fewer_words, is_blank, norm_category
+from .summary import beside
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -17,7 +18,7 @@ def require(df: DataFrame, *columns: str) -> None:
 
 def audit_reasons(text: Column, category: Column, min_words: int = R.MIN_WORDS) -> tuple[Column, Column]:
     """Why a row is dropped: no category, too few words. A row can have both."""
-    return is_blank(category), word_count(text) < min_words
+    return is_blank(category), fewer_words(text, min_words)
 
 
 def audit_filter(df: DataFrame, text: str = "text", category: str = "raw_category", min_words: int = R.MIN_WORDS) -> DataFrame:
@@ -86,6 +87,21 @@ def set_difference(a: DataFrame, b: DataFrame, a_name: str, b_name: str) -> Data
     return a.exceptAll(b).select(F.lit(a_name).alias("only_in"), "*").unionAll(b.exceptAll(a).select(F.lit(b_name).alias("only_in"), "*"))
 
 
+def digest(df: DataFrame) -> DataFrame:
+    """One row: n, and digest, a sum of row hashes (of all columns as strings, by name). Equal for equal rows in whatever order and partitions."""
+    cells = (F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in sorted(df.columns))
+    h = F.conv(F.substring(F.sha2(F.concat_ws("\x1f", *cells), 256), 1, 15), 16, 10)
+    return df.agg(F.count("*").alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def expect_same(a: DataFrame, b: DataFrame, name: str = "deterministic") -> DataFrame:
+    """check, n, digest_a, digest_b, same: two makings of a table by their digests. Lazy: nothing runs before the row is read."""
+    one = digest(a).select("n", F.col("digest").alias("digest_a"))
+    other = digest(b).select(F.col("n").alias("n_b"), F.col("digest").alias("digest_b"))
+    same = (F.col("n") == F.col("n_b")) & (F.col("digest_a") == F.col("digest_b"))
+    return beside(one, other).select(F.lit(name).alias("check"), "n", "digest_a", "digest_b", same.alias("same"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """True if two frames hold the same rows, each as often."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

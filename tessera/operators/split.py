@@ -34,16 +34,14 @@ def sizes(n: int, fractions: tuple[float, float, float], half_even: bool) -> tup
     return (train + min(0, test), val, max(0, test))
 
 
-def cut_hashes(keys: DataFrame, column: str, n_train: int, n_val: int, salt: str = R.SALT) -> tuple[str | None, str | None]:
-    """The hashes of ranks n_train and n_train + n_val (from 0) of distinct keys; None where there is no such rank."""
-    h = keys.select(split_hash(F.col(column), salt).alias("h"))
+def _groups(hashes: DataFrame, prefix: str = "") -> list[tuple[str, int]]:
+    """Groups of the hashes (h) that begin so, by DIGITS more, with their counts; at most 16 ** DIGITS rows."""
+    own = hashes.where(F.col("h").startswith(prefix)) if prefix else hashes.where("h is not null")
+    return sorted((x["g"], x["n"]) for x in own.groupBy(F.substring("h", 1, len(prefix) + DIGITS).alias("g")).agg(F.count("*").alias("n")).collect())
 
-    def counts(prefix: str) -> list[tuple[str, int]]:
-        """Groups of the hashes that begin so, by DIGITS more; at most 16 ** DIGITS rows."""
-        own = h.where(F.col("h").startswith(prefix)) if prefix else h
-        return sorted((x["g"], x["n"]) for x in own.groupBy(F.substring("h", 1, len(prefix) + DIGITS).alias("g")).agg(F.count("*").alias("n")).collect())
 
-    top = counts("")
+def _cuts(hashes: DataFrame, top: list[tuple[str, int]], n_train: int, n_val: int) -> tuple[str | None, str | None]:
+    """The hashes of ranks n_train and n_train + n_val (from 0), None where there is no such rank; top: all groups."""
 
     def at(rank: int) -> str | None:
         groups = top
@@ -57,12 +55,18 @@ def cut_hashes(keys: DataFrame, column: str, n_train: int, n_val: int, salt: str
             if len(g) >= 64:
                 return g
             if n <= SMALL:
-                return h.where(F.col("h").startswith(g)).orderBy("h").offset(rank).limit(1).first()["h"]
-            groups = counts(g)
+                return hashes.where(F.col("h").startswith(g)).orderBy("h").offset(rank).limit(1).first()["h"]
+            groups = _groups(hashes, g)
 
     return at(n_train), at(n_train + n_val)
 
 
+def cut_hashes(keys: DataFrame, column: str, n_train: int, n_val: int, salt: str = R.SALT) -> tuple[str | None, str | None]:
+    """The hashes of ranks n_train and n_train + n_val (from 0) of distinct keys; None where there is no such rank."""
+    h = keys.select(split_hash(F.col(column), salt).alias("h"))
+    return _cuts(h, _groups(h), n_train, n_val)
+
+
 def split_by_cuts(key: Column, cuts: tuple[str | None, str | None], salt: str = R.SALT) -> Column:
     h = split_hash(key, salt)
     first = F.lit(True) if cuts[0] is None else h < F.lit(cuts[0])
@@ -71,25 +75,30 @@ def split_by_cuts(key: Column, cuts: tuple[str | None, str | None], salt: str =
 
 
 def split_rank_rows(df: DataFrame, key: str, fractions: tuple[float, float, float] = R.FRACTIONS, salt: str = R.SALT) -> DataFrame:
-    """Adds split by row, with floor sizes; keys are unique ids."""
-    train, val, _ = sizes(df.count(), fractions, half_even=False)
-    return df.withColumn("split", split_by_cuts(F.col(key), cut_hashes(df, key, train, val, salt), salt))
+    """Adds split by row, with floor sizes; keys are unique ids. The keys' hashes are made and written once, and counted from there."""
+    check_fractions(fractions)
+    h = written(df.select(split_hash(F.col(key), salt).alias("h")), "hashes")
+    top = _groups(h)
+    train, val, _ = sizes(sum(n for _, n in top), fractions, half_even=False)
+    return df.withColumn("split", split_by_cuts(F.col(key), _cuts(h, top, train, val), salt))
 
 
 def split_grouped_seeds(df: DataFrame, seed: str, fractions: tuple[float, float, float] = R.FRACTIONS, salt: str = R.SALT, allow_empty: bool = False) -> DataFrame:
     """Adds split by seed, with half-even sizes over distinct seeds: all rows of a seed are in one split.
 
-    A requested split that would be empty is an error, unless allow_empty; so is an empty table.
+    A requested split that would be empty is an error, unless allow_empty; so is an empty table. The table is read once for its
+    seeds: the distinct hashes are written, and counted from there.
     """
     check_fractions(fractions)
-    seeds = df.select(seed).where(F.col(seed).isNotNull()).distinct()
-    n = seeds.count()
+    h = written(df.where(F.col(seed).isNotNull()).select(split_hash(F.col(seed), salt).alias("h")).distinct(), "hashes")
+    top = _groups(h)
+    n = sum(k for _, k in top)
     if not n:
         raise ValueError("no seeds")
     got = sizes(n, fractions, half_even=True)
     if not allow_empty and (empty := [name for name, f, k in zip(NAMES, fractions, got, strict=True) if f > 0 and k == 0]):
         raise ValueError(f"{n} seeds leave {empty} empty")
-    return df.withColumn("split", split_by_cuts(F.col(seed), cut_hashes(seeds, seed, got[0], got[1], salt), salt))
+    return df.withColumn("split", split_by_cuts(F.col(seed), _cuts(h, top, got[0], got[1]), salt))
 
 
 def expect_nonempty_split(n: Column, fractions: tuple[float, float, float] = R.FRACTIONS) -> Column:
@@ -114,6 +123,16 @@ def verify_no_leakage(df: DataFrame, group: str = "seed_id", split: str = "split
     return leaks(df, group, split).isEmpty()
 
 
+def without_leaks(df: DataFrame, group: str = "seed_id", split: str = "split") -> DataFrame:
+    """The same rows, but reading or writing them fails if a group is in two splits.
+
+    The check is a part of the plan, a subquery over the two columns alone that is done before the first row: no job
+    runs while the frame is made, and nothing is written if it fails.
+    """
+    found = leaks(df.select(group, split), group, split).agg(F.assert_true(F.count("*") == 0, F.concat(F.count("*").cast("string"), F.lit(" groups are in two splits"))).alias("ok"))
+    return df.where(found.scalar().isNull())
+
+
 def shared_seeds(df: DataFrame, group: str = "seed_id", split: str = "split") -> DataFrame:
     """(one, other, group): groups that two splits have in common, for each pair of splits. Empty if there is no leak."""
     own = df.select(group, split).distinct().groupBy(group).agg(F.collect_set(split).alias("all")).where(F.size("all") > 1)

@@ -28,9 +28,15 @@ def new_tokens(plan: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """key, vector: the mean by position; of a single vector, that vector."""
-    cells = rows.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return cells.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("vector"))
+    """key, vector: the mean by position; of a single vector, that vector. Null vectors don't count; a key's vectors are equally long.
+
+    Whole vectors are summed up before and after one shuffle, a row for each key and task, and never taken apart.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = rows.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.transform(vector, lambda v: v.cast("double"))).alias("_v"))
+    return x.groupBy(key).agg(Summarizer.mean(F.col("_v")).alias("_m")).select(key, vector_to_array("_m").alias("vector"))
 
 
 def warm_start(plan: DataFrame, anchors: DataFrame, base: DataFrame) -> DataFrame:

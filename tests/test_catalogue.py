@@ -13,7 +13,8 @@ NAMES = [
     "sanitize_text", "word_count", "audit_counts", "map_category", "severity_scan3", "severity_cascade5", "row_surrogate_id", "split_rank_rows", "split_grouped_seeds", "expand_variants",
     "manifest_rollup", "snk_manifest", "clean_build", "variant_build", "vocab_plan", "embedding_warm_start", "cross_entropy", "ordinal_confusion", "stream_dedupe_ids", "stream_running_metrics", "leak_audit_by_content",
     "src_notes_csv", "src_notes_counts", "snk_raw_snapshot", "snk_clean_metadata", "snk_label_space", "label_index", "set_disjoint_splits", "set_equal_labels", "phrase_context_share", "join_split_ids",
-    "perturb_match_case", "nan_to_null", "provenance_cols", "embedding_copy_audit", "linear_head_scores", "first_vector_pool", "pipeline_summary",
+    "perturb_text", "perturb_audit", "expect_deterministic", "variant_build_perturbed", "n_seeds_sketch", "snk_dataset_one_split", "leak_audit_near_copies", "stream_quarantine_sinks", "stream_ingest_counts", "stream_epoch_metrics",
+    "anchor_mean_vector", "audit_filter", "src_split", "perturb_match_case", "nan_to_null", "provenance_cols", "embedding_copy_audit", "linear_head_scores", "first_vector_pool", "pipeline_summary",
 ]
 
 

@@ -1,5 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from tessera.functions.label import map_category
 from tessera.operators import quality as Q, split as S, vectors as V
@@ -141,6 +141,11 @@ def test_notes_from_a_file(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == rows and back.columns[0] == "seed_id"
     assert tuple(notes.notes_counts(back).first()) == (4, 3, 1)
     assert {r["seed_id"] for r in notes.notes_validated(back).collect()} == {"1", "3", "4"}
+    declared = notes.read_notes(spark, f"file://{tmp_path}/n", schema=T.StructType([T.StructField("transcription", T.StringType()), T.StructField("row", T.IntegerType())]))
+    assert [f.dataType.simpleString() for f in declared.schema] == ["string", "string", "string"]  # the id is a string under any name
+    (tmp_path / "n" / "part-other.csv").write_text('row,medical_specialty,transcription\n9,x,y\n')
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        notes.read_notes(spark, f"file://{tmp_path}/n").collect()
 
 
 def test_nan_becomes_null(spark, tmp_path):
@@ -175,6 +180,9 @@ def test_manifest(spark):
     x = spark.createDataFrame([("a", 0, "train", "S1"), ("a", 1, "train", "S4"), ("b", 0, "val", None), ("c", 0, "val", "S4")], "seed_id string, v int, split string, s string")
     r = summary.manifest(x, {"s": "severities", "split": "split_rows"}).first()
     assert (r["n_rows"], r["n_seeds"], r["severities"], r["split_rows"], r["split_seeds"]) == (4, 3, {"S1": 1, "S4": 2}, {"train": 2, "val": 2}, {"train": 1, "val": 2})
+    assert r["parameters"] == {}
+    told = summary.manifest(x, {"s": "severities"}, parameters=summary.run_parameters("notes.csv", 0.5)).first()["parameters"]
+    assert told == {"source": "notes.csv", "perturbation_rate": "0.5", "split_fractions": "0.8/0.1/0.1", "split_seed": "1337"}
     assert r["leakage_verified"] and len(r["caveats"]) == 3 and r["build_timestamp_utc"].endswith("Z")
     assert not summary.manifest(x.unionAll(x.withColumn("split", F.lit("test"))), {"s": "severities"}).first()["leakage_verified"]
 
@@ -206,6 +214,189 @@ def test_linear_probe_learns(spark):
     assert x.where("prediction = y").count() >= 85
 
 
+def test_counts_come_from_the_pass_that_writes(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    x = spark.createDataFrame([("1", "a b", "x"), ("2", None, "x"), ("3", "", None)], "seed_id string, transcription string, medical_specialty string").repartition(3)
+    assert notes.archive_notes(x, f"file://{tmp_path}/a") == {"n_before": 3, "n_after": 2, "n_null_text": 1}
+    assert spark.read.parquet(f"file://{tmp_path}/a").count() == 2
+    assert notes.archive_notes(x.limit(0), f"file://{tmp_path}/b") == {"n_before": 0, "n_after": 0, "n_null_text": 0}
+    y = spark.createDataFrame([(k, t, "Surgery" if k % 2 else " ") for k, t in enumerate(["One two three", None, "one two", "a b c d", "", "x y z"])], "doc_id long, text string, raw_category string")
+    r = builds.build_summary(y, "doc_id").first()
+    # texts 0, 2, 4 have no category; 2, 4 are short
+    assert r.asDict() == {"n_raw": 5, "n_kept": 2, "n_dropped": 3, "n_no_category": 3, "n_short": 2, "n_train": 1, "n_val": 0, "n_test": 1}
+    notes.write_dataset(spark.createDataFrame([("a", "x", "val"), ("b", " ", "val"), ("c", "y", "train")], "id string, text string, split string"), f"file://{tmp_path}/d")
+    seen = Observation("split")
+    assert notes.read_split(spark, f"file://{tmp_path}/d", "val", seen=seen).count() == 1 and seen.get == {"n_before": 2, "n_blank": 1}
+
+
+def test_cleaning_is_done_once(spark, monkeypatch):
+    from tessera.catalogue import clinical
+
+    plans = []
+    monkeypatch.setattr(builds, "written", lambda df, name, f=builds.written: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, name))[1])
+    last = builds.clean_build(clinical(spark, "/root/testdata/sf0.001"), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert [p.count("san_nfc(") for p in plans] == [1] and "san_nfc" not in last
+
+
+def test_a_leak_stops_the_write(spark, tmp_path):
+    x = spark.createDataFrame([("a", "train"), ("a", "train"), ("b", "val")], "seed_id string, split string")
+    S.without_leaks(x).write.parquet(f"file://{tmp_path}/good")
+    assert spark.read.parquet(f"file://{tmp_path}/good").count() == 3
+    leaky = S.without_leaks(x.unionAll(spark.createDataFrame([("b", "test")], x.schema)))
+    with pytest.raises(Exception, match="1 groups are in two splits"):
+        leaky.write.parquet(f"file://{tmp_path}/bad")
+    assert not (tmp_path / "bad" / "_SUCCESS").exists() and not list((tmp_path / "bad").glob("*.parquet"))
+    assert S.without_leaks(x.limit(0)).count() == 0
+
+
+def test_one_split_is_replaced_alone(spark, tmp_path):
+    x = spark.createDataFrame([(k, s) for k in range(4) for s in ("train", "val", "test")], "k int, split string")
+    path, files = f"file://{tmp_path}/d", lambda s: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "d" / f"split={s}").glob("*.parquet")}
+    notes.write_dataset(x, path)
+    before = {s: files(s) for s in ("train", "val", "test")}
+    for _ in range(2):
+        notes.replace_splits(spark.createDataFrame([(9, "val")], x.schema), path)
+        assert files("train") == before["train"] and files("test") == before["test"] and files("val") != before["val"]
+        assert sorted(map(tuple, spark.read.parquet(path).select("k", "split").collect())) == sorted([(k, s) for k in range(4) for s in ("train", "test")] + [(9, "val")])
+
+
+def test_digests_do_not_depend_on_order_partitions_or_plans(spark):
+    from tessera.operators.expand import expand_variants
+
+    x = spark.createDataFrame([(k, None if k % 5 == 0 else f"t{k % 7}") for k in range(100)], "k int, t string")
+    assert Q.expect_same(x, x.repartition(7).orderBy(F.desc("k"))).first()["same"]
+    assert not Q.expect_same(x, x.unionAll(x.limit(1))).first()["same"]
+    assert not Q.expect_same(x, x.withColumn("t", F.when(F.col("k") == 3, "other").otherwise(F.col("t")))).first()["same"]
+    assert Q.digest(x.limit(0)).first().asDict() == {"n": 0, "digest": "0"}
+    seeds = spark.createDataFrame([(str(k), "mera dard doctor ko") for k in range(20)], "seed_id string, text string")
+    found, before = set(), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for adaptive in ("true", "false"):
+            spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+            for n in (1, 5):
+                found.add(tuple(Q.digest(expand_variants(seeds.repartition(n)).select("tracking_id", "text")).first()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(found) == 1 and next(iter(found))[0] == 80
+
+
+def test_sketches_of_splits_add_up(spark):
+    from tessera.operators import summary
+    from tessera.sources.shared import written
+
+    x = spark.range(30_000).select((F.col("id") % 20_000).cast("string").alias("seed_id"), F.when(F.col("id") % 10 < 8, "train").otherwise("val").alias("split"))
+    kept = written(summary.seed_sketches(x), "sketches")
+    other = summary.seed_sketches(x.withColumn("split", F.col("seed_id").cast("int") % 3))
+    told = summary.sketched_seeds(kept).first()["n"]
+    assert abs(told - summary.sketched_seeds(other).first()["n"]) <= 0.01 * 20_000 and abs(told - 20_000) <= 0.02 * 20_000
+    by = {r["split"]: r["n"] for r in summary.sketched_seeds(kept, "split").collect()}
+    exact = {r["split"]: r["n"] for r in summary.with_total(x, "split", F.count_distinct("seed_id")).collect()}
+    assert exact == {"train": 16_000, "val": 4_000, "all": 20_000} and all(abs(by[k] - exact[k]) <= 0.02 * exact[k] for k in by)
+
+
+def test_near_copies_between_splits(spark):
+    from tessera.operators.near_copies import near_leaks
+
+    text = [f"w{k}" for k in range(40)]
+    near = [*text[:39], "other"]  # 35 of 37 shingles
+    far = [*text[:20], *(f"v{k}" for k in range(20))]
+    rows = [(1, " ".join(text), "train"), (2, " ".join(text), "train"), (3, " ".join(near).upper(), "test"), (4, " ".join(far), "val"), (5, " ".join(text), "val"), (6, None, "val"), (7, " ", "train"), (8, " ", "test"), (9, "two words", "train"), (10, "Two  words", "test"), (11, " ".join(text), None)]
+    got = {tuple(r) for r in near_leaks(spark.createDataFrame(rows, "doc_id long, text string, split string"), "doc_id").collect()}
+    assert got == {("train", "val", 1, 5, 36, 36), ("train", "test", 1, 3, 35, 37), ("val", "test", 5, 3, 35, 37), ("train", "test", 9, 10, 1, 1)}
+    assert near_leaks(spark.createDataFrame([], "doc_id long, text string, split string"), "doc_id").count() == 0
+
+
+def test_both_heads_learn_from_words(spark):
+    from tessera.operators import probe
+
+    heads = {"department": "department_code", "severity": "severity"}
+    words = {"CARDIO": "heart valve pulse", "ORTHO": "knee bone joint", "ENT": "ear nose throat"}
+    tiers = {"S1": "arrest collapse", "S4": "steady calm"}
+    rows = [(f"{d}{s}{k}", d, s, f"{words[d].split()[k % 3]} filler{k % 11} {tiers[s].split()[k % 2]}", 0.25 if k % 4 == 0 else 1.0, "train" if k % 5 else "test") for d in words for s in tiers for k in range(30)]
+    rows.append(("none", "ENT", "S4", None, 1.0, "test"))
+    x = probe.indexed(spark.createDataFrame(rows, "seed_id string, department_code string, severity string, text string, weight double, split string"), heads)
+    got = probe.predict(probe.fit_heads(x.where("split = 'train'"), heads, weight="weight"), x)
+    assert got.columns[-2:] == ["department_prediction", "severity_prediction"] and got.count() == len(rows)
+    held = {r["split"]: r for r in probe.accuracies(got, heads).collect()}["test"]
+    assert held["n"] == 37 and held["department_accuracy"] > 0.95 and held["severity_accuracy"] > 0.95
+    # rows of no weight teach nothing: the second half has its departments exchanged
+    y = spark.createDataFrame([(d, w, t) for t in ("heart", "knee") for d, w in (("CARDIO", float(t == "heart")), ("ORTHO", float(t == "knee"))) for _ in range(5)], "department_code string, weight double, text string")
+    y = probe.indexed(y, {"department": "department_code"})
+    only = probe.predict(probe.fit_heads(y, {"department": "department_code"}, weight="weight"), y).where("weight = 1")
+    assert only.where("department_prediction = department_index").count() == only.count() == 10
+
+
+def put_rows(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_two_sinks_hold_each_row_once_after_a_failure(spark, tmp_path):
+    from tessera.streaming import streams
+
+    source, sinks = f"file://{tmp_path}/in", streams.quarantine_sinks(f"file://{tmp_path}/known", f"file://{tmp_path}/quarantine")
+
+    def run(sure=lambda name, batch: None):
+        live = streams.quarantine(spark.readStream.schema("id int, raw_category string").parquet(source))
+        streams.run_split(live.select("id", "raw_label", "known"), sinks, f"file://{tmp_path}/offsets", sure)
+
+    def fail(name, batch):
+        if name == "known" and batch == 1:
+            raise RuntimeError("lost in the middle of a batch")
+
+    rows = spark.createDataFrame([(k, "Surgery" if k % 3 else "Nope") for k in range(30)], "id int, raw_category string")
+    rows.where("id < 12").write.mode("append").parquet(source)
+    run(fail)
+    rows.where("id >= 12").write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="middle of a batch"):
+        run(fail)
+    assert spark.read.parquet(sinks["known"][0]).count() == 20 and spark.read.parquet(sinks["quarantine"][0]).count() == 4
+    run()
+    run()
+    got = {name: sorted(r["id"] for r in spark.read.parquet(path).collect()) for name, (path, _) in sinks.items()}
+    assert got == {"known": [k for k in range(30) if k % 3], "quarantine": [k for k in range(30) if k % 3 == 0]}
+
+
+def test_epochs_reset_the_metrics_and_timers_end_them(spark, tmp_path):
+    from tessera.catalogue import _rocksdb
+    from tessera.streaming import streams
+
+    schema = "ts string, head string, epoch int, loss double, n int, correct int"
+    batches = [
+        [("2024-01-01 00:00:00", "a", 1, 1.0, 10, 5), ("2024-01-01 00:01:00", "a", 1, 3.0, 30, 5), ("2024-01-01 00:02:00", "b", 1, 2.0, 1, 1)],
+        [("2024-01-01 00:03:00", "a", 1, 5.0, 10, 2), ("2024-01-01 00:04:00", "a", 2, 1.0, 10, 5), ("2024-01-01 00:05:00", "a", 2, 2.0, 30, 30)],
+        # a row of an epoch that has gone out, and one so late that all open epochs end
+        [("2024-01-01 05:00:00", "a", 1, 9.0, 10, 0), ("2024-01-01 05:00:00", "c", 7, 1.0, 1, 1)],
+    ]
+    rows = [r for b in batches[:2] for r in b]
+    want = {}
+    for key, epoch in {(r[1], r[2]) for r in rows}:
+        x = spark.createDataFrame([r[3:] for r in rows if r[1:3] == (key, epoch)], "loss double, n int, correct int")
+        m = V.running_metrics(x).first()
+        want[key, epoch] = (round(m["loss"], 9), round(m["accuracy"], 9), sum(r[4] for r in rows if r[1:3] == (key, epoch)))
+    seen = []
+    for b in batches:
+        put_rows(spark, f"file://{tmp_path}/in", b, schema)
+        with _rocksdb(spark):  # each run is a restart
+            live = spark.readStream.schema(schema.replace("ts string", "ts timestamp")).parquet(f"file://{tmp_path}/in")
+            streams.run_once(streams.epoch_metrics(live, "head", "epoch", "loss", "n", "correct", "ts"), f"file://{tmp_path}/out", f"file://{tmp_path}/offsets")
+        seen.append({(r["key"], r["epoch"]): (round(r["loss"], 9), round(r["accuracy"], 9), r["n"]) for r in spark.read.schema(streams.EPOCHS).parquet(f"file://{tmp_path}/out").collect()})
+    assert seen[0] == {} and seen[1] == {("a", 1): want["a", 1]} and seen[2] == want
+
+
+def test_a_listener_sums_what_a_stream_has_seen(spark, tmp_path):
+    from tessera.streaming import streams
+
+    def run(name):
+        live = spark.readStream.schema("transcription string, medical_specialty string").parquet(f"file://{tmp_path}/in")
+        return streams.run_counted(notes.notes_validated(live, seen=name), f"file://{tmp_path}/out", f"file://{tmp_path}/offsets", name)
+
+    for texts, n in ((["a", None], 1), (["b", None, None], 2)):
+        spark.createDataFrame([(t, "x") for t in texts], "transcription string, medical_specialty string").write.mode("append").parquet(f"file://{tmp_path}/in")
+        assert run(f"seen{n}") == {"n_before": len(texts), "n_after": 1, "n_null_text": n}
+    assert spark.read.schema("transcription string, medical_specialty string").parquet(f"file://{tmp_path}/out").count() == 2
+
+
 def test_splits_are_read_alone(spark, tmp_path):
     x = spark.createDataFrame([("a", "x", "train"), ("b", None, "train"), ("c", " ", "train")], "tracking_id string, text string, split string")
     notes.write_dataset(x, f"file://{tmp_path}/d")
