@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -45,7 +46,8 @@ ATTACKS = (INSULT, THREAT, VIOLENT)
 
 CLOSED = {w: x for x, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (INTENT, INTENTS), (VIOLENT, VIOLENCE)) for w in words}
 
-PREFIXES = (3, 4, 5, 6)
+#: Letters of the word beginnings that are learned; longer words are told by these and as whole words.
+BEGINNINGS = range(3, 13)
 
 
 @dataclass
@@ -113,16 +115,16 @@ def grammar() -> Transducer:
 
 
 #: What the evidence of a text is; the first says whether anything matches.
-EVIDENCE = ("match", "strongest clause", "log of the clauses' sum", "log of different attacking words left unweakened", "log of different words", "log of threats")
+EVIDENCE = ("match", "strongest clause", "log of the clauses' sum", "log of clauses with an unweakened attack", "log of threats")
 
 
 @dataclass
 class ToxicityModel:
-    """Learned insult patterns (`=word`, `^beginning`) with weights, the weight of a threat before learning, and how EVIDENCE gives a score."""
+    """Learned insult patterns (`=word`, `^beginning`, `+beginning` with more letters after it) with weights, the weight of a threat before learning, and how EVIDENCE gives a score."""
 
     patterns: dict[str, float] = field(default_factory=dict)
     threat: float = 4.0
-    coefficients: list[float] = field(default_factory=lambda: [-2.5, 0.8, 0.2, 0.0, 0.0, 0.0])
+    coefficients: list[float] = field(default_factory=lambda: [-2.5, 0.8, 0.2, 0.0, 0.0])
     base: float = 0.03
 
     def score(self, evidence: list[float]) -> float:
@@ -135,11 +137,16 @@ class ToxicityModel:
         self.name = uuid.uuid4().hex
         self.words = {p[1:]: w for p, w in self.patterns.items() if p[0] == "="}
         self.beginnings = {p[1:]: w for p, w in self.patterns.items() if p[0] == "^"}
-        self.lengths = sorted({len(p) for p in self.beginnings})
+        self.stems = {p[1:]: w for p, w in self.patterns.items() if p[0] == "+"}
+        self.lengths = sorted({len(p) for p in [*self.beginnings, *self.stems]})
 
     def weight(self, word: str) -> float:
         """The weight of the strongest insult pattern that a lower-case word matches."""
-        return max([self.words.get(word, 0.0), *(self.beginnings.get(word[:k], 0.0) for k in self.lengths if len(word) >= k)])
+        found = self.words.get(word, 0.0)
+        for k in self.lengths:
+            if len(word) >= k:
+                found = max(found, self.beginnings.get(word[:k], 0.0), self.stems.get(word[:k], 0.0) if len(word) > k else 0.0)
+        return found
 
     def symbol(self, word: str) -> tuple[str, float]:
         if (w := self.weight(word)) > 0:
@@ -173,39 +180,39 @@ _seen: dict[str, Seen] = {}
 def features(words: set[str]) -> set[str]:
     """Patterns that the distinct lower-case words of a text match."""
     out = {"=" + w for w in words}
-    for k in PREFIXES:
-        out.update("^" + w[:k] for w in words if len(w) >= k)
+    for k in BEGINNINGS:
+        words = [w for w in words if len(w) >= k]
+        out.update("^" + w[:k] for w in words)
+        out.update("+" + w[:k] for w in words if len(w) > k)
     return out
 
 
 def _count(wanted: frozenset[str] | None):
-    """(text) rows -> partial counts of texts with each pattern; only of the wanted ones if they are given."""
+    """(text) rows -> partial counts for each pattern: texts with it, and pairs of such a text and a word of its; only of the wanted ones if they are given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        seen: set[str] = set()
-        of: dict[str, set[str]] = {}
+        texts: Counter = Counter()
+        pairs: Counter = Counter()
+        of: dict[str, list[str]] = {}
         for b in slices(batches):
             for text in b.column(0).to_pylist():
-                words = set(WORD.findall((text or "").lower()))
-                if wanted is None:
-                    total.update(features(words))
-                    continue
-                for w in words - seen:
-                    if own := features({w}) & wanted:
-                        of[w] = own
-                seen |= words
-                total.update({f for w in words & of.keys() for f in of[w]})
-            if len(total) > 500_000:
-                yield _partial(total)
-                total = Counter()
-        yield _partial(total)
+                own: Counter = Counter()
+                for w in set(WORD.findall((text or "").lower())):
+                    if (found := of.get(w)) is None:
+                        found = of[w] = sorted(features({w}) if wanted is None else features({w}) & wanted)
+                    own.update(found)
+                texts.update(own.keys())
+                pairs.update(own)
+            if len(texts) > 500_000 or len(of) > 200_000:
+                yield _partial(texts, pairs)
+                texts, pairs, of = Counter(), Counter(), {}
+        yield _partial(texts, pairs)
 
     return run
 
 
-def _partial(total: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"pattern": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+def _partial(texts: Counter, pairs: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"pattern": pa.array(list(texts), pa.string()), "n": pa.array(list(texts.values()), pa.int64()), "pairs": pa.array([pairs[p] for p in texts], pa.int64())})
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,23 +249,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_docs: int = 20_000, least: f
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel()
-    schema = "pattern string, n bigint"
+    schema = "pattern string, n bigint, pairs bigint"
     # no pattern of fewer toxic texts reaches the ratio, even if it stands in no other text
     enough = max(5, math.ceil(least / (2 * math.log((n1 + n0) / n1))))
-    ones = texts.where("toxic = 1").select("text").mapInArrow(_count(None), schema).groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= enough)
-    pos = {x["pattern"]: x["n"] for x in ones.collect()}
-    zeros = texts.where("toxic = 0").select("text").mapInArrow(_count(frozenset(pos)), schema).groupBy("pattern").agg(F.sum("n").alias("n"))
-    neg = {x["pattern"]: x["n"] for x in zeros.collect()}
+    counted = lambda label, wanted: texts.where(F.col("toxic") == label).select("text").mapInArrow(_count(wanted), schema).groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"))
+    pos = {x["pattern"]: (x["n"], x["pairs"]) for x in counted(1, None).where(F.col("n") >= enough).collect()}
+    neg = {x["pattern"]: (x["n"], x["pairs"]) for x in counted(0, frozenset(pos)).collect()}
     model = ToxicityModel(select_patterns(pos, neg, n1, n0, least))
     # about max_fit_docs rows of EVIDENCE numbers
     known = texts.select("doc_id", "text").mapInArrow(_score(model), SCORED).join(F.broadcast(rows), "doc_id").select("toxic", "evidence").collect()
     return calibrate(model, np.array([x["evidence"] for x in known]), np.array([x["toxic"] for x in known]))
 
 
-def select_patterns(pos: dict[str, int], neg: dict[str, int], n1: int, n0: int, least: float) -> dict[str, float]:
-    """Patterns that stand in toxic texts far more often than in others, with log ratios.
+def select_patterns(pos: dict[str, tuple[int, int]], neg: dict[str, tuple[int, int]], n1: int, n0: int, least: float) -> dict[str, float]:
+    """Patterns that stand in toxic texts far more often than in others, with log ratios. Counts are of texts, and of texts' words.
 
-    A beginning must do so without what longer patterns explain better; what a chosen beginning explains as well goes.
+    A beginning must do so without the words that longer patterns explain better; what a chosen beginning explains as well goes.
     """
 
     def measure(a: float, b: float) -> tuple[float, float]:
@@ -267,23 +273,29 @@ def select_patterns(pos: dict[str, int], neg: dict[str, int], n1: int, n0: int,
         return ratio, 2 * sum(o * math.log(o / e) for o, e in ((a, rate * n1), (b, rate * n0)) if o > 0)
 
     chosen: dict[str, tuple[float, int, int]] = {}
-    # from long to short; whole words come before beginnings
-    for p in sorted(pos, key=lambda p: (p[0] == "^", -len(p), p)):
-        a, b = pos[p], neg.get(p, 0)
+    stems: list[tuple[str, str]] = []  # of the chosen patterns, sorted: those that begin alike are neighbours
+    # whole words, then beginnings from long to short, of one stem the narrower first
+    for p in sorted(pos, key=lambda p: (p[0] != "=", -len(p), p[0] == "^", p)):
+        (a, words1), (b, words0) = pos[p], neg.get(p, (0, 0))
         ratio, g = measure(a, b)
         if ratio <= 2 or g < least:
             continue
-        if p[0] == "^":
-            longer = [q for q in chosen if q[1:].startswith(p[1:])]
-            better = [q for q in longer if chosen[q][0] > ratio + 1]
-            rest, rest_g = measure(max(0, a - sum(chosen[q][1] for q in better)), max(0, b - sum(chosen[q][2] for q in better)))
+        stem = p[1:]
+        if p[0] != "=":
+            covered = [kind + q for q, kind in stems[bisect_left(stems, (stem, "")) : bisect_left(stems, (stem + "\U0010ffff", ""))] if p[0] == "^" or len(q) > len(stem)]
+            better = [q for q in covered if chosen[q][0] > ratio + 1]
+            # a word counts with the shortest of them
+            outer = [q for q in better if not any(r != q and r[0] != "=" and q[1:].startswith(r[1:]) and (r[0] == "^" or len(q) > len(r)) for r in better)]
+            rest, rest_g = measure(max(0, words1 - sum(chosen[q][1] for q in outer)), max(0, words0 - sum(chosen[q][2] for q in outer)))
             if better and (rest <= 2 or rest_g < least):
                 continue
             ratio = min(ratio, rest) if better else ratio
-            for q in longer:
+            for q in covered:
                 if q not in better:
                     del chosen[q]
-        chosen[p] = ratio, a, b
+                    stems.remove((q[1:], q[0]))
+        chosen[p] = ratio, words1, words0
+        insort(stems, (stem, p[0]))
     return {p: x[0] for p, x in chosen.items()}
 
 
@@ -321,26 +333,27 @@ def _score(model: ToxicityModel):
                 words = set(WORD.findall(lower))
                 seen.learn(words, model)
                 hits = words & seen.attacks
-                clauses, strong, threats = [], set(), 0
+                clauses, strong, threats = [], 0, 0
                 if hits:
                     begin = 0
                     for stop in [*CLAUSE.finditer(lower), None]:
                         end = stop.start() if stop else len(lower)
                         own = WORD.findall(lower, begin, end)
                         if not hits.isdisjoint(own):
-                            state, total = machine.start, 0.0
+                            state, total, attacked = machine.start, 0.0, False
                             for w in own:
                                 symbol, weight = seen.special.get(w, plain)
                                 state, out, factor = machine.step(state, symbol)
                                 if weight:
                                     total += weight * factor
                                     if factor >= 1:
-                                        strong.add(w)
+                                        attacked = True
                                         threats += out == THREAT
+                            strong += attacked
                             clauses.append({"begin": begin, "end": end, "weight": total})
                         begin = stop.end() if stop else end
                 weights = [c["weight"] for c in clauses]
-                evidence.append([1.0, max(weights), math.log1p(sum(weights)), math.log1p(len(strong)), math.log1p(len(words)), math.log1p(threats)] if weights else [0.0] * len(EVIDENCE))
+                evidence.append([1.0, max(weights), math.log1p(sum(weights)), math.log1p(strong), math.log1p(threats)] if weights else [0.0] * len(EVIDENCE))
                 scores.append(model.score(evidence[-1]))
                 found.append(clauses)
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "score": pa.array(scores, pa.float64()), "evidence": pa.array(evidence, pa.list_(pa.float64())), "clauses": pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())])))})

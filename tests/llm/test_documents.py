@@ -318,3 +318,73 @@ def test_toxicity_learns(spark):
     assert all((got[k] >= 0.5) == (k % 5 == 0) for k in range(400)) and got[1000] < 0.5 and got[1001] < 0.5
     empty = toxicity.fit(frame(spark, []), spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert toxicity.toxicity(frame(spark, []), empty).count() == 0
+
+
+def plain_evidence(model, text):
+    """Evidence of a text by five passes over each clause, one for each transducer, without composing them."""
+    import math
+    import re
+
+    text = (text or "").lower()
+
+    def symbol(w):
+        weights = [v for p, v in model.patterns.items() if (p[0] == "=" and w == p[1:]) or (p[0] == "^" and w.startswith(p[1:])) or (p[0] == "+" and w.startswith(p[1:]) and len(w) >= len(p))]
+        if weights:
+            return "i", max(weights)
+        for s, words, weight in (("v", toxicity.VIOLENCE, model.threat), ("m", toxicity.INTENTS, 0.0), ("y", toxicity.TARGETS, 0.0), ("n", toxicity.NEGATIONS, 0.0), ("r", toxicity.REPORTS, 0.0)):
+            if w in words:
+                return s, weight
+        return ".", 0.0
+
+    sums, strong, threats = [], 0, 0
+    for clause in re.split(r"[.!?;:\n]+", text):
+        own = [symbol(w) for w in re.findall(r"[^\W\d_]+", clause)]
+        s = [x for x, _ in own]
+        if not {"i", "v"} & set(s):
+            continue
+        # the words since the last of a kind; what is too far off doesn't count
+        near = lambda k, kind, scope: any(x in kind for x in s[max(0, k - scope) : k])
+        reported = s.index("r") if "r" in s else len(s)
+        total, attacked = 0.0, False
+        for k, (x, weight) in enumerate(own):
+            if x not in "iv":
+                continue
+            factor = 1.0
+            if x == "i" and near(k, "i", 3):
+                factor *= 1.25
+            threat = x == "v" and near(k, "m", 5)
+            if x == "v" and not threat:
+                factor *= 0.25
+            if near(k, "y", 6):
+                factor *= 1.25
+            if near(k, "n", 4):
+                factor *= 0.25
+            if k > reported:
+                factor *= 0.25
+            total += weight * factor
+            attacked |= factor >= 1
+            threats += factor >= 1 and threat
+        strong += attacked
+        sums.append(total)
+    return [1.0, max(sums), math.log1p(sum(sums)), math.log1p(strong), math.log1p(threats)] if sums else [0.0] * 5
+
+
+def test_scores_of_a_fixed_model_over_all_documents(spark):
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rows = [(r["doc_id"], r["text"]) for r in docs] + [(None, "you will kill the fool"), (5, None), (5, ""), (5, "don't kill. he said kill; FOOL fools fool!"), (7, "thing of a thing " * 20_000)]
+    m = toxicity.ToxicityModel({"=fool": 6.0, "^thi": 1.5, "+fool": 2.0, "=of": 0.5, "^und": 1.0, "+est": 3.0})
+    got = toxicity.toxicity(frame(spark, rows), m).collect()
+    assert len(got) == len(rows) and sum(r["evidence"][0] for r in got) > 100
+    plain = [(i, plain_evidence(m, t)) for i, t in rows]
+    want = sorted(((-1 if i is None else i), [round(x, 9) for x in e], round(m.score(e), 9)) for i, e in plain)
+    assert sorted(((-1 if r["doc_id"] is None else r["doc_id"]), [round(x, 9) for x in r["evidence"]], round(r["score"], 9)) for r in got) == want
+
+
+def test_patterns_are_chosen_by_their_words():
+    # the bare stem is common; with more letters after it, it tells; some of those tell more
+    count = lambda texts: {p: (sum(p in toxicity.features(t) for t in texts), sum(p in toxicity.features({w}) for t in texts for w in t)) for p in set().union(*map(toxicity.features, texts))}
+    toxic = [{"plain", "stem" + "abcdefgh"[k % 8], "stem" + "abcdefgh"[k % 7]} for k in range(40)]
+    clean = [{"plain", "other"} for _ in range(400)] + [{"stem", "plain"} for _ in range(60)] + [{"stemz"}, {"stemh"}]
+    got = toxicity.select_patterns(count(toxic), count(clean), len(toxic), len(clean), 30.0)
+    m = toxicity.ToxicityModel(got)
+    assert all(m.weight("stem" + x) > 2 for x in "abcdefg") and m.weight("stem") == m.weight("plain") == m.weight("other") == m.weight("ste") == 0
