@@ -67,7 +67,9 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = archived(table(spark, sf_dir, "pages")).where("problem is null")
+    # a gap in an archive that was just written is an error
+    wrong = F.raise_error(F.concat(F.lit("an archive doesn't read back: "), F.col("problem"))).cast("string")
+    x = archived(table(spark, sf_dir, "pages")).withColumn("warc_type", F.when(F.col("problem").isNull(), F.col("warc_type")).otherwise(wrong))
     number = lambda c: F.expr(f"try_cast(substring({c}, {len(PREFIX) + 2}, length({c}) - {len(PREFIX) + 2}) as bigint)")
     return x.select(number("record_id").alias("page_id"), "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), F.col("warc_type").alias("record_type"), number("refers_to").alias("refers_to"))
 

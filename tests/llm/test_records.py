@@ -115,6 +115,55 @@ def test_several_records_in_a_member():
     assert [x.fields.get("warc-record-id") for x in found if x.problem is None] == ["<r0>", "<r1>", "<r4>"]
 
 
+def test_versions_and_folded_headers():
+    one = b"WARC/0.17\r\nWARC-Type: response\r\nWARC-Record-ID:\r\n <a>\r\nWARC-Target-URI: http://x/\r\n\t y\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for version in (b"0.17", b"0.18", b"1.0", b"1.1", b"2.0"):
+        for data in (one.replace(b"0.17", version), warc.member(one.replace(b"0.17", version)), b"junk" + warc.member(one.replace(b"0.17", version))):
+            (x,) = (f for f in warc.read_archive(data) if f.problem is None)
+            assert (x.fields["warc-record-id"], x.fields["warc-target-uri"], x.payload) == ("<a>", "http://x/ y", b"abc")
+
+
+def test_unproved_records_are_kept_and_named():
+    plain = [f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <{k}>\r\nContent-Length: 5\r\n\r\nbody{k}\r\n\r\n".encode() for k in range(3)]
+    proved = lambda data: [(f.fields.get("warc-record-id"), f.proved) for f in warc.read_archive(data) if f.problem is None]
+    assert proved(warc.member(b"".join(plain))) == [("<0>", True), ("<1>", True), ("<2>", True)]
+    assert proved(b"".join(plain)) == [("<0>", False), ("<1>", False), ("<2>", False)]
+    noise = b"WARC/1.0\r\nContent-Length: 99999\r\n\r\n" + hashlib.sha512(b"y").digest() * 1500
+    data = warc.member(b"".join(plain) + noise)
+    found = list(warc.read_archive(data[:-30] + warc.member(records(1)[0])))
+    assert [(f.fields.get("warc-record-id"), f.problem, f.proved) for f in found] == [("<0>", None, False), ("<1>", None, False), ("<2>", None, False), (None, found[3].problem, False), ("<r0>", None, True)]
+    assert found[3].problem.startswith("gzip: ") and list(warc.read_archive(data[:-30]))[-1].problem == "gzip member cut short"
+    assert found[2].inside[1] == found[3].inside[0] and found[3].end == found[4].begin
+
+
+def test_large_members_are_read_in_pieces(monkeypatch):
+    import tracemalloc
+    import zlib
+
+    body = b"0123456789abcdef" * 4096
+    z, parts = zlib.compressobj(1, zlib.DEFLATED, 31), []
+    for k in range(1_700):  # 111 MB of plain bytes
+        parts.append(z.compress(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(body)) + body + b"\r\n\r\n"))
+    data = b"".join([*parts, z.flush()])
+    tracemalloc.start()
+    n = 0
+    for x in warc.read_archive(data):
+        assert x.problem is None and x.proved and x.fields["warc-record-id"] == f"<{n}>" and x.payload_bytes == len(body) and x.end == len(data)
+        n += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 1_700 and peak < 50e6
+    # pieces of any size give the same records and gaps
+    r = records(40)
+    hurt = b"".join(r[:10]) + b"x" * 3000 + b"".join(r[10:30])[:-20] + b"".join(r[30:])
+    want = [(x.begin, x.end, x.problem) for x in warc.read_plain(hurt)]
+    assert [p is None for _, _, p in want].count(True) == 39 and want[-1][1] == len(hurt)
+    for step in (1, 7, 300, 1000):
+        monkeypatch.setattr(warc, "STEP", step)
+        assert [(x.begin, x.end, x.problem) for x in warc.read_plain(hurt)] == want
+        assert [x.problem for x in warc.read_archive(warc.member(hurt))] == [p for _, _, p in want]
+
+
 def test_spellings_of_digests_and_revisits():
     body = b"some payload"
     plain = warc.record("response", "a", None, body, warc.digest32(body), None)
