@@ -2,53 +2,60 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.ml.feature import HashingTF, MinHashLSH
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.text import let
 from ..sources.shared import written
 from .split import NAMES
 
 #: Words of a shingle, and the per cent of all shingles of two texts that near copies share.
 WORDS, PERCENT = 5, 75
-#: Hash tables: a pair of that similarity meets in none of them with a chance of 0.25 ** TABLES.
-TABLES = 16
+#: Bands of MinHash values, and values of a band: a pair of that similarity meets in none with a chance of (1 - 0.75 ** 2) ** 24 < 3e-9.
+BANDS, ROWS = 24, 2
 #: Places that shingles are hashed to for the search; what it finds is compared by the shingles themselves.
 PLACES = 1 << 20
 
 
 def shingles(text: Column, words: int = WORDS) -> Column:
-    """Distinct runs of so many words, lower case A-Z; of fewer words, all of them as one; of none, an empty array."""
+    """64-bit hashes of the distinct runs of so many words, lower case A-Z; of fewer words, of all of them as one; of none, an empty array."""
     low = F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda k: F.array_join(F.slice(w, k, words), " "))
-    made = F.element_at(F.transform(F.array(low), lambda w: F.when(F.size(w) > 0, F.array_distinct(runs(w)))), 1)
-    return F.coalesce(made, F.array().cast("array<string>"))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1))), lambda k: F.xxhash64(F.slice(w, k, words)))
+    return F.coalesce(let(low, lambda w: F.when(F.size(w) > 0, F.array_distinct(runs(w)))), F.array().cast("array<bigint>"))
 
 
 def near_leaks(df: DataFrame, key: str, text: str = "text", split: str = "split", percent: int = PERCENT) -> DataFrame:
     """one, other, one_key, other_key, n_shared, n_all: pairs of texts in two splits that share `percent` of all their shingles.
 
     Exact copies within a split count once, under their smallest key, so they aren't multiplied by each other; different
-    texts are searched by MinHash and then compared in full. Null and blank texts, and null splits, are in no pair.
+    texts meet by bands of MinHash values and are then compared in full. Null and blank texts, null keys, and splits of other names than the three, are in no pair; a key is one text of its split.
+    Only buckets that hold several splits go on, and only keys meet there; a group of many different near copies still gives
+    all its pairs across splits, as they are the result.
     """
-    x = df.select(F.col(split).alias("split"), F.col(key).alias("key"), F.col(text).alias("text")).where("split is not null and text is not null")
-    x = x.groupBy("split", F.sha2("text", 256).alias("content")).agg(F.min("key").alias("key"), F.min_by("text", "key").alias("text"))
-    x = x.select("split", "key", shingles(F.col("text")).alias("shingles")).where(F.size("shingles") > 0)
-    x = HashingTF(numFeatures=PLACES, binary=True, inputCol="shingles", outputCol="places").transform(x)
-    lsh = MinHashLSH(inputCol="places", outputCol="hashes", numHashTables=TABLES, seed=1)
+    x = df.select(F.col(split).alias("split"), F.col(key).alias("key"), F.col(text).alias("text")).where("split is not null and key is not null and text is not null").withColumn("content", F.sha2("text", 256))
+    # of exact copies one: told by keys and hashes, so that texts are dealt once
+    first = x.groupBy("split", "content").agg(F.min("key").alias("key"))
+    x = x.join(first.hint("merge"), ["split", "content", "key"], "left_semi")
+    x = written(x.select("split", "key", shingles(F.col("text")).alias("shingles")).where(F.size("shingles") > 0), "shingles")
+    if x.isEmpty():
+        return x.select(F.lit("").alias("one"), F.lit("").alias("other"), F.col("key").alias("one_key"), F.col("key").alias("other_key"), F.lit(0).alias("n_shared"), F.lit(0).alias("n_all"))
+    places = HashingTF(numFeatures=PLACES, binary=True, inputCol="shingles", outputCol="places").transform(x)
     # the model is its random numbers: it needs no rows but the number of places
-    model = lsh.fit(x.limit(1)) if not x.isEmpty() else None
-    if model is None:
-        return x.select(*(F.lit(None).cast("string").alias(c) for c in ("one", "other")), F.col("key").alias("one_key"), F.col("key").alias("other_key"), *(F.lit(0).alias(c) for c in ("n_shared", "n_all")))
-    x = written(model.transform(x), "hashed")
-    pairs = []
-    for one, other in combinations(NAMES, 2):
-        # a little below the threshold, as shingles may share a place
-        found = model.approxSimilarityJoin(x.where(F.col("split") == one), x.where(F.col("split") == other), 1.02 - percent / 100)
-        shared = F.size(F.array_intersect("datasetA.shingles", "datasetB.shingles"))
-        n_all = F.size("datasetA.shingles") + F.size("datasetB.shingles") - F.col("n_shared")
-        found = found.select(F.lit(one).alias("one"), F.lit(other).alias("other"), F.col("datasetA.key").alias("one_key"), F.col("datasetB.key").alias("other_key"), shared.alias("n_shared"), "datasetA", "datasetB")
-        pairs.append(found.withColumn("n_all", n_all).where(100 * F.col("n_shared") >= percent * F.col("n_all")).drop("datasetA", "datasetB"))
-    return reduce(DataFrame.unionAll, pairs)
+    model = MinHashLSH(inputCol="places", outputCol="hashes", numHashTables=BANDS * ROWS, seed=1).fit(places.limit(1))
+    values = F.transform("hashes", lambda v: vector_to_array(v)[0])
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("values", b * ROWS + 1, ROWS)))
+    number = F.array_position(F.array(*map(F.lit, NAMES)), F.col("split"))
+    met = model.transform(places).select("key", number.alias("number"), values.alias("values")).select("key", "number", F.explode(bands).alias("band")).where("number > 0")
+    met = written(met, "bands")
+    several = met.groupBy("band").agg(F.min("number").alias("lo"), F.max("number").alias("hi")).where("lo < hi").select("band")
+    met = written(met.join(several.hint("merge"), "band", "left_semi"), "buckets")
+    pairs = met.alias("a").join(met.alias("b").hint("merge"), (F.col("a.band") == F.col("b.band")) & (F.col("a.number") < F.col("b.number")))
+    pairs = pairs.select(*(F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in ("key", "number"))).distinct()
+    sets = x.select("key", number.alias("number"), "shingles")
+    for t in "ab":
+        pairs = pairs.join(sets.select(F.col("key").alias(f"key_{t}"), F.col("number").alias(f"number_{t}"), F.col("shingles").alias(f"set_{t}")).hint("merge"), [f"key_{t}", f"number_{t}"])
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    found = pairs.withColumn("n_shared", shared).withColumn("n_all", F.size("set_a") + F.size("set_b") - F.col("n_shared")).where(100 * F.col("n_shared") >= percent * F.col("n_all"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, NAMES)), F.col(c).cast("int"))
+    return found.select(name("number_a").alias("one"), name("number_b").alias("other"), F.col("key_a").alias("one_key"), F.col("key_b").alias("other_key"), "n_shared", "n_all")
