@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import threading
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
@@ -181,5 +183,7 @@ def epoch_metrics(stream: DataFrame, key: str, epoch: str, loss: str, n: str, co
 
     The session's state store must be RocksDB (streams.ROCKSDB) when the stream starts.
     """
+    # Spark also starts the processor beside the driver, where files sent to the executors aren't on the path: the class goes by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     x = stream.select(F.col(key).cast("string").alias("key"), F.col(epoch).cast("bigint").alias("epoch"), F.col(loss).cast("double").alias("loss"), F.col(n).cast("bigint").alias("n"), F.col(correct).cast("bigint").alias("correct"), F.col(time).alias("time"))
     return x.withWatermark("time", late).groupBy("key").transformWithStateInPandas(EpochMetrics(idle_ms), EPOCHS, "append", "eventTime")
