@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import rules as R
+from ..sources.shared import kept_model
 
 
 def rule_frame(spark: SparkSession) -> DataFrame:
@@ -114,10 +115,10 @@ def label_space(labelled: DataFrame, heads: dict[str, str], weights: dict[str, f
 
 
 def linear_probe(df: DataFrame, vector: str, label: str, weight: str | None = None, steps: int = 20):
-    """A multinomial logistic regression over fixed vectors, fitted by Spark ML. Adds prediction."""
+    """A multinomial logistic regression over fixed vectors, fitted by Spark ML. Adds prediction. The model is saved in the shared folder."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     x = df.withColumn("_features", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
     fit = LogisticRegression(featuresCol="_features", labelCol=label, maxIter=steps, regParam=0.01, **({"weightCol": weight} if weight else {})).fit(x)
-    return fit.transform(x).drop("_features", "rawPrediction", "probability")
+    return kept_model(fit, df.sparkSession, "probe").transform(x).drop("_features", "rawPrediction", "probability")

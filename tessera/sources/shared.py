@@ -36,3 +36,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written and read again."""
     df.write.parquet(path := folder(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept_model(model, spark: SparkSession, name: str):
+    """A fitted Spark ML model, saved and loaded: without the summary of its training, which holds the session and so can't
+    go to the executors once anything has been observed in that session."""
+    model.save(path := folder(spark, name))
+    return type(model).load(path)

@@ -208,7 +208,16 @@ def test_streams_drop_late_rows_and_go_on_after_a_restart(spark, tmp_path):
     assert ids == [1, 2, 4] and means == {("00:00", 1): (2, 2.0), ("01:00", 2): (2, 6.0)}
 
 
+def observed(spark):
+    """The session then has an observation, as any query before this one may have left it."""
+    from pyspark.sql import Observation
+
+    spark.range(3).observe(seen := Observation("before"), F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+
+
 def test_linear_probe_learns(spark):
+    observed(spark)
     rows = [(k, [float(k % 3 == j) * 2 + (k * 7 % 5) / 10 for j in range(3)], k % 3) for k in range(90)]
     x = V.linear_probe(spark.createDataFrame(rows, "id int, v array<float>, y int"), "v", "y")
     assert x.where("prediction = y").count() >= 85
@@ -310,6 +319,7 @@ def test_near_copies_between_splits(spark):
 def test_both_heads_learn_from_words(spark):
     from tessera.operators import probe
 
+    observed(spark)
     heads = {"department": "department_code", "severity": "severity"}
     words = {"CARDIO": "heart valve pulse", "ORTHO": "knee bone joint", "ENT": "ear nose throat"}
     tiers = {"S1": "arrest collapse", "S4": "steady calm"}
