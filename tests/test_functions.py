@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,38 @@ def test_sanitizer(spark):
         assert got[k] == want, given
 
 
+#: Texts of all kinds of white space, marks and edges, for the steps against their plain forms.
+ODD = [None, "", " ", "\n", "a\n", " a", "a  b", "a \tb", "\ta b\n", "a\u2003b", "a \u3000 b\x1c", "\xa0\xa0", "#a.!?#\n", "..., a", "!?", "a\u200b\u200fb\ufeff", "x\U0001f600\u2190y", "\u0915\u093c", "e\u0301 E\u0301\u0302", "\u1112\u1161\u11ab", "\U0001d15e", "\u2126 \u212b \uf900", "na\u00efve caf\u00e9 \u2019s", "(\u0928\u0939\u0940)\u093e#"]
+
+
+def test_steps_equal_their_plain_forms(spark):
+    c, inside = F.col("t"), rf"\p{{L}}\p{{N}}_{R.PROTECTED}"
+    plain = {
+        "san_emoji": F.regexp_replace(c, R.EMOJI, ""),
+        "san_zero_width": F.regexp_replace(c, R.ZERO_WIDTH, ""),
+        "san_whitespace": F.regexp_replace(F.regexp_replace(c, f"[{R.WS}]+", " "), "^ | $", ""),
+        "san_edge_junk": F.regexp_replace(F.regexp_replace(c, f"^[^{inside}]+", ""), f"[^{inside}.,!?]+$", ""),
+    }
+    rows = spark.createDataFrame([(t,) for t in ODD], "t string")
+    cut = X.san_edge_junk(X.san_whitespace(c))
+    for r in rows.select("t", *(F.struct(getattr(X, n)(c).alias("got"), p.alias("want")).alias(n) for n, p in plain.items()), F.struct(cut.alias("got"), X.san_whitespace(cut).alias("want")).alias("last")).collect():
+        for n in (*plain, "last"):
+            assert r[n]["got"] == r[n]["want"], (n, r["t"])
+
+
+def test_only_texts_that_nfc_may_change_go_to_python(spark):
+    chars = [chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000]
+    pairs = [d.split() for d in map(unicodedata.decomposition, chars) if d and not d.startswith("<")]
+    joins = {chr(int(p[1], 16)) for p in pairs if len(p) == 2} | {chr(k) for a, b in ((0x1161, 0x1176), (0x11A8, 0x11C3)) for k in range(a, b)}
+    may = [x for x in chars if unicodedata.normalize("NFC", x) != x or unicodedata.combining(x) or x in joins]
+    rows = spark.createDataFrame([(x,) for x in may], "t string")
+    assert rows.where(~F.col("t").rlike(R.NOT_NFC)).collect() == []
+    # "naïve café's" in one character a letter, and plain texts, stay in the JVM
+    assert spark.createDataFrame([("naïve café\u2019s \u201cÄrger\u201d \u2014 \u00bfQué?",)], "t string").where(F.col("t").rlike(R.NOT_NFC)).collect() == []
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "k int, t string").select("k", X.san_nfc(F.col("t")).alias("x")).collect()
+    assert {r["k"]: r["x"] for r in got} == {k: t if t is None else unicodedata.normalize("NFC", t) for k, t in enumerate(ODD)}
+
+
 TIERS = [*zip(PHRASES[:10], ["S1", "S2", "S3", "S5", "S4", "S1", "S4", "S1", "S4", "S1"], strict=True), ("", "S4"), (None, "S4"), ("  ", "S4"), ("ACUTE STROKE", "S2"), ("inacute strokes", "S4")]
 
 
