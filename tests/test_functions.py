@@ -144,3 +144,21 @@ def test_perturbation_chains_and_audit(spark):
     for r in rows:
         subs = r["p"]["subs"]
         assert subs[0]["original"] == "nahi" and subs[-1]["replacement"] == r["p"]["text"]
+
+
+def test_text_after_the_last_known_word_is_left_alone(spark):
+    tail = " é 😀 und so weiter,\n who knows".ljust(200, "x")
+    for f in (perturb_text, perturb_text_exact):
+        for text in ("Nahi, Kya dard", "kya NAHI haı hoé ſab", "mera", "nothing here"):
+            a, b = (one(spark, t, lambda c: f(c, F.lit(5), 1.0)) for t in (text, text + tail))
+            assert b["text"] == a["text"] + tail and b["subs"] == a["subs"], (f, text)
+    # the plain mode cuts that part off before it looks at words
+    plan = spark.createDataFrame([("x",)], "t string").select(perturb_text(F.col("t"), F.lit(1)).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract" in plan
+
+
+def test_second_making_is_dealt_by_the_size_of_the_table(spark):
+    from tessera.catalogue import QUERIES
+
+    plan = QUERIES["expect_deterministic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "REPARTITION_BY_NUM" not in plan.split("hashpartitioning(doc_id")[1].split("\n")[0]
