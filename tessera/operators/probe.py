@@ -14,7 +14,7 @@ from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import rules as R
-from ..sources.shared import kept_model
+from ..sources.shared import kept_model, written
 from .vectors import label_dimension
 
 #: Places that words are hashed to, passes of the fit, and its penalty.
@@ -34,20 +34,25 @@ def indexed(df: DataFrame, heads: Mapping[str, str]) -> DataFrame:
 def fit_heads(rows: DataFrame, heads: Mapping[str, str], text: str = "text", weight: str | None = None, shares: Mapping[str, float] = SHARES, places: int = PLACES, steps: int = STEPS) -> PipelineModel:
     """Words, their frequencies by hash, inverse document frequencies, and a multinomial regression for each head on <head>_index.
 
-    weight is a column of row weights, such as those of low routing confidence. Null texts count as empty. The model is saved in
-    the shared folder.
+    weight is a column of row weights, such as those of low routing confidence. Null texts count as empty. The words are
+    counted once, and the counts written; the model is saved in the shared folder.
     """
-    stages = [
+    words = Pipeline(stages=[
         RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=1),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=places),
-        IDF(inputCol="_counts", outputCol="_features", minDocFreq=2),
-    ]
+    ])
     x = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     for head in heads:
         x = x.withColumn(f"_{head}_weight", (F.col(weight) if weight else F.lit(1.0)) * F.lit(float(shares.get(head, 1.0))))
+    count = words.fit(x)
+    # each fit reads these counts more than once
+    x = written(count.transform(x).select("_counts", *(c for head in heads for c in (f"{head}_index", f"_{head}_weight"))), "counts")
+    found = IDF(inputCol="_counts", outputCol="_features", minDocFreq=2).fit(x)
+    x, fitted = found.transform(x), []
+    for head in heads:
         names = {"predictionCol": f"{head}_prediction", "probabilityCol": f"_{head}_probability", "rawPredictionCol": f"_{head}_raw"}
-        stages.append(LogisticRegression(featuresCol="_features", labelCol=f"{head}_index", weightCol=f"_{head}_weight", family="multinomial", maxIter=steps, regParam=PENALTY, **names))
-    return kept_model(Pipeline(stages=stages).fit(x), rows.sparkSession, "heads")
+        fitted.append(LogisticRegression(featuresCol="_features", labelCol=f"{head}_index", weightCol=f"_{head}_weight", family="multinomial", maxIter=steps, regParam=PENALTY, **names).fit(x))
+    return kept_model(PipelineModel([*count.stages, found, *fitted]), rows.sparkSession, "heads")
 
 
 def predict(model: PipelineModel, rows: DataFrame, text: str = "text") -> DataFrame:

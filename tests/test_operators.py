@@ -424,3 +424,14 @@ def test_builds_do_not_depend_on_partitions(spark):
     by = dict(a.groupBy("severity_heuristic").count().collect())
     seeds = dict(a.where("variant_index = 0").groupBy("severity_heuristic").count().collect())
     assert by == {k: 4 * n for k, n in seeds.items()}
+
+
+def test_heads_count_words_once(spark, monkeypatch):
+    from tessera.operators import probe
+
+    seen = []
+    monkeypatch.setattr(probe, "written", lambda df, name, f=probe.written: (seen.append(name), f(df, name))[1])
+    rows = spark.createDataFrame([(f"{w} zz {k}", k % 2) for k, w in enumerate(["a b", "c d"] * 10)], "text string, y_index int")
+    model = probe.fit_heads(rows, {"y": "y"}, places=64, steps=5)
+    assert seen == ["counts"]
+    assert [(r["y_index"], r["y_prediction"]) for r in probe.predict(model, rows).collect()] == [(k % 2, k % 2) for k in range(20)]
