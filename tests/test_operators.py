@@ -316,6 +316,39 @@ def test_near_copies_between_splits(spark):
     assert near_leaks(spark.createDataFrame([], "doc_id long, text string, split string"), "doc_id").count() == 0
 
 
+def test_shingles_are_made_once_from_each_text(spark, monkeypatch):
+    from tessera.operators import near_copies
+
+    seen = []
+    monkeypatch.setattr(near_copies, "written", lambda df, name, kept=near_copies.written: (seen.append(df), kept(df, name))[1])
+    rows = [(k, f"a b c d e f g {k % 3}", ("train", "val", "test")[k % 2]) for k in range(20)]
+    assert near_copies.near_leaks(spark.createDataFrame(rows, "doc_id long, text string, split string"), "doc_id").count() == 3
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
+    assert [p.count("x20\\x09") for p in plans] == [1] + [0] * (len(plans) - 1)
+
+
+def test_shingles_and_bands_against_plain_sets():
+    import numpy as np
+    from tessera.operators import near_copies
+
+    draw = np.random.default_rng(5)
+    texts = [draw.integers(0, 6, n).astype(np.uint64) for n in (0, 3, 3, 40, 1, 5, 0, 4, 200, 6, 0)]
+    texts[2] = texts[1]
+    h, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    g, at = near_copies.shingles(h, first)
+    sets = [{tuple(x[j : j + 5]) for j in range(max(1, len(x) - 4))} if len(x) else set() for x in texts]
+    assert np.diff(at).tolist() == [len(x) for x in sets]
+    own = [set(g[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]
+    assert all(len(x & y) == len(p & q) for x, p in zip(own, sets, strict=True) for y, q in zip(own, sets, strict=True))
+    made = near_copies.bands(g, at)
+    assert made.shape == (8, near_copies.BANDS) and (made[0] == made[1]).all() and not (made[0] == made[2]).any()
+    # sets of 9 in 10 shared elements meet in (9 / 11) ** 2 of their bands, about two in three
+    a = draw.integers(0, 1 << 63, (200, 100), np.uint64)
+    b = np.concatenate([a[:, :90], draw.integers(0, 1 << 63, (200, 10), np.uint64)], axis=1)
+    x, y = (near_copies.bands(z.ravel(), np.arange(0, 20_001, 100)) for z in (a, b))
+    assert abs((x == y).mean() - (90 / 110) ** 2) < 0.04
+
+
 def test_both_heads_learn_from_words(spark):
     from tessera.operators import probe
 
