@@ -68,3 +68,20 @@ def spare(taken: tuple[str, ...] | list[str]) -> str:
 def carrying(carried: T.DataType | None, ddl: str) -> T.StructType:
     """The columns of ddl, behind a column `carried` of the given type, whose field names may be any."""
     return T.StructType([*([T.StructField("carried", carried)] if carried else []), *T.StructType.fromDDL(ddl).fields])
+
+
+def _texts(docs: DataFrame, carry: tuple[str, ...]) -> set[str]:
+    """Of the carried columns those that hold the text itself, which goes to Python beside them already."""
+    return {c for c in carry if (c, "string") in docs.dtypes and c == "text"}
+
+
+def own_fields(docs: DataFrame, carry: tuple[str, ...]) -> Column:
+    """A struct of the carried columns less the text, so that no text goes to Python twice, and of a spare one, as it may have no other."""
+    own = [c for c in carry if c not in _texts(docs, carry)]
+    return F.struct(F.lit(0).alias(spare(carry)), *(F.col(f"`{c}`") for c in own))
+
+
+def with_text(docs: DataFrame, carry: tuple[str, ...]) -> Column:
+    """The struct of the carried columns again, from `carried` (see own_fields) and `text`."""
+    texts = _texts(docs, carry)
+    return F.struct(*((F.col("text") if c in texts else F.col(f"carried.`{c}`")).alias(c) for c in carry))

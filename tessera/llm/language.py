@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import carrying, held_out, sampled
+from .common import carrying, held_out, own_fields, sampled, with_text
 from .textbytes import slices
 
 UNKNOWN = "und"
@@ -193,10 +193,11 @@ def fit(docs: DataFrame, max_fit_docs: int = 20_000, max_grams: int = 50_000) ->
     return LanguageModel([tuple(x) for x in ranked.select("lang", "gram", "n").collect()])
 
 
-def _label(model: LanguageModel, penalty: float, with_spans: bool):
-    #: words seen by a task, with their row in the score table; emptied when it has grown large
-    most = 300_000
+#: Words that a worker keeps with their row in the score table, which is emptied when it has grown larger.
+MOST_WORDS = 60_000
 
+
+def _label(model: LanguageModel, penalty: float, with_spans: bool, most: int = MOST_WORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(model.languages)
         # kept for the worker's later tasks
@@ -228,7 +229,7 @@ def _label(model: LanguageModel, penalty: float, with_spans: bool):
             none = (total == 0) | (k == 0)
             langs = [UNKNOWN if none[j] else model.languages[top[j]] for j in range(len(found))]
             score = np.where(none, 0.0, share.max(axis=1) / np.maximum(total, 1))
-            cols = {"carried": b.column(2)} if b.num_columns > 2 else {}
+            cols = {"carried": b.column(2), "text": b.column(1)} if b.num_columns > 2 else {}
             cols |= {"doc_id": b.column(0), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(score)}
             if with_spans:
                 cols["spans"] = pa.array([_spans(x, cut[j][1], best[first[j] : first[j + 1]], model.languages) for j, x in enumerate(texts)], _SPANS)
@@ -260,6 +261,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, with_s
     and so are words: a run of over PIECE letters may hold spans of several languages. Null and repeated ids are rows
     like others; other columns are ignored unless carried; an empty table gives an empty table.
     """
-    ddl = "doc_id bigint, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * with_spans
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []))
-    return rows.mapInArrow(_label(model, penalty, with_spans), carrying(rows.schema["carried"].dataType if carry else None, ddl))
+    ddl = "text string, " * bool(carry) + "doc_id bigint, lang_pred string, score double" + ", spans array<struct<begin:int,end:int,lang:string>>" * with_spans
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *([own_fields(docs, carry).alias("carried")] if carry else []))
+    out = rows.mapInArrow(_label(model, penalty, with_spans), carrying(rows.schema["carried"].dataType if carry else None, ddl))
+    return out.withColumn("carried", with_text(docs, carry)).drop("text") if carry else out

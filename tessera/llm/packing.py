@@ -128,7 +128,9 @@ def pack(pieces: DataFrame, size: int) -> DataFrame:
     blocks = blocks.withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
     # at most `size` rows
     counts = {x["length"]: x["m"] for x in pieces.groupBy("length").agg(F.count("*").alias("m")).collect()}
-    runs = pieces.sparkSession.createDataFrame(plan(counts, size) or [(0, 0, 0, 0, 1, 0)], "length bigint, lo bigint, hi bigint, first bigint, each bigint, place bigint")
+    # an Arrow table, as rows of Python would start workers of another kind on the executors, which stay beside the others
+    runs = np.array(plan(counts, size) or [(0, 0, 0, 0, 1, 0)], np.int64)
+    runs = pieces.sparkSession.createDataFrame(pa.table(dict(zip(("length", "lo", "hi", "first", "each", "place"), runs.T.copy(), strict=True))))
     # runs are a few a length, so the broadcast table has a bound whatever the input
     ranked = pieces.join(blocks.drop("m").hint("merge"), ["length", "block"]).withColumn("rank", F.col("before") + F.col("n") - 1)
     at = F.col("rank") - F.col("lo")

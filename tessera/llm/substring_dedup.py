@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import carrying, spare, staged
+from .common import carrying, own_fields, staged, with_text
 from .fm_index import FMIndex
 from .textbytes import Words, grams, owners, powers, mix, slices
 
@@ -143,7 +143,7 @@ def _search(window: int):
     return run
 
 
-def _removed(window: int):
+def _removed(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             col = {x: b.column(j) for j, x in enumerate(b.schema.names)}
@@ -167,7 +167,7 @@ def _removed(window: int):
                 kept.append(b" ".join([words[j] for j in np.flatnonzero(~gone)]))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 spans.append([{"begin": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-            yield pa.RecordBatch.from_pydict({"carried": col["carried"], "doc_id": col["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))})
+            yield pa.RecordBatch.from_pydict({"carried": col["carried"], **({"text": col["text"]} if with_text else {}), "doc_id": col["doc_id"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))})
 
     return run
 
@@ -182,7 +182,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8, carry: tupl
     """
     if window - seed + 1 > 62:
         raise ValueError("window - seed + 1 must be at most 62")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), F.struct(F.lit(0).alias(spare(carry)), *(F.col(f"`{c}`") for c in carry)).alias("carried"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k1"), F.xxhash64(F.col("text").cast("string")).alias("k2"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), own_fields(docs, carry).alias("carried"))
     occ = rows.select("k1", "k2", "text").mapInArrow(_occurrences(window, seed), "v bigint, sh bigint, k1 bigint, k2 bigint, at int, n int")
     occ = staged(occ, "segments")
     # written out, so that a very common anchor's side of the joins can be split
@@ -217,6 +217,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8, carry: tupl
     found = staged(by_class.unionByName(by_window), "found")
     hits = dup.select("v", "sh", "k1", "k2", "at").join(found.hint("merge"), ["v", "sh"]).groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "mask")).alias("hits"))
     last = rows.join(hits.hint("merge"), ["k1", "k2"], "left").select("carried", "doc_id", "text", "hits")
-    ddl = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<begin:int,end:int>>"
-    out = last.mapInArrow(_removed(window), carrying(last.schema["carried"].dataType, ddl))
-    return out if carry else out.drop("carried")
+    ddl = "text string, " * bool(carry) + "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, spans array<struct<begin:int,end:int>>"
+    out = last.mapInArrow(_removed(window, bool(carry)), carrying(last.schema["carried"].dataType, ddl))
+    return out.withColumn("carried", with_text(docs, carry)).drop("text") if carry else out.drop("carried")

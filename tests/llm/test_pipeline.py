@@ -1,11 +1,15 @@
 """The pipeline's stages one by one against plain versions of what each decides."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.llm import language
 from tessera.llm.common import staged
 from tessera.llm.near_dedup import near_duplicates
+from tessera.llm.packing import pack_documents
+from tessera.llm.substring_dedup import remove_repeats
 
 from . import brute
 
@@ -78,3 +82,29 @@ def test_stages_with_odd_rows_columns_and_empty_tables(spark, stage):
     assert got == sorted([i for i, _ in odd] if stage == "packing" else want[stage], key=repr)
     none = run(spark, staged(more.limit(0), "none"), SF)
     assert none.count() == 0 and none.schema.names == x.schema.names
+
+
+def test_texts_go_to_python_once_and_no_workers_of_another_kind_start(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    carry = tuple(docs.columns)
+    for x in (language.identify(docs, language.fit(docs), with_spans=False, carry=carry), remove_repeats(docs, carry=carry)):
+        assert x.select("carried.*").columns == docs.columns
+        last = x._jdf.queryExecution().analyzed().toString()
+        sent = last[last.index("MapInArrow") :].split("\n")[1:]
+        made = next(line for line in sent if "struct(" in line)
+        assert "text, text#" not in made and "lang, lang#" in made
+    assert "ExistingRDD" not in pack_documents(docs)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_worker_keeps_a_bounded_number_of_words():
+    counts = [("aa", "#latin", 9), ("aa", " ab", 5), ("bb", "#latin", 9), ("bb", " ba", 5)]
+    model = language.LanguageModel(counts)
+    letters = [chr(97 + j) for j in range(26)]
+    words = [a + b + c + d for a in letters[:12] for b in letters for c in letters for d in letters[:16]]
+    texts = [" ".join(words[j : j + 1000]) for j in range(0, len(words), 1000)]
+    kept = []
+    for k in range(0, len(texts), 30):
+        b = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts[k : k + 30]))), "text": texts[k : k + 30]})
+        assert sum(x.num_rows for x in language._label(model, 8.0, False)(iter([b]))) == b.num_rows
+        kept.append(len(language._known[model.name][0]))
+    assert len(words) > 120_000 and max(kept) <= 60_000
