@@ -193,7 +193,7 @@ def fit(docs: DataFrame, max_fit_docs: int = 20_000, max_grams: int = 50_000) ->
     return LanguageModel([tuple(x) for x in ranked.select("lang", "gram", "n").collect()])
 
 
-#: Words that a worker keeps with their row in the score table, which is emptied when it has grown larger.
+#: Words that a worker keeps with their row in the score table, which is emptied when it has grown larger; those of one slice stay, if they are more.
 MOST_WORDS = 60_000
 
 
